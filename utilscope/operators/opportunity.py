@@ -18,7 +18,6 @@ from utilscope.functions.numbers import finite, ratio
 from utilscope.operators.ranking import segment_percentile
 from utilscope.rules import COMPONENTS, ScoreWeights
 
-ALL = Window.partitionBy()
 PLACES = 10
 
 # Wording of the interpretation column.
@@ -57,7 +56,7 @@ def segment_cagr(
 def with_benchmark_gap(current: DataFrame) -> DataFrame:
     """Selected share against the share of all ranked segments together, in points."""
     benchmark = ratio(
-        F.sum("selected_class_fills").over(ALL), F.sum("total_30day_fills").over(ALL)
+        F.sum("selected_class_fills").over(Window.partitionBy()), F.sum("total_30day_fills").over(Window.partitionBy())
     )
     share = ratio(F.col("selected_class_fills"), F.col("total_30day_fills"))
     gap = F.greatest(F.col("benchmark_share") - F.col("selected_class_share"), F.lit(0.0)) * 100
@@ -73,9 +72,9 @@ def winsorize(df: DataFrame, value: str, out: str) -> DataFrame:
     Below four known values nothing is clipped and missing becomes 0.
     """
     x = finite(F.col(value))
-    low, middle, high = (F.percentile(x, F.lit(q)).over(ALL) for q in (0.05, 0.5, 0.95))
+    low, middle, high = (F.percentile(x, F.lit(q)).over(Window.partitionBy()) for q in (0.05, 0.5, 0.95))
     clipped = F.when(x.isNotNull(), F.least(F.greatest(x, low), high)).otherwise(middle)
-    few = F.count(x).over(ALL) < 4
+    few = F.count(x).over(Window.partitionBy()) < 4
     result = F.when(few, F.coalesce(x, F.lit(0.0))).otherwise(clipped)
     return df.withColumn(out, F.round(result, PLACES))
 
@@ -109,7 +108,7 @@ def score(components: DataFrame, weights: ScoreWeights) -> DataFrame:
         for scenario, w in scenarios.items()
     })
     scored = scored.withColumns({
-        f"rank_{scenario}": F.rank().over(ALL.orderBy(F.col(f"score_{scenario}").desc()))
+        f"rank_{scenario}": F.rank().over(Window.partitionBy().orderBy(F.col(f"score_{scenario}").desc()))
         for scenario in scenarios
     })
     ranks = [F.col(f"rank_{scenario}") for scenario in scenarios]

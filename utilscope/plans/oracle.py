@@ -200,10 +200,15 @@ concentrations AS (
   FROM sorted GROUP BY year),
 ranked_states AS (
   SELECT * FROM states
-  WHERE provider_state NOT IN ('NATION_22', 'NATION_23', 'NATION_24', 'Unknown')),
+  WHERE provider_state NOT IN ('NATION_22', 'NATION_23', 'NATION_24', 'Unknown'))
 """
 
 
+def _with(ctes: str, query: str) -> str:
+    """A statement with further CTEs: BASE goes in front as it stands."""
+    return f", {ctes.strip().rstrip(',')}\n{query}"
+
+
 def _scored(segments: str, dim: str) -> str:
     """CTEs of the opportunity score over a yearly segment table."""
     def pct(c: str) -> str:
@@ -303,16 +308,15 @@ CUBE_CORE = """CAST(sum(total_claims) AS BIGINT) AS total_claims,
   sum(total_30day_fills) AS total_30day_fills,
   CAST(sum(CAST(total_drug_cost AS DECIMAL(18,2))) AS DOUBLE) AS total_drug_cost"""
 
-LAYERS = """
-left_layer AS ({left}), right_layer AS ({right}),
+LAYERS = """left_layer AS ({left}), right_layer AS ({right}),
 compared AS (
   SELECT coalesce(l.year, r.year) AS year, m.check_name,
          CASE m.check_name WHEN 'rows' THEN l.rows WHEN 'total_claims' THEN l.claims
               WHEN 'total_30day_fills' THEN l.fills ELSE l.cost END::DOUBLE AS left_value,
          CASE m.check_name WHEN 'rows' THEN r.rows WHEN 'total_claims' THEN r.claims
               WHEN 'total_30day_fills' THEN r.fills ELSE r.cost END::DOUBLE AS right_value
-  FROM left_layer l FULL JOIN right_layer r ON l.year = r.year, (VALUES {metrics}) m(check_name))
-SELECT *, coalesce(abs(left_value - right_value)
+  FROM left_layer l FULL JOIN right_layer r ON l.year = r.year, (VALUES {metrics}) m(check_name))"""
+COMPARED = """SELECT *, coalesce(abs(left_value - right_value)
     <= 1e-9 * greatest(abs(left_value), abs(right_value), 1), false) AS passed
 FROM compared
 """
@@ -322,7 +326,7 @@ CORE_METRICS = "('total_claims'), ('total_30day_fills'), ('total_drug_cost')"
 
 
 def _layers(left: str, metrics: str = CORE_METRICS) -> str:
-    return LAYERS.format(left=left, right=FACT_LAYER, metrics=metrics)
+    return _with(LAYERS.format(left=left, right=FACT_LAYER, metrics=metrics), COMPARED)
 
 
 def _violations(**rules: str) -> str:
@@ -330,7 +334,7 @@ def _violations(**rules: str) -> str:
         f"SELECT '{name}' AS check_name, count(*) FILTER ({rule}) AS violations FROM fact"
         for name, rule in rules.items()
     )
-    return f"v AS ({rows}) SELECT *, violations = 0 AS passed FROM v"
+    return _with(f"v AS ({rows})", "SELECT *, violations = 0 AS passed FROM v")
 
 
 def _leaders(dim: str, source: str, k: int) -> str:
@@ -375,30 +379,30 @@ wide AS (
          c.top_5_share AS concentration_top_5_share, c.top_10_share AS concentration_top_10_share,
          c.top_20_share AS concentration_top_20_share
   FROM growth m JOIN concentrations c ON m.year = c.year WHERE m.year = 2000)
-SELECT name AS metric, '' AS label, value FROM (UNPIVOT wide ON * INTO NAME name VALUE value)
+"""
+HEADLINE_ROWS = """SELECT name AS metric, '' AS label, value FROM (UNPIVOT wide ON * INTO NAME name VALUE value)
 UNION ALL SELECT * FROM tops
 UNION ALL (SELECT 'opportunity_rank_' || rank_primary, provider_state, score_primary FROM seg_table
            ORDER BY score_primary DESC, provider_state LIMIT 10)
 """
 
-# Name -> (extra CTEs, query).
+# Name -> query, to be appended to BASE.
 STATEMENTS: dict[str, str] = {
     "csv_strict_scan": f"SELECT {NULLED}, year FROM raw",
     "fact_parquet_roundtrip": "SELECT * FROM fact",
     "load_class_map": """SELECT term AS match_term, class AS component_class, priority,
         (SELECT count(DISTINCT generic_name) FROM norms WHERE contains(generic_norm, term)
-         HAVING count(*) > 0) AS labels_found FROM rules""",
+         HAVING count(*) > 0) AS labels FROM rules""",
     "load_exclusions": """SELECT brand_norm AS term, count(*) AS parts
         FROM part_labels JOIN norms USING (brand_name, generic_name)
         WHERE brand_norm IN ('brand 13', 'brand 21') GROUP BY 1""",
     "json_records_roundtrip": """SELECT *, CASE WHEN selected_class_fills / total_30day_fills >= 0.12::DOUBLE
         THEN sqrt(selected_class_fills / total_30day_fills - 0.12::DOUBLE) END AS signal FROM states""",
-    "opportunity_export": STATE_SCORE + """one AS (SELECT 1)
-        SELECT rank_primary AS rank, provider_state, score_primary AS score, total_30day_fills AS fills,
+    "opportunity_export": _with(STATE_SCORE, """SELECT rank_primary AS rank, provider_state, score_primary AS score, total_30day_fills AS fills,
           fill_cagr AS cagr, selected_class_share, peer_gap_pp AS gap_pp, rank_range
         FROM seg_table WHERE provider_state ILIKE '%nation_1%'
           AND contains(lower(provider_state), 'nation_1')
-        ORDER BY score_primary DESC, provider_state LIMIT 20""",
+        ORDER BY score_primary DESC, provider_state LIMIT 20"""),
     "extract_manifest": f"""SELECT year, count(*) AS source_rows_scanned,
         count(*) FILTER (candidate) AS filtered_row_count, 22 AS column_count,
         'bolt|cold|gear|gizmo|hot|plate|ring|rod|widget' AS filter_terms,
@@ -514,16 +518,12 @@ STATEMENTS: dict[str, str] = {
           max(total_30day_fills) FILTER (year = 2000) AS fills_2000,
           round(sqrt(fills_2000 / nullif(fills_1998, 0)) - 1, 10) AS fill_cagr
         FROM states GROUP BY 1) WHERE fills_2000 IS NOT NULL""",
-    "benchmark_gap": STATE_SCORE + """one AS (SELECT 1)
-        SELECT provider_state, selected_class_share, benchmark_share, peer_gap_pp FROM seg_gap""",
-    "winsorize": STATE_SCORE + """one AS (SELECT 1)
-        SELECT provider_state, fill_cagr, winsorized_cagr FROM seg_growth""",
-    "opportunity_components": STATE_SCORE + """one AS (SELECT 1)
-        SELECT provider_state, scale_component, growth_component, class_gap_component,
-          completeness_component FROM seg_components""",
-    "opportunity_state": STATE_SCORE + "one AS (SELECT 1) SELECT * FROM seg_table",
-    "opportunity_specialty": SPECIALTY_SCORE + """one AS (SELECT 1)
-        SELECT * FROM seg_table ORDER BY score_primary DESC, provider_specialty LIMIT 60""",
+    "benchmark_gap": _with(STATE_SCORE, """SELECT provider_state, selected_class_share, benchmark_share, peer_gap_pp FROM seg_gap"""),
+    "winsorize": _with(STATE_SCORE, """SELECT provider_state, fill_cagr, winsorized_cagr FROM seg_growth"""),
+    "opportunity_components": _with(STATE_SCORE, """SELECT provider_state, scale_component, growth_component, class_gap_component,
+          completeness_component FROM seg_components"""),
+    "opportunity_state": _with(STATE_SCORE, "SELECT * FROM seg_table"),
+    "opportunity_specialty": _with(SPECIALTY_SCORE, """SELECT * FROM seg_table ORDER BY score_primary DESC, provider_specialty LIMIT 60"""),
     "slice_kpis": f"""SELECT *, total_drug_cost / greatest(total_30day_fills, 1) AS cost_per_fill,
         selected_class_fills / greatest(total_30day_fills, 1) AS selected_class_share
         FROM (SELECT {CUBE_CORE}, sum(selected_class_fills) AS selected_class_fills
@@ -543,13 +543,15 @@ STATEMENTS: dict[str, str] = {
         AND marketed_name_type = 'brand-identifiable'
         ORDER BY total_30day_fills DESC, brand_name, generic_name LIMIT 10""",
     "filter_options": f"SELECT * FROM {PLACED}",
-    "cube_dictionary_encode": f"""codes AS (SELECT filter_name, label, position - 1 AS code FROM {PLACED})
-        SELECT year, volume_decile, total_claims, total_30day_fills, total_drug_cost, prescribers,
+    "cube_dictionary_encode": _with(
+        f"codes AS (SELECT filter_name, label, position - 1 AS code FROM {PLACED})",
+        f"""SELECT year, volume_decile, total_claims, total_30day_fills, total_drug_cost, prescribers,
           selected_class_fills, provider_state_code, provider_specialty_code, drug_class_code,
           marketed_name_type_code FROM {CODED}""",
+    ),
     "cube_dictionary_roundtrip": "SELECT * FROM cube",
-    "headline_leaders": TOPS + "one AS (SELECT 1) SELECT * FROM tops",
-    "headline_metrics": STATE_SCORE + HEADLINE,
+    "headline_leaders": _with(TOPS, "SELECT * FROM tops"),
+    "headline_metrics": _with(STATE_SCORE + HEADLINE, HEADLINE_ROWS),
     "profile_rows": "SELECT year, count(*) AS row_count, 22 AS column_count FROM raw GROUP BY year",
     "profile_blank_counts": " UNION ALL ".join(
         f"""SELECT year, '{c}' AS column_name, count(*) FILTER ({c} = '') AS blank_count
@@ -588,11 +590,11 @@ STATEMENTS: dict[str, str] = {
     "check_suppression": """SELECT count(*) FILTER (beneficiary_count_suppressed) AS suppressed_rows,
         count(*) FILTER (total_beneficiaries IS NULL) AS missing_rows,
         suppressed_rows = missing_rows AND suppressed_rows > 0 AS passed FROM fact""",
-    "check_score_bounds": STATE_SCORE + "v AS (" + " UNION ALL ".join(
+    "check_score_bounds": _with(STATE_SCORE + "v AS (" + " UNION ALL ".join(
         f"""SELECT 'score_{s}' AS check_name,
         count(*) FILTER (score_{s} IS NULL OR score_{s} NOT BETWEEN 0 AND 100) AS violations
         FROM seg_table""" for s in ("primary", "growth_led", "gap_led")
-    ) + ") SELECT *, violations = 0 AS passed FROM v",
+    ) + ")", "SELECT *, violations = 0 AS passed FROM v"),
     "reconcile_layers": _layers(
         f"""SELECT year, count(*) AS rows, sum(CAST(Tot_Clms AS BIGINT)) AS claims,
         sum(CAST(Tot_30day_Fills AS DOUBLE)) AS fills, sum(CAST(Tot_Drug_Cst AS DECIMAL(18,2))) AS cost
@@ -619,5 +621,4 @@ STATEMENTS: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     """Complete statement per catalog entry."""
-    return {name: BASE + (body if " AS (" in body.split("SELECT", 1)[0] else "one_row AS (SELECT 1)\n" + body)
-            for name, body in STATEMENTS.items()}
+    return {name: BASE + body for name, body in STATEMENTS.items()}
