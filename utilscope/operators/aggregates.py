@@ -100,11 +100,17 @@ def city_year(fact: DataFrame) -> DataFrame:
 
 
 def provider_totals(fact: DataFrame) -> DataFrame:
-    """One row per year and provider; attributes are the smallest seen, so repeatable."""
-    return fact.groupBy("year", "provider_npi", "provider_masked_id").agg(
-        *[F.min(c).alias(c) for c in ("provider_state", "provider_city", "provider_specialty")],
-        *measure_sums(),
-        selected_fills(),
+    """One row per year and provider; attributes are the smallest seen, so repeatable.
+
+    The fact is first collapsed with the attributes as keys, which Spark can hash; the
+    smallest text is then taken over the few variants that a provider has.
+    """
+    attributes = ["provider_masked_id", "provider_state", "provider_city", "provider_specialty"]
+    variants = fact.groupBy("year", "provider_npi", *attributes).agg(
+        *measure_sums(), selected_fills()
+    )
+    return variants.groupBy("year", "provider_npi").agg(
+        *[F.min(c).alias(c) for c in attributes], *measure_sums(), sum_of("selected_class_fills")
     )
 
 

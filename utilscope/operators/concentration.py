@@ -91,7 +91,7 @@ def lorenz_curve(order: GlobalOrder, scale: int) -> DataFrame:
     steps = rows.groupBy(*order.by, reached.cast("int").alias("provider_pct")).agg(
         F.sum("x").alias("step")
     )
-    grid = rows.select(*order.by).distinct().withColumn(
+    grid = order.groups().withColumn(
         "provider_pct", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(LORENZ_STEP)))
     )
     # 51 rows per group from here on.

@@ -7,12 +7,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from utilscope.functions.numbers import ratio, sum_of
 from utilscope.operators.aggregates import CELL, MEASURES
 from utilscope.operators.ranking import leaders
+from utilscope.workspace import literal_rows
 
 FILLS = "total_30day_fills"
+YEAR = T.StructType([T.StructField("year", T.IntegerType())])
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,7 @@ def slice_trend(cube: DataFrame, s: Slice, years: list[int]) -> DataFrame:
     """Fills of every reporting year under the other filters, with growth over the previous."""
     filtered = apply_slice(cube, s, ignore=("year",))
     per_year = filtered.groupBy("year").agg(sum_of(FILLS))
-    calendar = cube.sparkSession.createDataFrame([(y,) for y in years], "year int")
+    calendar = literal_rows(cube.sparkSession, [(y,) for y in years], YEAR)
     # One row per reporting year.
     trend = calendar.join(per_year, "year", "left").select("year", _or_zero(FILLS))
     prior = F.lag(FILLS).over(Window.partitionBy().orderBy("year"))

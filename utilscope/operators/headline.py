@@ -16,14 +16,19 @@ FILLS = "total_30day_fills"
 
 
 def market_size_and_growth(market: DataFrame) -> DataFrame:
-    """Yearly totals with growth over the previous year. One row per year goes in."""
-    prior = F.lag(FILLS).over(Window.partitionBy().orderBy("year"))
-    return market.select(
-        "year", "total_claims", FILLS, "total_drug_cost", "prescribers",
-        (ratio(F.col(FILLS), prior) - 1).alias("yoy_fill_growth"), "selected_class_share",
+    """Yearly totals with growth over the previous year."""
+    return with_growth(market).select(
+        "year", "total_claims", FILLS, "total_drug_cost", "prescribers", "yoy_fill_growth",
+        "selected_class_share",
     )
 
 
+def with_growth(market: DataFrame) -> DataFrame:
+    """Adds `yoy_fill_growth`. One row per reporting year goes in."""
+    prior = F.lag(FILLS).over(Window.partitionBy().orderBy("year"))
+    return market.withColumn("yoy_fill_growth", ratio(F.col(FILLS), prior) - 1)
+
+
 def segment_leaders(segments: DataFrame, dimension: str, year: int, k: int) -> DataFrame:
     """Largest segments of a year with their selected-class share."""
     share = ratio(F.col("selected_class_fills"), F.col(FILLS))
@@ -73,13 +78,11 @@ def headline_metrics(
 ) -> DataFrame:
     """(metric, label, value): the latest year, its leaders, concentration, best segments."""
     latest = F.col("year") == year
-    market_columns = [c for c in market.columns if c != "year"]
-    growth = market_size_and_growth(market).filter(latest)
+    figures = with_growth(market).filter(latest)
     spread = concentration.filter(latest)
     best = leaders(opportunities, "score_primary", [dimension], 10)
     return reduce(DataFrame.unionByName, [
-        _long(market.filter(latest), "", market_columns),
-        _long(growth, "", ["yoy_fill_growth"]),
+        _long(figures, "", [c for c in figures.columns if c != "year"]),
         tops,
         _long(spread, "concentration_", [c for c in concentration.columns if c != "year"]),
         best.select(

@@ -1,9 +1,10 @@
 """Weighted, percentile-based opportunity score of market segments.
 
-The input is one row per segment and year (`segment_year`), a few hundred rows however
-large the fact is, so whole-table windows are used here on purpose.  Growth, gaps and
-scores are rounded to ten places before they are ranked: values that are equal on paper
-must tie, whatever the last bit of their quotients.
+The input is one row per segment and year (`segment_year`).  It is folded to one row per
+segment and written, so the benchmark, the clipping limits and the ranks read a small
+table instead of the fact.  Growth, gaps and scores are rounded to ten places before they
+are ranked: values that are equal on paper must tie, whatever the last bit of their
+quotients.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utilscope.functions.numbers import finite, ratio
-from utilscope.operators.ranking import segment_percentile
+from utilscope.functions.numbers import exact_sum, finite, ratio
+from utilscope.operators.ranking import add_average_percentiles, add_ranks
 from utilscope.rules import COMPONENTS, ScoreWeights
+from utilscope.workspace import Workspace
 
 PLACES = 10
 
@@ -41,23 +43,41 @@ def cagr(first: Column, last: Column, periods: int) -> Column:
     return F.round(root - 1, PLACES)
 
 
+def latest_segments(
+    segments: DataFrame, dimension: str, first_year: int, last_year: int
+) -> DataFrame:
+    """Last-year row of each segment with its first-year fills and growth, in one pass.
+
+    Segments absent from the last year vanish.
+    """
+    last = F.col("year") == last_year
+    measures = [c for c in segments.columns if c not in ("year", dimension)]
+    first_fills, last_fills = F.col(f"fills_{first_year}"), F.col("total_30day_fills")
+    folded = segments.filter(F.col("year").isin(first_year, last_year)).groupBy(dimension).agg(
+        F.max(F.when(F.col("year") == first_year, last_fills)).alias(f"fills_{first_year}"),
+        *[F.max(F.when(last, F.col(c))).alias(c) for c in measures],
+        F.max("year").alias("year"),
+    )
+    return folded.filter(F.col("year") == last_year).withColumn(
+        "fill_cagr", cagr(first_fills, last_fills, last_year - first_year)
+    )
+
+
 def segment_cagr(
     segments: DataFrame, dimension: str, first_year: int, last_year: int
 ) -> DataFrame:
     """Growth of the segments present in the last year."""
-    first, last = F.col(f"fills_{first_year}"), F.col(f"fills_{last_year}")
-    return (
-        segment_pivot(segments, dimension, [first_year, last_year])
-        .filter(last.isNotNull())
-        .withColumn("fill_cagr", cagr(first, last, last_year - first_year))
+    return latest_segments(segments, dimension, first_year, last_year).select(
+        dimension, f"fills_{first_year}",
+        F.col("total_30day_fills").alias(f"fills_{last_year}"), "fill_cagr",
     )
 
 
 def with_benchmark_gap(current: DataFrame) -> DataFrame:
     """Selected share against the share of all ranked segments together, in points."""
-    benchmark = ratio(
-        F.sum("selected_class_fills").over(Window.partitionBy()), F.sum("total_30day_fills").over(Window.partitionBy())
-    )
+    benchmark = current.agg(ratio(
+        exact_sum(F.col("selected_class_fills"), 1), exact_sum(F.col("total_30day_fills"), 1)
+    )).scalar()
     share = ratio(F.col("selected_class_fills"), F.col("total_30day_fills"))
     gap = F.greatest(F.col("benchmark_share") - F.col("selected_class_share"), F.lit(0.0)) * 100
     known = F.col("selected_class_share").isNotNull()
@@ -72,33 +92,44 @@ def winsorize(df: DataFrame, value: str, out: str) -> DataFrame:
     Below four known values nothing is clipped and missing becomes 0.
     """
     x = finite(F.col(value))
-    low, middle, high = (F.percentile(x, F.lit(q)).over(Window.partitionBy()) for q in (0.05, 0.5, 0.95))
+    limits = df.select(x.alias("x")).agg(
+        F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"),
+        F.count("x").alias("known"),
+    ).select(F.struct("q", "known")).scalar()
+    low, middle, high = (F.get(limits.getField("q"), F.lit(i)) for i in range(3))
     clipped = F.when(x.isNotNull(), F.least(F.greatest(x, low), high)).otherwise(middle)
-    few = F.count(x).over(Window.partitionBy()) < 4
+    few = limits.getField("known") < 4
     result = F.when(few, F.coalesce(x, F.lit(0.0))).otherwise(clipped)
     return df.withColumn(out, F.round(result, PLACES))
 
 
+def write_segments(
+    workspace: Workspace, segments: DataFrame, dimension: str, first_year: int, last_year: int
+) -> DataFrame:
+    """`latest_segments`, written."""
+    latest = latest_segments(segments, dimension, first_year, last_year)
+    return workspace.write(workspace.fresh_path("segments"), latest)
+
+
 def opportunity_components(
-    segments: DataFrame, dimension: str, first_year: int, last_year: int
+    workspace: Workspace, current: DataFrame, rows: int, dimension: str
 ) -> DataFrame:
-    """Segments of the last year with the four component percentiles."""
-    growth = segment_cagr(segments, dimension, first_year, last_year)
-    current = with_benchmark_gap(segments.filter(F.col("year") == last_year))
-    current = current.join(growth.select(dimension, "fill_cagr"), dimension)
-    current = winsorize(current, "fill_cagr", "winsorized_cagr")
-    basis = {
-        "scale": F.log1p("total_30day_fills"),
-        "growth": F.col("winsorized_cagr"),
-        "class_gap": F.col("peer_gap_pp"),
-        "completeness": F.round("beneficiary_completeness", PLACES),
-    }
-    return current.withColumns(
-        {f"{name}_component": segment_percentile(value) for name, value in basis.items()}
-    )
+    """The written segments (`rows` of them) with their four component percentiles."""
+    current = winsorize(with_benchmark_gap(current), "fill_cagr", "winsorized_cagr")
+    current = current.withColumns({
+        # log1p keeps the order of fills, so the fills are ranked as they are.
+        "_scale": F.col("total_30day_fills"),
+        "_growth": F.col("winsorized_cagr"),
+        "_class_gap": F.col("peer_gap_pp"),
+        "_completeness": F.round("beneficiary_completeness", PLACES),
+    })
+    basis = {f"_{name}": f"{name}_component" for name in COMPONENTS}
+    return add_average_percentiles(workspace, current, rows, dimension, basis).drop(*basis)
 
 
-def score(components: DataFrame, weights: ScoreWeights) -> DataFrame:
+def score(
+    workspace: Workspace, components: DataFrame, rows: int, dimension: str, weights: ScoreWeights
+) -> DataFrame:
     """Scenario scores and ranks (ties share the best rank), rank range, interpretation."""
     scenarios = weights.scenarios
     scored = components.withColumns({
@@ -107,10 +138,8 @@ def score(components: DataFrame, weights: ScoreWeights) -> DataFrame:
         )
         for scenario, w in scenarios.items()
     })
-    scored = scored.withColumns({
-        f"rank_{scenario}": F.rank().over(Window.partitionBy().orderBy(F.col(f"score_{scenario}").desc()))
-        for scenario in scenarios
-    })
+    ranked = {f"score_{scenario}": f"rank_{scenario}" for scenario in scenarios}
+    scored = add_ranks(workspace, scored, rows, dimension, ranked)
     ranks = [F.col(f"rank_{scenario}") for scenario in scenarios]
     spread = F.greatest(*ranks) - F.least(*ranks) if len(ranks) > 1 else F.lit(0)
     label = F.when(F.col("peer_gap_pp") > 0, F.lit(WITH_GAP)).otherwise(F.lit(WITHOUT_GAP))
@@ -118,9 +147,14 @@ def score(components: DataFrame, weights: ScoreWeights) -> DataFrame:
 
 
 def opportunity_table(
-    segments: DataFrame, dimension: str, first_year: int, last_year: int, weights: ScoreWeights
+    workspace: Workspace, segments: DataFrame, dimension: str, first_year: int, last_year: int,
+    weights: ScoreWeights,
 ) -> DataFrame:
-    return score(opportunity_components(segments, dimension, first_year, last_year), weights)
+    """Scores of the segments present in the last year, every step above in turn."""
+    current = write_segments(workspace, segments, dimension, first_year, last_year)
+    rows = current.count()
+    components = opportunity_components(workspace, current, rows, dimension)
+    return score(workspace, components, rows, dimension, weights)
 
 
 def allow_listed(segments: DataFrame, dimension: str, allowed: list[str]) -> DataFrame:

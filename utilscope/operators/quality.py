@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from utilscope.functions.numbers import sum_of
 from utilscope.functions.text import contains_any, normalize_text
@@ -17,7 +18,11 @@ from utilscope.operators.aggregates import MEASURES, class_year, duplicate_grain
 from utilscope.operators.classify import INCLUDED
 from utilscope.rules import ScopeRules
 from utilscope.schema import GRAIN
+from utilscope.workspace import literal_rows
 
+EXPECTED_YEAR = T.StructType([
+    T.StructField("year", T.IntegerType()), T.StructField("expected", T.BooleanType())
+])
 REQUIRED = ["brand_name", "generic_name", "drug_class", *MEASURES]
 
 
@@ -49,7 +54,7 @@ def _violations(fact: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def check_years(fact: DataFrame, expected: list[int], min_columns: int = 30) -> DataFrame:
     """Each year seen or expected, and whether it is both; the column count is checked too."""
-    wanted = fact.sparkSession.createDataFrame([(y, True) for y in expected], "year int, expected boolean")
+    wanted = literal_rows(fact.sparkSession, [(y, True) for y in expected], EXPECTED_YEAR)
     seen = fact.select("year").distinct().withColumn("observed", F.lit(True))
     both = wanted.join(seen, "year", "full")
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("expected", "observed")}

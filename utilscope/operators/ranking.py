@@ -10,12 +10,15 @@ column may span slices, because the sort key is made unique, so no value is too
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utilscope.functions.numbers import ratio
 from utilscope.workspace import Workspace
 
+ONE_TASK_ROWS = 100_000  # largest table that is ranked in a single task
 _POSITION_BITS = 33  # monotonically_increasing_id: slice number above, position below
 
 
@@ -67,6 +70,10 @@ class GlobalOrder:
             .select(*self.by, "_slice", "_before", "group_rows", "group_values")
         )
 
+    def groups(self) -> DataFrame:
+        """Distinct groups, from the slice table."""
+        return self._slices.select(*self.by).distinct()
+
     def numbered(self) -> DataFrame:
         """Rows with `row_number` (1 = highest value), `group_rows` and `group_values`.
 
@@ -164,8 +171,46 @@ def average_percentile(order: GlobalOrder, name: str) -> DataFrame:
     return order.clean(ranked.withColumn(name, score))
 
 
-def segment_percentile(value: Column) -> Column:
-    """`average_percentile` as a window, for tables of a few hundred segments."""
+def add_average_percentiles(
+    workspace: Workspace, df: DataFrame, rows: int, key: str, names: dict[str, str]
+) -> DataFrame:
+    """Ascending average-tie percentile of each column in `names`, as its mapped name.
+
+    Ranks over all `rows` rows of `df`, whose `key` is unique.  Small tables take a window,
+    larger ones a `GlobalOrder` per column.
+    """
+    if rows <= ONE_TASK_ROWS:
+        return df.withColumns({out: _window_percentile(F.col(c)) for c, out in names.items()})
+    return _joined_ranks(workspace, df, key, names, average_percentile)
+
+
+def add_ranks(
+    workspace: Workspace, df: DataFrame, rows: int, key: str, names: dict[str, str]
+) -> DataFrame:
+    """Descending rank (ties share the best) of each column in `names`, as its mapped name."""
+    if rows <= ONE_TASK_ROWS:
+        return df.withColumns({
+            out: F.rank().over(Window.partitionBy().orderBy(F.col(c).desc_nulls_last()))
+            for c, out in names.items()
+        })
+    return _joined_ranks(workspace, df, key, names, _best_rank)
+
+
+def _joined_ranks(workspace, df, key, names, rank_of) -> DataFrame:
+    ranked = df
+    for column, out in names.items():
+        order = GlobalOrder(
+            workspace, f"order-{uuid4().hex}", df.select(key, column), [], column, [key]
+        )
+        ranked = ranked.join(rank_of(order, out).select(key, out), key)
+    return ranked
+
+
+def _best_rank(order: GlobalOrder, name: str) -> DataFrame:
+    return order.with_ties().withColumn(name, F.col("tie_first").cast("int"))
+
+
+def _window_percentile(value: Column) -> Column:
     everything = Window.partitionBy()
     rank = F.rank().over(everything.orderBy(value.asc_nulls_last()))
     ties = F.count(F.lit(1)).over(everything.partitionBy(value))

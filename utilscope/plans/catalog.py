@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from utilscope.functions.numbers import not_integral, to_bigint, to_double
 from utilscope.functions.text import masked_id, normalize_text, provider_id
@@ -24,7 +25,7 @@ from utilscope.plans.star import (
 from utilscope.schema import FACT_COLUMNS, RAW_COLUMNS
 from utilscope.sources import files, manifest, rule_files
 from utilscope.streaming import ingest
-from utilscope.workspace import Workspace
+from utilscope.workspace import Workspace, literal_rows, stamp
 
 SETTINGS = MarketSettings(
     years=YEARS, rules=STAR_RULES, ranked_states=RANKED_STATES, kept_specialties=3,
@@ -33,6 +34,7 @@ SETTINGS = MarketSettings(
 LATEST = SETTINGS.latest_year
 SLICE = Slice(year=LATEST, provider_specialty="BUILDING", marketed_name_type="brand-identifiable")
 RAW_BRAND, RAW_GENERIC = "Brnd_Name", "Gnrc_Name"
+LINE = T.StructType([T.StructField("value", T.StringType())])
 SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "part")
 
 
@@ -68,11 +70,8 @@ _markets: dict[tuple, StarMarket] = {}
 
 def star_market(spark: SparkSession, sf_dir: str) -> StarMarket:
     """The market of a folder, rebuilt when the session or the files behind it change."""
-    paths = [f"{sf_dir}/{name}.parquet" for name in SOURCE_TABLES]
-    listing = spark.read.format("binaryFile").load(paths).agg(
-        F.count("path"), F.sum("length"), F.max("modificationTime")
-    )
-    key = (spark.sparkContext.applicationId, sf_dir, *listing.first())
+    stamps = [stamp(spark, f"{sf_dir}/{name}.parquet") for name in SOURCE_TABLES]
+    key = (spark.sparkContext.applicationId, sf_dir, *stamps)
     if key not in _markets:
         _markets[key] = StarMarket(spark, sf_dir)
     return _markets[key]
@@ -91,7 +90,7 @@ def load_class_map(m: StarMarket) -> DataFrame:
     """The map as read from its file, with the product labels each term occurs in."""
     path = m.workspace.fresh_path("class_map")
     rows = [(t.text, t.label_class, t.priority, None) for t in STAR_RULES.terms]
-    m.spark.createDataFrame(rows, rule_files.CLASS_MAP_SCHEMA).write.option("header", True).csv(path)
+    literal_rows(m.spark, rows, rule_files.CLASS_MAP_SCHEMA).write.option("header", True).csv(path)
     hits = label_hits(m.labels(), STAR_RULES).groupBy("match_term").agg(
         F.count(F.lit(1)).alias("labels")
     )
@@ -104,8 +103,8 @@ def load_class_map(m: StarMarket) -> DataFrame:
 def load_exclusions(m: StarMarket) -> DataFrame:
     """Excluded brands as read from their line list, with the parts sold under them."""
     path = m.workspace.fresh_path("excluded_brands")
-    lines = [("# excluded brands",), ("",), ("  BRAND#13 ",), ("Brand 13",), ("#Brand#7",), ("Brand#21",)]
-    m.spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
+    lines = ["# excluded brands", "", "  BRAND#13 ", "Brand 13", "#Brand#7", "Brand#21"]
+    literal_rows(m.spark, [(line,) for line in lines], LINE).write.text(path)
     excluded = rule_files.read_term_list(m.spark, path)
     parts = m.labels().groupBy(normalize_text(F.col("brand_name")).alias("term")).agg(
         F.count(F.lit(1)).alias("parts")
@@ -141,30 +140,29 @@ def _ingest_paths(m: StarMarket, name: str) -> ingest.IngestPaths:
     )
 
 
-def _land(m: StarMarket, paths: ingest.IngestPaths, year: int) -> None:
-    """One more year arrives in the landing folder."""
-    rows = m.raw().filter(F.col("year") == year).drop("year")
-    (
-        rows.write.option("header", True).option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(f"{paths.landing}/year={year}")
-    )
+def _land(m: StarMarket, paths: ingest.IngestPaths, years: list[int]) -> None:
+    """Some years arrive in the landing folder."""
+    files.write_raw_csv(m.raw().filter(F.col("year").isin(years)), paths.landing, mode="append")
+
+
+ARRIVALS = [YEARS[:-1], YEARS[-1:]]
 
 
 def incremental_ingest(m: StarMarket) -> DataFrame:
+    """Two arrivals, then a run that finds nothing new."""
     paths = _ingest_paths(m, "ingest")
-    for run, year in enumerate(YEARS):
-        _land(m, paths, year)
-        ingest.ingest_available(m.spark, paths, ingest.candidates(STAR_RULES), run)
-    ingest.ingest_available(m.spark, paths, ingest.candidates(STAR_RULES), len(YEARS))
+    for run, years in enumerate([*ARRIVALS, []]):
+        if years:
+            _land(m, paths, years)
+        ingest.ingest_available(m.spark, paths, STAR_RULES, ingest.raw_candidates, run)
     return m.spark.read.parquet(paths.sink).select(*RAW_COLUMNS, "year", "ingest_run")
 
 
 def incremental_market_year(m: StarMarket) -> DataFrame:
     paths = _ingest_paths(m, "ingest_market")
-    for run, year in enumerate(YEARS):
-        _land(m, paths, year)
-        ingest.ingest_available(m.spark, paths, ingest.typed_fact(STAR_RULES), run)
+    for run, years in enumerate(ARRIVALS):
+        _land(m, paths, years)
+        ingest.ingest_available(m.spark, paths, STAR_RULES, ingest.typed_fact, run)
         ingest.publish_partials(m.spark, paths, run)
     return ingest.incremental_market_year(m.spark, paths)
 
@@ -224,25 +222,28 @@ def percentile_rank_avg(m: StarMarket) -> DataFrame:
     return ranked.select("year", "provider_npi", FILLS, "fills_percentile")
 
 
-def winsorize(m: StarMarket) -> DataFrame:
-    growth = opportunity.segment_cagr(
-        m.ranked_states(), "provider_state", SETTINGS.first_year, LATEST
+def _state_segments(m: StarMarket) -> DataFrame:
+    return opportunity.write_segments(
+        m.workspace, m.ranked_states(), "provider_state", SETTINGS.first_year, LATEST
     )
-    return opportunity.winsorize(growth, "fill_cagr", "winsorized_cagr").select(
+
+
+def winsorize(m: StarMarket) -> DataFrame:
+    return opportunity.winsorize(_state_segments(m), "fill_cagr", "winsorized_cagr").select(
         "provider_state", "fill_cagr", "winsorized_cagr"
     )
 
 
 def benchmark_gap(m: StarMarket) -> DataFrame:
-    latest = m.ranked_states().filter(F.col("year") == LATEST)
-    return opportunity.with_benchmark_gap(latest).select(
+    return opportunity.with_benchmark_gap(_state_segments(m)).select(
         "provider_state", "selected_class_share", "benchmark_share", "peer_gap_pp"
     )
 
 
 def opportunity_components(m: StarMarket) -> DataFrame:
+    current = _state_segments(m)
     parts = opportunity.opportunity_components(
-        m.ranked_states(), "provider_state", SETTINGS.first_year, LATEST
+        m.workspace, current, current.count(), "provider_state"
     )
     return parts.select(
         "provider_state", "scale_component", "growth_component", "class_gap_component",

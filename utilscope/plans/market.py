@@ -116,7 +116,7 @@ class Market:
     def opportunity(self, segments: DataFrame, dimension: str) -> DataFrame:
         s = self.settings
         return opportunity.opportunity_table(
-            segments, dimension, s.first_year, s.latest_year, s.weights
+            self.workspace, segments, dimension, s.first_year, s.latest_year, s.weights
         )
 
     def state_opportunity(self) -> DataFrame:

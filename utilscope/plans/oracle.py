@@ -243,7 +243,7 @@ seg_gap AS (
                     THEN greatest(benchmark_share - selected_class_share, 0) * 100 END, 10) AS peer_gap_pp
   FROM {segments} WHERE year = 2000),
 seg_basis AS (
-  SELECT g.*, fill_cagr, winsorized_cagr, round(beneficiary_completeness, 10) AS completeness
+  SELECT g.*, fills_1998, fill_cagr, winsorized_cagr, round(beneficiary_completeness, 10) AS completeness
   FROM seg_gap g JOIN seg_growth USING ({dim})),
 seg_components AS (
   SELECT * EXCLUDE (completeness), {pct('total_30day_fills')} AS scale_component,
@@ -407,7 +407,7 @@ STATEMENTS: dict[str, str] = {
         count(*) FILTER (candidate) AS filtered_row_count, 22 AS column_count,
         'bolt|cold|gear|gizmo|hot|plate|ring|rod|widget' AS filter_terms,
         'brand 13' AS excluded_brands FROM {CANDIDATE_RAW} GROUP BY year""",
-    "incremental_ingest": f"""SELECT {NULLED}, year, CAST(year - 1998 AS INTEGER) AS ingest_run
+    "incremental_ingest": f"""SELECT {NULLED}, year, CAST(year // 2000 AS INTEGER) AS ingest_run
         FROM {CANDIDATE_RAW} WHERE candidate""",
     "incremental_market_year": "SELECT * FROM market",
     "standardize_fact": "SELECT * FROM candidates",

@@ -35,10 +35,10 @@ def stamp_year(df: DataFrame, pattern: str = r"(\d{4})[^/\d]*\.csv[^/]*$") -> Da
     return df.withColumn("year", found.try_cast("int"))
 
 
-def write_raw_csv(raw: DataFrame, path: str) -> None:
+def write_raw_csv(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Raw rows as CSV with one directory per year, white space kept as it is."""
     (
-        raw.write.mode("overwrite").partitionBy("year").option("header", True)
+        raw.write.mode(mode).partitionBy("year").option("header", True)
         .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False).csv(path)
     )

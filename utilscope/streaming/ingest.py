@@ -19,7 +19,7 @@ from utilscope.functions.numbers import sum_of
 from utilscope.operators.aggregates import (
     MEASURES, measure_sums, selected_fills, selected_share, unit_costs,
 )
-from utilscope.operators.classify import candidate_filter, included
+from utilscope.operators.classify import candidate_filter, in_scope, included
 from utilscope.operators.clean import standardize
 from utilscope.rules import ScopeRules
 from utilscope.schema import RAW_COLUMNS, RAW_SCHEMA
@@ -47,32 +47,41 @@ def raw_stream(spark: SparkSession, landing: str, max_bytes_per_batch: int = 512
     )
 
 
-def candidates(rules: ScopeRules) -> Callable[[DataFrame], DataFrame]:
-    """Transform that keeps raw rows in scope."""
-    return lambda raw: candidate_filter(raw, rules, "Brnd_Name", "Gnrc_Name").select(
-        *RAW_COLUMNS, "year"
-    )
+def raw_candidates(raw: DataFrame, rules: ScopeRules) -> DataFrame:
+    """Raw rows in scope."""
+    return candidate_filter(raw, rules, "Brnd_Name", "Gnrc_Name").select(*RAW_COLUMNS, "year")
 
 
-def typed_fact(rules: ScopeRules) -> Callable[[DataFrame], DataFrame]:
-    """Transform from raw rows to included fact rows."""
-    return lambda raw: included(standardize(candidates(rules)(raw), rules))
+def typed_fact(raw: DataFrame, rules: ScopeRules) -> DataFrame:
+    """Included fact rows."""
+    return included(standardize(raw_candidates(raw, rules), rules))
 
 
 def ingest_available(
-    spark: SparkSession, paths: IngestPaths, transform: Callable[[DataFrame], DataFrame], run: int
-) -> None:
+    spark: SparkSession, paths: IngestPaths, rules: ScopeRules,
+    transform: Callable[[DataFrame, ScopeRules], DataFrame], run: int,
+) -> list[dict]:
     """Take every file that has landed since the last run, then stop.
 
     After a crash, call again with the same `run`: finished micro-batches are not repeated.
+    Returns the rows scanned and kept by each of the last micro-batches.
     """
-    rows = transform(raw_stream(spark, paths.landing)).withColumn("ingest_run", F.lit(run))
-    (
-        rows.writeStream.format("parquet").option("path", paths.sink)
+    in_scope_rows = F.count_if(in_scope(rules, "Brnd_Name", "Gnrc_Name"))
+    raw = raw_stream(spark, paths.landing).observe(
+        "extract", F.count(F.lit(1)).alias("scanned"), in_scope_rows.alias("kept")
+    )
+    query = (
+        transform(raw, rules).withColumn("ingest_run", F.lit(run))
+        .writeStream.format("parquet").option("path", paths.sink)
         .option("checkpointLocation", paths.checkpoint).option("compression", "zstd")
-        .partitionBy("ingest_run", "year").trigger(availableNow=True)
-        .start().awaitTermination()
+        .partitionBy("ingest_run", "year").trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+    return [
+        {"batch": p.batchId, **p.observedMetrics["extract"].asDict()}
+        for p in query.recentProgress
+        if "extract" in p.observedMetrics
+    ]
 
 
 def publish_partials(spark: SparkSession, paths: IngestPaths, run: int) -> None:

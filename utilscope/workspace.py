@@ -11,6 +11,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 _local_root: list[str] = []
@@ -30,6 +32,25 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root[0]
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A handful of configuration rows as a table, without a Python worker."""
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes, files and modification time of a file or folder, without reading it."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    summary = files.getContentSummary(target)
+    changed = files.getFileStatus(target).getModificationTime()
+    return summary.getLength(), summary.getFileCount(), changed
+
+
 class Workspace:
     """Named tables under one folder of their own; each is built at most once."""
 
