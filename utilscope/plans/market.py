@@ -39,19 +39,23 @@ class Market:
     """A fact and the tables derived from it.
 
     The fact, the provider ranking and the cube are written to the workspace on first use;
-    everything else is a plan over them.
+    everything else is a plan over them.  A fact that is stored already (`stored`) is read
+    where it lies.
     """
 
     def __init__(
-        self, workspace: Workspace, build_fact: Callable[[], DataFrame], settings: MarketSettings
+        self, workspace: Workspace, build_fact: Callable[[], DataFrame], settings: MarketSettings,
+        stored: bool = False,
     ):
         self.workspace = workspace
         self.settings = settings
-        self._build_fact = build_fact
+        self._build_fact, self._stored = build_fact, stored
         self._order: GlobalOrder | None = None
 
     @property
     def fact(self) -> DataFrame:
+        if self._stored:
+            return self._build_fact()
         return self.workspace.table("fact", self._build_fact, ["year"])
 
     @property
