@@ -79,17 +79,23 @@ def test_fraction_in_integer_column_is_rejected(spark, tmp_path):
 
 def test_manifest(spark, tmp_path):
     rows = [raw_row(), raw_row(Brnd_Name="Wegovy"), raw_row(Gnrc_Name="Aspirin"),
-            raw_row(Gnrc_Name="Insulin Pump Cartridge")]
-    write_year(tmp_path, 2024, rows)
-    raw = files.read_strict_csv(spark, str(tmp_path))
-    counts = manifest.extract_counts(raw, DIABETES_RULES).first()
+            raw_row(Gnrc_Name="Insulin Pump Cartridge", Tot_Benes="")]
+    write_year(tmp_path / "in", 2024, rows)
+    write_year(tmp_path / "in", 2023, [raw_row(Gnrc_Name="Aspirin")])
+    raw = files.read_strict_csv(spark, str(tmp_path / "in"))
+    grouped = manifest.extract_counts(raw, DIABETES_RULES)
+    observed = manifest.extract(raw, DIABETES_RULES, [2023, 2024], str(tmp_path / "out"))
+    assert sorted(observed.collect()) == sorted(grouped.collect())
+    counts = grouped.filter("year = 2024").first()
     assert (counts.source_rows_scanned, counts.candidate_rows, counts.excluded_rows) == (4, 2, 1)
-    row = manifest.extract_manifest(raw, DIABETES_RULES).first()
-    assert (row.column_count, row.excluded_brands) == (22, "saxenda|wegovy|zepbound")
+    kept = manifest.read_extract(raw, str(tmp_path / "out"))
+    assert sorted(r.Gnrc_Name for r in kept.collect()) == ["Insulin Pump Cartridge", "Semaglutide"]
+    row = manifest.manifest(observed, DIABETES_RULES).filter("year = 2024").first()
+    assert (row.filtered_row_count, row.column_count, row.excluded_brands) == (2, 22, "saxenda|wegovy|zepbound")
     shuffled = raw.repartition(3).orderBy(F.rand(1))
-    assert manifest.extract_counts(shuffled, DIABETES_RULES).first().fingerprint == counts.fingerprint
-    size = files.file_sizes(raw).first()
-    assert size.source_bytes_scanned == (tmp_path / "year=2024" / "extract.csv").stat().st_size
+    assert sorted(manifest.extract_counts(shuffled, DIABETES_RULES).collect()) == sorted(grouped.collect())
+    size = files.file_sizes(spark, str(tmp_path / "in")).filter("year = 2024").first()
+    assert size.source_bytes_scanned == (tmp_path / "in/year=2024/extract.csv").stat().st_size
 
 
 def test_fact_roundtrip_is_partitioned(spark, tmp_path):

@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from utilscope.operators import aggregates, concentration, cube, headline, profile, quality, ranking
-from utilscope.operators.classify import candidate_filter, included, scope_audit, unmapped
+from utilscope.operators.classify import included, scope_audit, unmapped
 from utilscope.operators.clean import rename_raw, require_integral, standardize
 from utilscope.plans.market import FILLS, Market, MarketSettings
 from utilscope.schema import GRAIN
@@ -34,36 +34,41 @@ class BatchPaths:
         return f"{self.out}/{name}"
 
 
-def build_fact(spark: SparkSession, paths: BatchPaths, settings: MarketSettings) -> DataFrame:
-    """Scan, filter, type, classify and store the fact; stops on rows it cannot represent."""
-    raw = candidate_filter(
-        files.read_strict_csv(spark, paths.landing), settings.rules, "Brnd_Name", "Gnrc_Name"
+def extract(spark: SparkSession, paths: BatchPaths, settings: MarketSettings) -> tuple[DataFrame, DataFrame]:
+    """One pass over the raw CSV: the candidate rows, stored, and their counts by year.
+
+    All later steps read the candidates, a small part of the source.
+    """
+    raw = files.read_strict_csv(spark, paths.landing)
+    counts = manifest.extract(raw, settings.rules, settings.years, paths.under("candidates"))
+    extracted = manifest.manifest(counts, settings.rules)
+    files.write_json_records(
+        extracted.join(files.file_sizes(spark, paths.landing), "year"), paths.under("manifest")
     )
-    fact = included(standardize(require_integral(raw), settings.rules))
+    return manifest.read_extract(raw, paths.under("candidates")), counts
+
+
+def build_fact(candidates: DataFrame, paths: BatchPaths, settings: MarketSettings) -> DataFrame:
+    """Type, classify and store the fact; stops on rows or labels it cannot represent."""
+    fact = included(standardize(require_integral(candidates), settings.rules))
     files.write_fact(fact, paths.under("fact"), balance=True)
-    stored = files.read_fact(spark, paths.under("fact"), fact.schema)
+    stored = files.read_fact(fact.sparkSession, paths.under("fact"), fact.schema)
     missing = unmapped(stored, settings.rules).limit(20).collect()
     if missing:
         raise UnmappedLabels(f"labels without a class: {missing}")
     return stored
 
 
-def write_profiles(spark: SparkSession, paths: BatchPaths, settings: MarketSettings) -> None:
-    """Manifest, profiles of the candidate rows, and the audit of every label decision."""
-    scanned = files.read_strict_csv(spark, paths.landing)
-    extract = manifest.extract_manifest(scanned, settings.rules).join(
-        files.file_sizes(scanned), "year"
-    )
-    raw = candidate_filter(scanned, settings.rules, "Brnd_Name", "Gnrc_Name")
-    audit = scope_audit(rename_raw(raw), settings.rules)
+def write_profiles(candidates: DataFrame, paths: BatchPaths, settings: MarketSettings) -> None:
+    """Profiles of the candidate rows and the audit of every label decision."""
+    audit = scope_audit(rename_raw(candidates), settings.rules)
     records = {
-        "manifest": extract,
-        "profile_rows": profile.profile_rows(raw),
-        "profile_blanks": profile.profile_blank_counts(raw),
-        "profile_duplicates": profile.profile_duplicate_keys(raw, ["year"], profile.RAW_KEY),
-        "profile_labels": profile.profile_label_pairs(raw, "Brnd_Name", "Gnrc_Name"),
-        "profile_numbers": profile.profile_numeric_range(raw),
-        "profile_missing": profile.profile_missing_rate(raw),
+        "profile_rows": profile.profile_rows(candidates),
+        "profile_blanks": profile.profile_blank_counts(candidates),
+        "profile_duplicates": profile.profile_duplicate_keys(candidates, ["year"], profile.RAW_KEY),
+        "profile_labels": profile.profile_label_pairs(candidates, "Brnd_Name", "Gnrc_Name"),
+        "profile_numbers": profile.profile_numeric_range(candidates),
+        "profile_missing": profile.profile_missing_rate(candidates),
         "scope_counts": profile.scope_counts(audit),
     }
     for name, df in records.items():
@@ -109,10 +114,10 @@ def reports(market: Market) -> dict[str, DataFrame]:
     }
 
 
-def checks(market: Market, scanned: DataFrame) -> dict[str, DataFrame]:
-    """Every check of the built tables; `scanned` is the raw extract."""
+def checks(market: Market, candidates: DataFrame, counts: DataFrame) -> dict[str, DataFrame]:
+    """Every check of the built tables against the candidate rows and their counts."""
     fact, rules, s = market.fact, market.settings.rules, market.settings
-    reparsed = included(standardize(candidate_filter(scanned, rules, "Brnd_Name", "Gnrc_Name"), rules))
+    reparsed = included(standardize(candidates, rules))
     return {
         "years": quality.check_years(fact, s.years),
         "grain": quality.check_grain(fact),
@@ -124,7 +129,7 @@ def checks(market: Market, scanned: DataFrame) -> dict[str, DataFrame]:
             quality.layer_totals(reparsed), quality.layer_totals(fact),
             ["rows", *aggregates.MEASURES],
         ),
-        "counts": quality.reconcile_counts(manifest.extract_counts(scanned, rules), fact),
+        "counts": quality.reconcile_counts(counts, fact),
         "class_rollup": quality.reconcile_class_rollup(fact),
         "cube_fanout": quality.cube_join_fanout(market.cube, fact),
         "scores": quality.check_score_bounds(market.state_opportunity(), list(s.weights.scenarios)),
@@ -133,15 +138,15 @@ def checks(market: Market, scanned: DataFrame) -> dict[str, DataFrame]:
 
 def run(spark: SparkSession, paths: BatchPaths, settings: MarketSettings, strict: bool = True) -> Market:
     """Build and publish everything under `paths.out`; with `strict`, fail on a failed check."""
-    write_profiles(spark, paths, settings)
-    fact = build_fact(spark, paths, settings)
+    candidates, counts = extract(spark, paths, settings)
+    write_profiles(candidates, paths, settings)
+    fact = build_fact(candidates, paths, settings)
     market = Market(Workspace(spark), lambda: fact, settings, stored=True)
     published = reports(market)
     for name, df in published.items():
         files.write_json_records(df, paths.under(name))
-    scanned = files.read_strict_csv(spark, paths.landing)
     verdicts = quality.all_checks({
-        **checks(market, scanned),
+        **checks(market, candidates, counts),
         "published_market": quality.check_latest_row(
             files.read_json_records(spark, paths.under("market_year"), published["market_year"].schema),
             market.market_year(), settings.latest_year,

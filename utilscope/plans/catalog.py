@@ -127,9 +127,15 @@ def opportunity_export(m: StarMarket) -> DataFrame:
     return m.spark.read.schema(export.schema).option("header", True).csv(path)
 
 
+def extract_manifest(m: StarMarket) -> DataFrame:
+    path = m.workspace.fresh_path("extract")
+    counts = manifest.extract(m.raw(), STAR_RULES, YEARS, path)
+    return manifest.manifest(counts, STAR_RULES).drop("fingerprint")
+
+
 def extract_fingerprint(m: StarMarket) -> DataFrame:
-    counts = manifest.extract_manifest(m.raw(), STAR_RULES).select("year", "fingerprint")
-    return counts.join(files.file_sizes(m.raw()), "year")
+    counts = manifest.extract_counts(m.raw(), STAR_RULES).select("year", "fingerprint")
+    return counts.join(files.file_sizes(m.spark, m.landing), "year")
 
 
 def _ingest_paths(m: StarMarket, name: str) -> ingest.IngestPaths:
@@ -283,7 +289,7 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     "load_exclusions": load_exclusions,
     "json_records_roundtrip": json_records_roundtrip,
     "opportunity_export": opportunity_export,
-    "extract_manifest": lambda m: manifest.extract_manifest(m.raw(), STAR_RULES).drop("fingerprint"),
+    "extract_manifest": extract_manifest,
     "extract_fingerprint": extract_fingerprint,
     "incremental_ingest": incremental_ingest,
     "incremental_market_year": incremental_market_year,

@@ -76,12 +76,9 @@ def write_csv_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def file_sizes(scanned: DataFrame) -> DataFrame:
-    """Bytes of the files behind a scan, by year. `scanned` must be an unprojected file scan."""
-    files = scanned.select(
-        "year", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
-    )
-    per_file = files.groupBy("year", "file").agg(F.max("size").alias("size"))
-    return per_file.groupBy("year").agg(
-        F.sum("size").alias("source_bytes_scanned"), F.count(F.lit(1)).alias("files")
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes and files by year directory below `path`, from the listing alone."""
+    listed = spark.read.format("binaryFile").load(path).select("year", "length")
+    return listed.groupBy("year").agg(
+        F.sum("length").alias("source_bytes_scanned"), F.count(F.lit(1)).alias("files")
     )

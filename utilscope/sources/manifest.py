@@ -1,38 +1,84 @@
-"""Extraction manifest: what a scan saw and what the scope filter kept."""
+"""Extraction: keep the rows in scope and record what the scan saw."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from utilscope.operators.classify import EXCLUDED, classify, in_scope
+from utilscope.functions.text import contains_any, normalize_text
+from utilscope.operators.classify import in_scope
 from utilscope.rules import ScopeRules
 from utilscope.schema import RAW_COLUMNS
+from utilscope.workspace import literal_rows
 
+BRAND, GENERIC = "Brnd_Name", "Gnrc_Name"
+COUNTS = ["source_rows_scanned", "candidate_rows", "excluded_rows", "fingerprint"]
+COUNT_SCHEMA = T.StructType([
+    T.StructField("year", T.IntegerType()),
+    *[T.StructField(c, T.LongType()) for c in COUNTS[:-1]],
+    T.StructField("fingerprint", T.StringType()),
+])
 
-def extract_counts(raw: DataFrame, rules: ScopeRules) -> DataFrame:
-    """Rows scanned, kept by the scope filter, then processed or excluded, in one pass.
 
-    `fingerprint` is a content hash of the kept rows that does not depend on their order or
-    on how they are split over files, so it can be taken by many tasks.
+def _flagged(raw: DataFrame, rules: ScopeRules) -> DataFrame:
+    """Raw rows with `_kept` (in scope) and `_device` (in scope, but an excluded pattern)."""
+    kept = F.coalesce(in_scope(rules, BRAND, GENERIC), F.lit(False))
+    device = contains_any(normalize_text(F.col(GENERIC)), list(rules.excluded_patterns))
+    return raw.withColumns({"_kept": kept, "_device": kept & device})
+
+
+def _counts(where: Column) -> list[Column]:
+    """The four counters over the rows that satisfy `where`, in the order of `COUNTS`.
+
+    The fingerprint is a content hash of the kept rows that does not depend on their order
+    or on how they are split over files, so many tasks can take it together.
     """
-    kept = F.col("_kept")
-    excluded = kept & (F.col("scope_status") == EXCLUDED)
+    kept = where & F.col("_kept")
     row_hash = F.xxhash64(*RAW_COLUMNS).cast("decimal(38,0)")
-    decided = classify(raw, rules, "Brnd_Name", "Gnrc_Name").withColumn(
-        "_kept", F.coalesce(in_scope(rules, "Brnd_Name", "Gnrc_Name"), F.lit(False))
-    )
-    return decided.groupBy("year").agg(
-        F.count(F.lit(1)).alias("source_rows_scanned"),
-        F.count_if(kept).alias("candidate_rows"),
-        F.count_if(excluded).alias("excluded_rows"),
-        F.sum(F.when(kept, row_hash)).cast("string").alias("fingerprint"),
+    return [
+        F.count_if(where), F.count_if(kept), F.count_if(where & F.col("_device")),
+        F.sum(F.when(kept, row_hash)).cast("string"),
+    ]
+
+
+def extract_counts(raw: DataFrame, rules: ScopeRules) -> DataFrame:
+    """Rows scanned, kept, then excluded as devices, with the fingerprint, by year."""
+    counters = [c.alias(name) for c, name in zip(_counts(F.lit(True)), COUNTS)]
+    return _flagged(raw, rules).groupBy("year").agg(*counters)
+
+
+def extract(raw: DataFrame, rules: ScopeRules, years: list[int], path: str) -> DataFrame:
+    """Write the rows in scope as Parquet and return `extract_counts`, in one pass over `raw`.
+
+    The counters ride on the write.  The job has no shuffle, so a lost executor cannot make
+    a finished task count twice.
+    """
+    observed = Observation("extract")
+    counters = [
+        c.alias(f"{name}_{year}")
+        for year in years
+        for c, name in zip(_counts(F.col("year") == year), COUNTS)
+    ]
+    (
+        _flagged(raw, rules).observe(observed, *counters)
+        .filter("_kept").select(*RAW_COLUMNS, "year")
+        .write.mode("overwrite").partitionBy("year").option("compression", "zstd").parquet(path)
     )
+    seen = observed.get
+    rows = [(y, *[seen[f"{name}_{y}"] for name in COUNTS]) for y in years]
+    return literal_rows(raw.sparkSession, rows, COUNT_SCHEMA)
+
+
+def read_extract(raw: DataFrame, path: str) -> DataFrame:
+    """The rows written by `extract` from `raw`."""
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in RAW_COLUMNS], raw.schema["year"]])
+    return raw.sparkSession.read.schema(schema).parquet(path)
 
 
-def extract_manifest(raw: DataFrame, rules: ScopeRules) -> DataFrame:
+def manifest(counts: DataFrame, rules: ScopeRules) -> DataFrame:
     """Counts by year with the column count and the terms and brands that were applied."""
-    return extract_counts(raw, rules).select(
+    return counts.select(
         "year", "source_rows_scanned", F.col("candidate_rows").alias("filtered_row_count"),
         F.lit(len(RAW_COLUMNS)).alias("column_count"),
         F.lit("|".join(rules.distinct_terms())).alias("filter_terms"),
