@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 UNKNOWN = "Unknown"
 
 
+# The characters that count as white space around text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# End of fixed values.
+
+
 def strip_text(c: Column) -> Column:
     """NULL becomes '', surrounding white space of any kind (tabs, NBSP) goes."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.trim(F.coalesce(c, F.lit("")), F.lit(WHITE_SPACE))
 
 
 def normalize_text(c: Column) -> Column:

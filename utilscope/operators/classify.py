@@ -2,12 +2,13 @@
 
 The rules compile to column expressions evaluated where the row is: no join, no
 shuffle, no UDF, and the same code runs on a batch, a stream or a distinct-label list.
+The rule rows are one literal array that is filtered per label, so generated code stays
+small (and compiled) however many terms there are.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import groupby
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -23,27 +24,29 @@ INCLUDED = "included"
 EXCLUDED = "excluded_non_drug"
 
 
-def matched_terms(normalized: Column, rules: ScopeRules) -> Column:
-    """Array of the distinct terms found in a normalized label, sorted."""
-    found = [F.when(F.contains(normalized, F.lit(t)), F.lit(t)) for t in rules.distinct_terms()]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+def _rule_hits(normalized: Column, rules: ScopeRules) -> Column:
+    """Array of the rules (term, label_class) found in a label, highest precedence first."""
+    rows = [
+        F.struct(F.lit(t.text).alias("term"), F.lit(t.label_class).alias("label_class"))
+        for t in rules.by_priority()
+    ]
+    if not rows:
+        return F.array().cast("array<struct<term:string,label_class:string>>")
+    return F.filter(F.array(*rows), lambda rule: F.contains(normalized, rule["term"]))
 
 
-def _class_of(generic: Column, rules: ScopeRules) -> Column:
-    def has_class(label_class: str) -> Column:
-        return contains_any(generic, [t.text for t in rules.terms if t.label_class == label_class])
+def _class_of(hits: Column, rules: ScopeRules) -> Column:
+    """A combination that the hits cover, else the class of the first hit."""
+    classes = hits["label_class"]
+    chosen = F.coalesce(F.get(classes, F.lit(0)), F.lit(rules.unmapped_class))
+    for combination in reversed(rules.combinations):
+        covered = [F.array_contains(classes, F.lit(c)) for c in combination.requires]
+        chosen = F.when(reduce(and_, covered), F.lit(combination.label_class)).otherwise(chosen)
+    return chosen
 
-    branches = [
-        (reduce(and_, [has_class(c) for c in combination.requires]), combination.label_class)
-        for combination in rules.combinations
-    ]
-    # Neighbours of one class in precedence order share a branch.
-    for label_class, terms in groupby(rules.by_priority(), key=lambda t: t.label_class):
-        branches.append((contains_any(generic, [t.text for t in terms]), label_class))
-    choice = F
-    for condition, label_class in branches:
-        choice = choice.when(condition, F.lit(label_class))
-    return choice.otherwise(F.lit(rules.unmapped_class)) if branches else F.lit(rules.unmapped_class)
+
+def _matched_terms(hits: Column) -> Column:
+    return F.array_sort(F.array_distinct(hits["term"]))
 
 
 def classify(
@@ -51,15 +54,19 @@ def classify(
 ) -> DataFrame:
     """Add the five decision columns to every row."""
     generic_norm, brand_norm, device = F.col("_generic"), F.col("_brand"), F.col("_device")
+    hits = F.col("_hits")
     return (
         df.withColumns({"_generic": normalize_text(F.col(generic)), "_brand": normalize_text(F.col(brand))})
-        .withColumn("_device", contains_any(generic_norm, list(rules.excluded_patterns)))
+        .withColumns({
+            "_device": contains_any(generic_norm, list(rules.excluded_patterns)),
+            "_hits": _rule_hits(generic_norm, rules),
+        })
         .withColumns({
             "drug_class": F.when(device, F.lit(rules.excluded_class)).otherwise(
-                _class_of(generic_norm, rules)
+                _class_of(hits, rules)
             ),
             "matched_terms": F.when(device, F.lit(rules.excluded_term)).otherwise(
-                F.array_join(matched_terms(generic_norm, rules), "|")
+                F.array_join(_matched_terms(hits), "|")
             ),
             "marketed_name_type": F.when(device, F.lit("not applicable"))
             .when(brand_norm == generic_norm, F.lit("generic-name listed"))
@@ -67,7 +74,7 @@ def classify(
             "scope_status": F.when(device, F.lit(EXCLUDED)).otherwise(F.lit(INCLUDED)),
         })
         .withColumn("is_selected_class", F.col("drug_class").isin(list(rules.selected_classes)))
-        .drop("_generic", "_brand", "_device")
+        .drop("_generic", "_brand", "_device", "_hits")
     )
 
 
@@ -114,8 +121,8 @@ def scope_audit(df: DataFrame, rules: ScopeRules) -> DataFrame:
 def label_hits(df: DataFrame, rules: ScopeRules, label: str = "generic_name") -> DataFrame:
     """One row per distinct label and mapped term it contains."""
     labels = df.select(label).distinct()
-    terms = F.explode(matched_terms(normalize_text(F.col(label)), rules))
-    return labels.select(label, terms.alias("match_term"))
+    found = _matched_terms(_rule_hits(normalize_text(F.col(label)), rules))
+    return labels.select(label, F.explode(found).alias("match_term"))
 
 
 def unmapped(df: DataFrame, rules: ScopeRules) -> DataFrame:
