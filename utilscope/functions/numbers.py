@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from utilscope.schema import SCALES
 
-_NUMERIC = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-_INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_DIGITS = r"^\s*[+-]?[0-9]{1,18}\s*$"
+_NUMERIC = rf"^\s*{_NUMBER}\s*$"
+_NUMERIC_OR_INFINITE = rf"^\s*({_NUMBER}|[+-]?(?i:inf(inity)?))\s*$"
 
 
 def to_double(text: Column) -> Column:
@@ -24,17 +26,19 @@ def to_double(text: Column) -> Column:
 def to_bigint(text: Column) -> Column:
     """As `to_double` for integers: '12', '12.0' and '1.2e1' give 12, '12.5' gives NULL.
 
-    Plain integers, nearly all values, never reach the pattern.
+    A failing integer cast is costly, so only text of plain digits is cast directly.
     """
     exact = text.try_cast("decimal(38,10)")
-    other = F.when(text.rlike(_NUMERIC) & (exact == F.floor(exact)), exact.try_cast("bigint"))
-    return F.coalesce(text.try_cast("bigint"), other)
+    whole = text.rlike(_NUMERIC) & (exact == F.floor(exact))
+    return F.when(text.rlike(_DIGITS), text.try_cast("bigint")).when(
+        whole, exact.try_cast("bigint")
+    )
 
 
 def not_integral(text: Column) -> Column:
     """True for a number that an integer column cannot hold (a row to reject)."""
-    is_number = text.rlike(_NUMERIC) | text.rlike(_INFINITE)
-    return F.coalesce(is_number & to_bigint(text).isNull(), F.lit(False))
+    suspect = text.isNotNull() & ~text.rlike(_DIGITS)
+    return suspect & text.rlike(_NUMERIC_OR_INFINITE) & to_bigint(text).isNull()
 
 
 def finite(c: Column) -> Column:

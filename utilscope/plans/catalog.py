@@ -195,13 +195,16 @@ def numeric_coerce(m: StarMarket) -> DataFrame:
         .when(form == 4, F.concat(quantity, F.lit(".5")))
         .otherwise(F.concat(F.lit("1,"), quantity))
     )
-    lines = m.table("lineitem").select(form.alias("form"), text.alias("text"))
+    lines = m.table("lineitem").select(form.alias("form"), text.alias("text")).select(
+        "form", to_bigint(F.col("text")).alias("whole"), to_double(F.col("text")).alias("number"),
+        not_integral(F.col("text")).alias("rejected"),
+    )
     return lines.groupBy("form").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count(to_bigint(F.col("text"))).alias("integers"),
-        F.sum(to_bigint(F.col("text"))).alias("integer_sum"),
-        F.sum(to_double(F.col("text"))).alias("double_sum"),
-        F.count_if(not_integral(F.col("text"))).alias("rejects"),
+        F.count("whole").alias("integers"),
+        F.sum("whole").alias("integer_sum"),
+        F.sum("number").alias("double_sum"),
+        F.count_if("rejected").alias("rejects"),
     )
 
 
