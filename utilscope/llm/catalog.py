@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utilscope.llm import op01_ngram_join
+from utilscope.llm import op01_ngram_join, op05_license_scan, op08_sharding
 from utilscope.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_QUERIES = (op01_ngram_join.op1_ngram_join,)
-_SQL = {"op1_ngram_join": op01_ngram_join.SQL}
+_QUERIES = (
+    op01_ngram_join.op1_ngram_join,
+    op05_license_scan.op5_license_scan,
+    op08_sharding.op8_sharding,
+)
+_SQL = {
+    "op1_ngram_join": op01_ngram_join.SQL,
+    "op5_license_scan": op05_license_scan.SQL,
+}
 
 
 def _shipped(query: Query) -> Query:
