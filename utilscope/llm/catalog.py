@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utilscope.llm import op01_ngram_join, op05_license_scan, op08_sharding
+from utilscope.llm import (
+    op01_ngram_join, op04_chat_format, op05_license_scan, op07_sentencepiece, op08_sharding, op09_html_text,
+)
 from utilscope.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES = (
     op01_ngram_join.op1_ngram_join,
+    op04_chat_format.op4_chat_format,
     op05_license_scan.op5_license_scan,
+    op07_sentencepiece.op7_sentencepiece,
     op08_sharding.op8_sharding,
+    op09_html_text.op9_html_text,
 )
 _SQL = {
     "op1_ngram_join": op01_ngram_join.SQL,
+    "op4_chat_format": op04_chat_format.SQL,
     "op5_license_scan": op05_license_scan.SQL,
 }
 
