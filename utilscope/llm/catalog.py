@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from utilscope.llm import (
-    op01_ngram_join, op04_chat_format, op05_license_scan, op07_sentencepiece, op08_sharding, op09_html_text,
+    op01_ngram_join, op02_language_id, op03_decontaminate, op04_chat_format, op05_license_scan,
+    op06_warc_fixity, op07_sentencepiece, op08_sharding, op09_html_text, op10_embedding_dedup,
 )
 from utilscope.llm.shipping import ship
 
@@ -15,16 +16,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES = (
     op01_ngram_join.op1_ngram_join,
+    op02_language_id.op2_language_id,
+    op03_decontaminate.op3_decontaminate,
     op04_chat_format.op4_chat_format,
     op05_license_scan.op5_license_scan,
+    op06_warc_fixity.op6_warc_fixity,
     op07_sentencepiece.op7_sentencepiece,
     op08_sharding.op8_sharding,
     op09_html_text.op9_html_text,
+    op10_embedding_dedup.op10_embedding_dedup,
 )
 _SQL = {
     "op1_ngram_join": op01_ngram_join.SQL,
     "op4_chat_format": op04_chat_format.SQL,
     "op5_license_scan": op05_license_scan.SQL,
+    "op6_warc_fixity": op06_warc_fixity.SQL,
+    "op10_embedding_dedup": op10_embedding_dedup.SQL,
 }
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from utilscope.workspace import shared_root
+from utilscope.workspace import Workspace, shared_root
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -18,3 +21,38 @@ def materialize(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table of the shared folder, whose size Spark knows when it plans a join."""
+    workspace = Workspace(df.sparkSession)
+    return workspace.write(workspace.path("table"), df)
+
+
+#: Bits of a broadcast membership filter (512 KB).
+FILTER_BITS = 1 << 22
+
+
+def maybe_in(hashes: DataFrame, of: Column) -> Column:
+    """Whether a row's LONG hash `of` may be among those of the one-column frame `hashes`.
+
+    Never false for one that is. The filter is a bitmap of fixed size, built by an aggregation
+    and broadcast; it lets most rows pass by an exact join, whatever their number.
+    """
+    spark = hashes.sparkSession
+    name = hashes.columns[0]
+    words = (
+        hashes.groupBy(F.shiftright(F.col(name).bitwiseAND(F.lit(FILTER_BITS - 1)), 6).alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))")).alias("bits")).toArrow()
+    )
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(values: pd.Series) -> pd.Series:
+        slot = values.to_numpy(dtype=np.int64).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        found = (sent.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
+        return pd.Series(found.astype(bool))
+
+    return held(of)
