@@ -9,6 +9,7 @@ from raw_fixture import csv_text, raw_row, write_year
 from utilscope.operators.clean import RejectedRows, rejected_rows, require_integral, standardize
 from utilscope.rules import DIABETES_RULES, INGREDIENT_CLASSES, ScopeRules, parse_terms
 from utilscope.schema import FACT_COLUMNS, RAW_COLUMNS
+from utilscope.streaming import ingest
 from utilscope.sources import files, manifest, rule_files
 
 
@@ -45,6 +46,27 @@ def test_wrong_layout_fails(spark, tmp_path, damage):
         scan(spark, tmp_path, text).collect()
 
 
+@pytest.mark.parametrize("fields", [9, 25])
+@pytest.mark.parametrize("query", [
+    lambda df: df.count(), lambda df: df.select("Gnrc_Name").collect(), lambda df: df.groupBy("Brnd_Name").count().collect(),
+])
+def test_a_damaged_row_fails_queries_of_few_columns(spark, tmp_path, fields, query):
+    text = csv_text([raw_row()]) + ",".join(["Semaglutide"] * fields) + "\n"
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        query(scan(spark, tmp_path, text))
+
+
+def test_a_damaged_row_fails_the_stream(spark, tmp_path):
+    folder = tmp_path / "landing" / "year=2024"
+    folder.mkdir(parents=True)
+    (folder / "x.csv").write_text(csv_text([raw_row()]) + ",".join(["Semaglutide"] * 9) + "\n")
+    root = tmp_path
+    paths = ingest.IngestPaths(f"{root}/landing", f"{root}/sink", f"{root}/checkpoint", f"{root}/partials")
+    narrow = lambda raw, rules: raw.select("Gnrc_Name", "year")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        ingest.ingest_available(spark, paths, DIABETES_RULES, narrow, 0)
+
+
 def test_year_from_file_name(spark, tmp_path):
     assert files.stamp_year(scan(spark, tmp_path, csv_text([raw_row()]))).first().year == 2024
 

@@ -13,6 +13,7 @@ CSV_OPTIONS = {
     "header": True,
     "enforceSchema": False,  # compare each file's header with the schema
     "mode": "FAILFAST",  # a row with too few or too many fields is an error
+    "columnPruning": False,  # else a query of few columns never counts the fields
     "quote": '"',
     "escape": '"',
 }
