@@ -80,3 +80,19 @@ def test_money(spark, value, expected):
 def test_percent(spark):
     assert evaluate(spark, 0.1280162706, formatting.percent, "double") == "12.8%"
     assert evaluate(spark, None, formatting.percent, "double") == "—"
+
+
+def test_more_decimals_than_published_are_an_error(spark):
+    df = spark.createDataFrame([(0.25,), (0.25,), (0.24,)], "total_30day_fills double")
+    with pytest.raises(Exception, match="more than 1 decimals: 0.25"):
+        df.agg(numbers.sum_of("total_30day_fills")).collect()
+    exact = spark.createDataFrame([(0.1,), (0.2,), (None,)], "total_30day_fills double")
+    assert exact.agg(numbers.sum_of("total_30day_fills")).first()[0] == 0.3
+
+
+def test_a_fraction_beyond_the_decimal_scale_is_no_integer(spark):
+    texts = ["12.00000000001", "12.0", "9007199254740993.0", "1.2e1", "0.00000000000000000001"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(numbers.to_bigint(F.col("t")).alias("n"), numbers.not_integral(F.col("t")).alias("bad")).collect()
+    assert [r.n for r in rows] == [None, 12, 9007199254740993, 12, None]
+    assert [r.bad for r in rows] == [True, False, False, False, True]

@@ -28,8 +28,9 @@ def to_bigint(text: Column) -> Column:
 
     A failing integer cast is costly, so only text of plain digits is cast directly.
     """
-    exact = text.try_cast("decimal(38,10)")
-    whole = text.rlike(_NUMERIC) & (exact == F.floor(exact))
+    exact, near = text.try_cast("decimal(38,10)"), text.try_cast("double")
+    # The decimal cuts off what lies beyond its scale; the double still sees it.
+    whole = text.rlike(_NUMERIC) & (exact == F.floor(exact)) & (near == F.floor(near))
     return F.when(text.rlike(_DIGITS), text.try_cast("bigint")).when(
         whole, exact.try_cast("bigint")
     )
@@ -54,8 +55,17 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def scaled(c: Column, scale: int) -> Column:
-    """A value with `scale` published decimals as a whole number of its last unit."""
-    return F.rint(c * F.lit(float(10**scale))).cast("bigint")
+    """A value with `scale` published decimals as a whole number of its last unit.
+
+    A value with more decimals is an error, never rounded.
+    """
+    units = c * F.lit(float(10**scale))
+    whole = F.rint(units)
+    same = F.abs(units - whole) <= F.greatest(F.abs(units), F.lit(1.0)) * 1e-9
+    message = F.concat(F.lit(f"more than {scale} decimals: "), c.cast("string"))
+    return F.when(units.isNull() | same, whole.cast("bigint")).otherwise(
+        F.raise_error(message).cast("bigint")
+    )
 
 
 def unscaled(units: Column, scale: int) -> Column:

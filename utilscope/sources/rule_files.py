@@ -15,7 +15,6 @@ CLASS_MAP_SCHEMA = T.StructType([
     T.StructField("priority", T.IntegerType()),
     T.StructField("notes", T.StringType()),
 ])
-MAX_RULES = 10_000
 
 
 def read_class_map(spark: SparkSession, path: str) -> DataFrame:
@@ -34,19 +33,11 @@ def read_term_list(spark: SparkSession, path: str) -> DataFrame:
     return terms.filter(F.col("term") != "").distinct()
 
 
-def _small(df: DataFrame) -> list:
-    """Rows of a configuration table; refuses anything that is not configuration-sized."""
-    rows = df.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; this is not a rule file")
-    return rows
-
-
 def load_terms(spark: SparkSession, path: str) -> tuple[Term, ...]:
     """Class map as rule terms.  Equal priorities keep the order of the file's lines."""
-    rows = _small(read_class_map(spark, path))
+    rows = read_class_map(spark, path).collect()
     return tuple(Term(r["match_term"], r["component_class"], r["priority"]) for r in rows)
 
 
 def load_term_list(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(sorted(r["term"] for r in _small(read_term_list(spark, path))))
+    return tuple(sorted(r["term"] for r in read_term_list(spark, path).collect()))
