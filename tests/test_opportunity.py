@@ -43,10 +43,7 @@ def table(workspace, segments):
     return opportunity.opportunity_table(workspace, segments, "state", 2022, 2024, OPPORTUNITY_WEIGHTS)
 
 
-@pytest.mark.parametrize("one_task_rows", [100_000, 0])
-def test_scores(workspace, segments, monkeypatch, one_task_rows):
-    """Also with the ranks of large tables."""
-    monkeypatch.setattr(ranking, "ONE_TASK_ROWS", one_task_rows)
+def test_scores(workspace, segments):
     columns = ["winsorized_cagr", "peer_gap_pp", "score_primary", "rank_primary", "score_growth_led",
                "rank_growth_led", "score_gap_led", "rank_gap_led", "rank_range"]
     rows = {r.state: tuple(r[c] for c in columns) for r in table(workspace, segments).collect()}
@@ -73,9 +70,9 @@ def test_published_example():
     ([None, None], [0, 0]),
     ([1.0, 2.0, 3.0, 10.0, float("inf"), float("nan")], [1.15, 2, 3, 8.95, 2.5, 2.5]),
 ])
-def test_winsorize(spark, values, expected):
+def test_winsorize(spark, workspace, values, expected):
     df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
-    rows = opportunity.winsorize(df, "x", "w").orderBy("i").collect()
+    rows = opportunity.winsorize(workspace, df, "x", "w").orderBy("i").collect()
     assert [r.w for r in rows] == pytest.approx(expected)
 
 

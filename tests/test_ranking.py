@@ -88,18 +88,30 @@ def test_average_percentile(spark, workspace):
     values = [1.0, 2.0, 2.0, None, 5.0]
     df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "k string, x double")
     expected = [0.25, 0.625, 0.625, 0.5, 1.0]
-    small = ranking.add_average_percentiles(workspace, df, 5, "k", {"x": "p"}).orderBy("k")
-    large = ranking.add_average_percentiles(
-        workspace, df, ranking.ONE_TASK_ROWS + 1, "k", {"x": "p"}
-    ).orderBy("k")
-    assert [r.p for r in small.collect()] == expected == [r.p for r in large.collect()]
-
-
-def test_ranks_small_and_large_agree(spark, workspace, providers):
-    one_year = providers.filter("year = 2024").select("npi", "x")
-    small = ranking.add_ranks(workspace, one_year, 1, "npi", {"x": "r"})
-    large = ranking.add_ranks(workspace, one_year, ranking.ONE_TASK_ROWS + 1, "npi", {"x": "r"})
-    same(small, large)
+    ranked = ranking.add_average_percentiles(workspace, df, {"x": "p"}).orderBy("k")
+    assert [r.p for r in ranked.collect()] == expected
+
+
+def test_ranks_keep_null_and_repeated_keys(spark, workspace):
+    df = spark.createDataFrame([("a", 3.0), ("a", 3.0), (None, 5.0), ("b", None)], "k string, x double")
+    ranked = ranking.add_ranks(workspace, df, {"x": "r"})
+    assert sorted((r.k or "", r.r) for r in ranked.collect()) == [("", 1), ("a", 2), ("a", 2), ("b", 4)]
+
+
+@pytest.mark.parametrize("rows", [3, 200_000])
+def test_ranks_and_percentiles_of_any_size_are_those_of_a_window(spark, workspace, rows):
+    df = spark.range(rows).select(F.col("id").alias("k"), (F.xxhash64("id") % 1000).cast("double").alias("x"))
+    everything = Window.partitionBy()
+    expected = df.withColumn("r", F.rank().over(everything.orderBy(F.col("x").desc())))
+    same(ranking.add_ranks(workspace, df, {"x": "r"}), expected)
+    rank = F.rank().over(everything.orderBy("x"))
+    ties = F.count(F.lit(1)).over(Window.partitionBy("x"))
+    expected = df.withColumn("p", (rank + (ties - 1) / 2.0) / F.lit(float(rows)))
+    same(ranking.add_average_percentiles(workspace, df, {"x": "p"}), expected)
+    shares = [0.05, 0.5, 0.95]
+    limits = ranking.quantiles(workspace, df, "x", shares).first()
+    plain = df.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0]
+    assert limits["known"] == rows and limits["q"] == pytest.approx(plain)
 
 
 @pytest.mark.parametrize("k, threshold", [(25, 0.99), (25, 0.0), (3, 0.9), (5000, 0.5)])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utilscope.functions.numbers import exact_sum, finite, ratio
-from utilscope.operators.ranking import add_average_percentiles, add_ranks
+from utilscope.operators.ranking import add_average_percentiles, add_ranks, quantiles
 from utilscope.rules import COMPONENTS, ScoreWeights
 from utilscope.workspace import Workspace
 
@@ -86,16 +86,14 @@ def with_benchmark_gap(current: DataFrame) -> DataFrame:
     ).withColumn("peer_gap_pp", F.when(known, F.round(gap, PLACES)))
 
 
-def winsorize(df: DataFrame, value: str, out: str) -> DataFrame:
+def winsorize(workspace: Workspace, df: DataFrame, value: str, out: str) -> DataFrame:
     """Clip to the 5th and 95th percentile; missing becomes the median.
 
     Below four known values nothing is clipped and missing becomes 0.
     """
     x = finite(F.col(value))
-    limits = df.select(x.alias("x")).agg(
-        F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"),
-        F.count("x").alias("known"),
-    ).select(F.struct("q", "known")).scalar()
+    limits = quantiles(workspace, df.select(x.alias("x")), "x", [0.05, 0.5, 0.95])
+    limits = limits.select(F.struct("q", "known")).scalar()
     low, middle, high = (F.get(limits.getField("q"), F.lit(i)) for i in range(3))
     clipped = F.when(x.isNotNull(), F.least(F.greatest(x, low), high)).otherwise(middle)
     few = limits.getField("known") < 4
@@ -111,11 +109,9 @@ def write_segments(
     return workspace.write(workspace.fresh_path("segments"), latest)
 
 
-def opportunity_components(
-    workspace: Workspace, current: DataFrame, rows: int, dimension: str
-) -> DataFrame:
-    """The written segments (`rows` of them) with their four component percentiles."""
-    current = winsorize(with_benchmark_gap(current), "fill_cagr", "winsorized_cagr")
+def opportunity_components(workspace: Workspace, current: DataFrame) -> DataFrame:
+    """The written segments with their four component percentiles."""
+    current = winsorize(workspace, with_benchmark_gap(current), "fill_cagr", "winsorized_cagr")
     current = current.withColumns({
         # log1p keeps the order of fills, so the fills are ranked as they are.
         "_scale": F.col("total_30day_fills"),
@@ -124,12 +120,10 @@ def opportunity_components(
         "_completeness": F.round("beneficiary_completeness", PLACES),
     })
     basis = {f"_{name}": f"{name}_component" for name in COMPONENTS}
-    return add_average_percentiles(workspace, current, rows, dimension, basis).drop(*basis)
+    return add_average_percentiles(workspace, current, basis).drop(*basis)
 
 
-def score(
-    workspace: Workspace, components: DataFrame, rows: int, dimension: str, weights: ScoreWeights
-) -> DataFrame:
+def score(workspace: Workspace, components: DataFrame, weights: ScoreWeights) -> DataFrame:
     """Scenario scores and ranks (ties share the best rank), rank range, interpretation."""
     scenarios = weights.scenarios
     scored = components.withColumns({
@@ -139,7 +133,7 @@ def score(
         for scenario, w in scenarios.items()
     })
     ranked = {f"score_{scenario}": f"rank_{scenario}" for scenario in scenarios}
-    scored = add_ranks(workspace, scored, rows, dimension, ranked)
+    scored = add_ranks(workspace, scored, ranked)
     ranks = [F.col(f"rank_{scenario}") for scenario in scenarios]
     spread = F.greatest(*ranks) - F.least(*ranks) if len(ranks) > 1 else F.lit(0)
     label = F.when(F.col("peer_gap_pp") > 0, F.lit(WITH_GAP)).otherwise(F.lit(WITHOUT_GAP))
@@ -152,9 +146,7 @@ def opportunity_table(
 ) -> DataFrame:
     """Scores of the segments present in the last year, every step above in turn."""
     current = write_segments(workspace, segments, dimension, first_year, last_year)
-    rows = current.count()
-    components = opportunity_components(workspace, current, rows, dimension)
-    return score(workspace, components, rows, dimension, weights)
+    return score(workspace, opportunity_components(workspace, current), weights)
 
 
 def allow_listed(segments: DataFrame, dimension: str, allowed: list[str]) -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from utilscope.functions.numbers import ratio
 from utilscope.workspace import Workspace
 
-ONE_TASK_ROWS = 100_000  # largest table that is ranked in a single task
 _POSITION_BITS = 33  # monotonically_increasing_id: slice number above, position below
 
 
@@ -171,53 +170,62 @@ def average_percentile(order: GlobalOrder, name: str) -> DataFrame:
     return order.clean(ranked.withColumn(name, score))
 
 
-def add_average_percentiles(
-    workspace: Workspace, df: DataFrame, rows: int, key: str, names: dict[str, str]
-) -> DataFrame:
-    """Ascending average-tie percentile of each column in `names`, as its mapped name.
+def add_average_percentiles(workspace: Workspace, df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Ascending average-tie percentile of each column in `names`, as its mapped name."""
+    return _with_ranks(workspace, df, names, average_percentile)
 
-    Ranks over all `rows` rows of `df`, whose `key` is unique.  Small tables take a window,
-    larger ones a `GlobalOrder` per column.
-    """
-    if rows <= ONE_TASK_ROWS:
-        return df.withColumns({out: _window_percentile(F.col(c)) for c, out in names.items()})
-    return _joined_ranks(workspace, df, key, names, average_percentile)
 
+def add_ranks(workspace: Workspace, df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Descending rank (ties share the best, NULL last) of each column in `names`, as its mapped name."""
+    ranked = _with_ranks(workspace, df, names, _best_rank)
+    return ranked.withColumns({out: F.col(out).cast("int") for out in names.values()})
 
-def add_ranks(
-    workspace: Workspace, df: DataFrame, rows: int, key: str, names: dict[str, str]
-) -> DataFrame:
-    """Descending rank (ties share the best) of each column in `names`, as its mapped name."""
-    if rows <= ONE_TASK_ROWS:
-        return df.withColumns({
-            out: F.rank().over(Window.partitionBy().orderBy(F.col(c).desc_nulls_last()))
-            for c, out in names.items()
-        })
-    return _joined_ranks(workspace, df, key, names, _best_rank)
 
+def _with_ranks(workspace, df, names, rank_of) -> DataFrame:
+    """Every row with the ranks of its columns: all columns are ordered together, by column.
 
-def _joined_ranks(workspace, df, key, names, rank_of) -> DataFrame:
-    ranked = df
-    for column, out in names.items():
-        order = GlobalOrder(
-            workspace, f"order-{uuid4().hex}", df.select(key, column), [], column, [key]
-        )
-        ranked = ranked.join(rank_of(order, out).select(key, out), key)
-    return ranked
+    Rows are told apart by their place in the written table, so repeated and NULL keys keep theirs.
+    """
+    rows = workspace.write(
+        workspace.fresh_path("ranked"), df.withColumn("_row", F.monotonically_increasing_id())
+    )
+    values = [F.struct(F.lit(out).alias("_rank"), F.col(c).cast("double").alias("_value")) for c, out in names.items()]
+    order = GlobalOrder(
+        workspace, f"order-{uuid4().hex}", rows.select("_row", F.inline(F.array(*values))), ["_rank"], "_value", ["_row"]
+    )
+    ranked = rank_of(order, "_place").groupBy("_row").agg(*[
+        F.max(F.when(F.col("_rank") == out, F.col("_place"))).alias(out) for out in names.values()
+    ])
+    return rows.join(ranked, "_row").drop("_row")
 
 
 def _best_rank(order: GlobalOrder, name: str) -> DataFrame:
-    return order.with_ties().withColumn(name, F.col("tie_first").cast("int"))
+    return order.with_ties().withColumn(name, F.col("tie_first"))
 
 
-def _window_percentile(value: Column) -> Column:
-    everything = Window.partitionBy()
-    rank = F.rank().over(everything.orderBy(value.asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(everything.partitionBy(value))
-    mean = rank + (ties - 1) / 2.0
-    return F.when(value.isNull(), F.lit(0.5)).otherwise(
-        ratio(mean, F.count(value).over(everything))
+def quantiles(workspace: Workspace, df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row: `known` (non-NULL values) and `q`, their interpolated quantiles (NULL without a value).
+
+    The values next to each quantile are found by their row numbers in a `GlobalOrder`.
+    """
+    order = GlobalOrder(
+        workspace, f"order-{uuid4().hex}",
+        df.select(F.col(value).cast("double").alias("_value"), F.monotonically_increasing_id().alias("_row")),
+        [], "_value", ["_row"],
     )
+    # Descending row number n of v values is ascending place v - n.
+    place = F.col("group_values") - F.col("row_number")
+    known = order.numbered().where(F.col("_value").isNotNull())
+
+    def near(share: float) -> Column:
+        exact = (F.col("group_values") - 1) * F.lit(share)
+        low = F.floor(exact)
+        weight = exact - low
+        first = F.max(F.when(place == low, F.col("_value")))
+        second = F.max(F.when(place == F.ceil(exact), F.col("_value")))
+        return first + (second - first) * F.max(weight)
+
+    return known.agg(F.count("_value").alias("known"), F.array(*[near(s) for s in shares]).alias("q"))
 
 
 def leaders(df: DataFrame, measure: str, labels: list[str], k: int) -> DataFrame:
