@@ -159,14 +159,18 @@ def compare_layers(
     return rows.withColumn("passed", F.coalesce(same, F.lit(False))).drop("exact")
 
 
-def reconcile_counts(counts: DataFrame, fact: DataFrame) -> DataFrame:
-    """Candidates kept by the scan = rows in the fact + documented exclusions, by year.
+def reconcile_counts(counts: DataFrame, candidates: DataFrame, fact: DataFrame) -> DataFrame:
+    """Candidates kept by the scan = rows that the transform read = rows in the fact + documented
+    exclusions, by year.
 
-    `counts` comes from `extract_counts`; a year missing on either side fails.
+    `counts` comes from `extract_counts`; a year missing on any side fails.
     """
+    read = candidates.groupBy("year").agg(F.count(F.lit(1)).alias("input_rows"))
     processed = fact.groupBy("year").agg(F.count(F.lit(1)).alias("processed_rows"))
-    both = counts.drop("fingerprint").join(processed, "year", "full")
-    balanced = F.col("candidate_rows") == F.col("processed_rows") + F.col("excluded_rows")
+    both = counts.drop("fingerprint").join(read, "year", "full").join(processed, "year", "full")
+    balanced = (F.col("candidate_rows") == F.col("input_rows")) & (
+        F.col("input_rows") == F.col("processed_rows") + F.col("excluded_rows")
+    )
     return both.withColumn("passed", F.coalesce(balanced, F.lit(False)))
 
 

@@ -73,23 +73,25 @@ def write_profiles(candidates: DataFrame, paths: BatchPaths, settings: MarketSet
     }
     for name, df in records.items():
         files.write_json_records(df, paths.under(name))
-    files.write_csv_report(audit, paths.under("scope_audit"))
+    files.write_csv_report(audit.orderBy("year", "generic_name", "brand_name"), paths.under("scope_audit"))
 
 
 def reports(market: Market) -> dict[str, DataFrame]:
     """Every published table by name."""
     s, order, products = market.settings, market.provider_order, market.product_year()
     states, specialties = market.state_opportunity(), market.specialty_opportunity()
-    collapsed = market.workspace.table("cube_collapsed", market.cube_collapsed)
-    codes = market.workspace.table("cube_dictionaries", lambda: cube.dictionaries(collapsed))
+    collapsed, codes = market.cube_collapsed(), market.dictionaries()
     leaders_of = ranking.leaders_per_group
     return {
         "market_year": headline.with_growth(market.market_year()),
         "class_year": market.class_year(),
-        "product_year": leaders_of(products, ["year"], FILLS, aggregates.PRODUCT, 60),
+        "product_year": products,
+        "top_products": leaders_of(products, ["year"], FILLS, aggregates.PRODUCT, 60),
         "state_year": market.state_year(),
         "specialty_year": market.specialty_year(),
-        "city_year": leaders_of(
+        "city_year": market.city_year(),
+        "class_row_counts": aggregates.class_row_counts(market.fact),
+        "top_cities": leaders_of(
             market.city_year(), ["year"], FILLS, ["provider_state", "provider_city"], 100
         ),
         "cube": cube.dictionary_encode(collapsed, codes),
@@ -129,7 +131,7 @@ def checks(market: Market, candidates: DataFrame, counts: DataFrame) -> dict[str
             quality.layer_totals(reparsed), quality.layer_totals(fact),
             ["rows", *aggregates.MEASURES],
         ),
-        "counts": quality.reconcile_counts(counts, fact),
+        "counts": quality.reconcile_counts(counts, candidates, fact),
         "class_rollup": quality.reconcile_class_rollup(fact),
         "cube_fanout": quality.cube_join_fanout(market.cube, fact),
         "scores": quality.check_score_bounds(market.state_opportunity(), list(s.weights.scenarios)),

@@ -20,21 +20,20 @@ from utilscope.operators.clean import rename_raw, standardize
 from utilscope.operators.cube import Slice
 from utilscope.plans.market import FILLS, Market, MarketSettings
 from utilscope.plans.star import (
-    RANKED_STATES, STAR_RULES, YEARS, product_labels, raw_rows, star_fact, table,
+    RANKED_STATES, STAR_RULES, order_years, product_labels, raw_rows, star_fact, table,
 )
-from utilscope.schema import FACT_COLUMNS, RAW_COLUMNS
+from utilscope.schema import FACT_COLUMNS, GRAIN, RAW_COLUMNS
 from utilscope.sources import files, manifest, rule_files
 from utilscope.streaming import ingest
 from utilscope.workspace import Workspace, literal_rows, stamp
 
-SETTINGS = MarketSettings(
-    years=YEARS, rules=STAR_RULES, ranked_states=RANKED_STATES, kept_specialties=3,
-    outlier_min_fills=20, outlier_percentile=0.99,
-)
-LATEST = SETTINGS.latest_year
-SLICE = Slice(year=LATEST, provider_specialty="BUILDING", marketed_name_type="brand-identifiable")
+OTHER = "Other specialties"
 RAW_BRAND, RAW_GENERIC = "Brnd_Name", "Gnrc_Name"
 LINE = T.StructType([T.StructField("value", T.StringType())])
+INGEST_COUNTS = T.StructType([
+    T.StructField("ingest_run", T.IntegerType()), T.StructField("scanned", T.LongType()),
+    T.StructField("kept", T.LongType()),
+])
 SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "part")
 
 
@@ -42,7 +41,11 @@ class StarMarket(Market):
     """The market of one star-schema folder, and its raw text extract."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        super().__init__(Workspace(spark), lambda: star_fact(spark, sf_dir), SETTINGS)
+        settings = MarketSettings(
+            years=order_years(spark, sf_dir), rules=STAR_RULES, ranked_states=RANKED_STATES,
+            kept_specialties=3, outlier_min_fills=20, outlier_percentile=0.99,
+        )
+        super().__init__(Workspace(spark), lambda: star_fact(spark, sf_dir), settings)
         self.spark, self.sf_dir = spark, sf_dir
         self._landing: str | None = None
 
@@ -55,6 +58,14 @@ class StarMarket(Market):
             self._landing = path
         return self._landing
 
+    @property
+    def latest(self) -> int:
+        return self.settings.latest_year
+
+    @property
+    def slice(self) -> Slice:
+        return Slice(year=self.latest, provider_specialty=OTHER, marketed_name_type="brand-identifiable")
+
     def raw(self) -> DataFrame:
         return files.read_strict_csv(self.spark, self.landing)
 
@@ -129,13 +140,12 @@ def opportunity_export(m: StarMarket) -> DataFrame:
 
 def extract_manifest(m: StarMarket) -> DataFrame:
     path = m.workspace.fresh_path("extract")
-    counts = manifest.extract(m.raw(), STAR_RULES, YEARS, path)
-    return manifest.manifest(counts, STAR_RULES).drop("fingerprint")
+    counts = manifest.extract(m.raw(), STAR_RULES, m.settings.years, path)
+    return manifest.manifest(counts, STAR_RULES)
 
 
 def extract_fingerprint(m: StarMarket) -> DataFrame:
-    counts = manifest.extract_counts(m.raw(), STAR_RULES).select("year", "fingerprint")
-    return counts.join(files.file_sizes(m.spark, m.landing), "year")
+    return manifest.extract_counts(m.raw(), STAR_RULES).select("year", "fingerprint")
 
 
 def _ingest_paths(m: StarMarket, name: str) -> ingest.IngestPaths:
@@ -151,22 +161,34 @@ def _land(m: StarMarket, paths: ingest.IngestPaths, years: list[int]) -> None:
     files.write_raw_csv(m.raw().filter(F.col("year").isin(years)), paths.landing, mode="append")
 
 
-ARRIVALS = [YEARS[:-1], YEARS[-1:]]
+def _arrivals(m: StarMarket) -> list[list[int]]:
+    """The latest year lands after all others."""
+    return [m.settings.years[:-1], m.settings.years[-1:]]
 
 
 def incremental_ingest(m: StarMarket) -> DataFrame:
     """Two arrivals, then a run that finds nothing new."""
     paths = _ingest_paths(m, "ingest")
-    for run, years in enumerate([*ARRIVALS, []]):
+    for run, years in enumerate([*_arrivals(m), []]):
         if years:
             _land(m, paths, years)
         ingest.ingest_available(m.spark, paths, STAR_RULES, ingest.raw_candidates, run)
     return m.spark.read.parquet(paths.sink).select(*RAW_COLUMNS, "year", "ingest_run")
 
 
+def ingest_counts(m: StarMarket) -> DataFrame:
+    """Rows scanned and kept by each run, over all its micro-batches."""
+    paths, seen = _ingest_paths(m, "ingest_counts"), []
+    for run, years in enumerate(_arrivals(m)):
+        _land(m, paths, years)
+        batches = ingest.ingest_available(m.spark, paths, STAR_RULES, ingest.raw_candidates, run)
+        seen.append((run, sum(b["scanned"] for b in batches), sum(b["kept"] for b in batches)))
+    return literal_rows(m.spark, seen, INGEST_COUNTS)
+
+
 def incremental_market_year(m: StarMarket) -> DataFrame:
     paths = _ingest_paths(m, "ingest_market")
-    for run, years in enumerate(ARRIVALS):
+    for run, years in enumerate(_arrivals(m)):
         _land(m, paths, years)
         ingest.ingest_available(m.spark, paths, STAR_RULES, ingest.typed_fact, run)
         ingest.publish_partials(m.spark, paths, run)
@@ -184,16 +206,18 @@ def provider_id_normalize(m: StarMarket) -> DataFrame:
 
 
 def numeric_coerce(m: StarMarket) -> DataFrame:
-    """Quantities written in six textual forms, coerced and summed by form."""
+    """Quantities written in eight textual forms, coerced and summed by form."""
     quantity = F.col("l_quantity").cast("bigint").cast("string")
-    form = F.col("l_linenumber") % 6
+    form = ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int")
     text = (
         F.when(form == 0, quantity)
         .when(form == 1, F.concat(F.lit(" "), quantity, F.lit(" ")))
         .when(form == 2, F.concat(quantity, F.lit(".0")))
         .when(form == 3, F.concat(quantity, F.lit("e2")))
         .when(form == 4, F.concat(quantity, F.lit(".5")))
-        .otherwise(F.concat(F.lit("1,"), quantity))
+        .when(form == 5, F.concat(F.lit("1,"), quantity))
+        .when(form == 6, F.concat(quantity, F.lit(".25")))
+        .otherwise(F.concat(quantity, F.lit(".00000000001")))
     )
     lines = m.table("lineitem").select(form.alias("form"), text.alias("text")).select(
         "form", to_bigint(F.col("text")).alias("whole"), to_double(F.col("text")).alias("number"),
@@ -203,7 +227,7 @@ def numeric_coerce(m: StarMarket) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.count("whole").alias("integers"),
         F.sum("whole").alias("integer_sum"),
-        F.sum("number").alias("double_sum"),
+        F.round(F.sum("number"), 4).alias("double_sum"),
         F.count_if("rejected").alias("rejects"),
     )
 
@@ -233,12 +257,12 @@ def percentile_rank_avg(m: StarMarket) -> DataFrame:
 
 def _state_segments(m: StarMarket) -> DataFrame:
     return opportunity.write_segments(
-        m.workspace, m.ranked_states(), "provider_state", SETTINGS.first_year, LATEST
+        m.workspace, m.ranked_states(), "provider_state", m.settings.first_year, m.latest
     )
 
 
 def winsorize(m: StarMarket) -> DataFrame:
-    return opportunity.winsorize(_state_segments(m), "fill_cagr", "winsorized_cagr").select(
+    return opportunity.winsorize(m.workspace, _state_segments(m), "fill_cagr", "winsorized_cagr").select(
         "provider_state", "fill_cagr", "winsorized_cagr"
     )
 
@@ -250,10 +274,7 @@ def benchmark_gap(m: StarMarket) -> DataFrame:
 
 
 def opportunity_components(m: StarMarket) -> DataFrame:
-    current = _state_segments(m)
-    parts = opportunity.opportunity_components(
-        m.workspace, current, current.count(), "provider_state"
-    )
+    parts = opportunity.opportunity_components(m.workspace, _state_segments(m))
     return parts.select(
         "provider_state", "scale_component", "growth_component", "class_gap_component",
         "completeness_component",
@@ -261,12 +282,12 @@ def opportunity_components(m: StarMarket) -> DataFrame:
 
 
 def cube_dictionary_encode(m: StarMarket) -> DataFrame:
-    return cube.dictionary_encode(m.cube, cube.dictionaries(m.cube))
+    return cube.dictionary_encode(m.cube_collapsed(), m.dictionaries())
 
 
 def cube_dictionary_roundtrip(m: StarMarket) -> DataFrame:
-    codes = m.workspace.table("dictionaries", lambda: cube.dictionaries(m.cube))
-    return cube.dictionary_decode(cube.dictionary_encode(m.cube, codes), codes)
+    codes = m.dictionaries()
+    return cube.dictionary_decode(cube.dictionary_encode(m.cube_collapsed(), codes), codes)
 
 
 # --- checks -------------------------------------------------------------------------
@@ -277,6 +298,25 @@ def parsed_extract(m: StarMarket) -> DataFrame:
     return included(standardize(candidate_filter(m.raw(), STAR_RULES, RAW_BRAND, RAW_GENERIC), STAR_RULES))
 
 
+def published_market(m: StarMarket) -> DataFrame:
+    """The yearly market as published: written as JSON records and read back."""
+    path = m.workspace.fresh_path("market_year_json")
+    files.write_json_records(m.market_year(), path)
+    return files.read_json_records(m.spark, path, m.market_year().schema)
+
+
+def with_late_arrival(m: StarMarket) -> DataFrame:
+    """The fact with part of the latest year delivered twice."""
+    again = (F.col("year") == m.latest) & (F.col("provider_npi").cast("bigint") % 7 == 0)
+    return m.fact.unionByName(m.fact.filter(again))
+
+
+def reconcile_counts(m: StarMarket) -> DataFrame:
+    path = m.workspace.fresh_path("extract")
+    counts = manifest.extract(m.raw(), STAR_RULES, m.settings.years, path)
+    return quality.reconcile_counts(counts, manifest.read_extract(m.raw(), path), m.fact)
+
+
 def reconcile_layers(m: StarMarket) -> DataFrame:
     return quality.compare_layers(
         quality.layer_totals(parsed_extract(m)), quality.layer_totals(m.fact),
@@ -295,6 +335,7 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     "extract_manifest": extract_manifest,
     "extract_fingerprint": extract_fingerprint,
     "incremental_ingest": incremental_ingest,
+    "ingest_counts": ingest_counts,
     "incremental_market_year": incremental_market_year,
     # cleaning and classification
     "standardize_fact": lambda m: standardize(
@@ -353,24 +394,26 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     "products_top_n_per_year": lambda m: ranking.leaders_per_group(
         m.product_year(), ["year"], FILLS, aggregates.PRODUCT, 60
     ),
-    "product_leaders": lambda m: headline.product_leaders(m.product_year(), LATEST, 20),
+    "product_leaders": lambda m: headline.product_leaders(m.product_year(), m.latest, 20),
     "state_leaders": lambda m: headline.segment_leaders(
-        m.state_year(), "provider_state", LATEST, 20
+        m.state_year(), "provider_state", m.latest, 20
     ),
     "specialty_leaders": lambda m: headline.segment_leaders(
-        m.specialty_year(), "provider_specialty", LATEST, 20
+        m.specialty_year(), "provider_specialty", m.latest, 20
     ),
     "outlier_review": Market.outlier_review,
-    "product_scatter": lambda m: cube.product_scatter(m.product_year(), LATEST, 80),
+    "product_scatter": lambda m: cube.product_scatter(m.product_year(), m.latest, 80),
     "collapse_rare": lambda m: m.collapsed(),
     # concentration
     "concentration": Market.concentration,
     "pareto_shares": lambda m: concentration.pareto_shares(m.provider_order, 1),
     "lorenz_curve": lambda m: concentration.lorenz_curve(m.provider_order, 1),
     # opportunity
-    "segment_pivot": lambda m: opportunity.segment_pivot(m.state_year(), "provider_state", YEARS),
+    "segment_pivot": lambda m: opportunity.segment_pivot(
+        m.state_year(), "provider_state", m.settings.years
+    ),
     "segment_cagr": lambda m: opportunity.segment_cagr(
-        m.state_year(), "provider_state", SETTINGS.first_year, LATEST
+        m.state_year(), "provider_state", m.settings.first_year, m.latest
     ),
     "benchmark_gap": benchmark_gap,
     "winsorize": winsorize,
@@ -378,20 +421,22 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     "opportunity_state": Market.state_opportunity,
     "opportunity_specialty": Market.specialty_opportunity,
     # cube slices
-    "slice_kpis": lambda m: cube.slice_kpis(m.cube, SLICE),
-    "slice_yoy": lambda m: cube.slice_yoy(m.cube, SLICE),
-    "slice_trend": lambda m: cube.slice_trend(m.cube, SLICE, YEARS),
+    "slice_kpis": lambda m: cube.slice_kpis(m.cube_collapsed(), m.slice),
+    "slice_yoy": lambda m: cube.slice_yoy(m.cube_collapsed(), m.slice),
+    "slice_trend": lambda m: cube.slice_trend(m.cube_collapsed(), m.slice, m.settings.years),
     "slice_class_leaders": lambda m: cube.slice_leaders(
-        m.cube, replace(SLICE, drug_class="H"), "drug_class", 8, ignore=("drug_class",)
+        m.cube_collapsed(), replace(m.slice, drug_class="H"), "drug_class", 8, ignore=("drug_class",)
+    ),
+    "slice_state_leaders": lambda m: cube.slice_leaders(
+        m.cube_collapsed(), m.slice, "provider_state", 10
     ),
-    "slice_state_leaders": lambda m: cube.slice_leaders(m.cube, SLICE, "provider_state", 10),
     "slice_specialty_leaders": lambda m: cube.slice_leaders(
-        m.cube, Slice(year=LATEST, volume_decile=1), "provider_specialty", 8
+        m.cube_collapsed(), Slice(year=m.latest, volume_decile=1), "provider_specialty", 8
     ),
     "slice_products": lambda m: cube.slice_products(
-        m.product_year(), replace(SLICE, drug_class="H"), 10
+        m.product_year(), replace(m.slice, drug_class="H"), 10
     ),
-    "filter_options": lambda m: cube.filter_options(m.cube),
+    "filter_options": lambda m: cube.filter_options(m.cube_collapsed()),
     "cube_dictionary_encode": cube_dictionary_encode,
     "cube_dictionary_roundtrip": cube_dictionary_roundtrip,
     "headline_leaders": Market.headline_leaders,
@@ -404,18 +449,25 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     ),
     "profile_label_pairs": lambda m: profile.profile_label_pairs(m.raw(), RAW_BRAND, RAW_GENERIC),
     "profile_numeric_range": lambda m: profile.profile_numeric_range(m.raw()),
+    "profile_missing_rate": lambda m: profile.profile_missing_rate(m.raw()),
     # checks and reconciliation
-    "check_years": lambda m: quality.check_years(m.fact, YEARS),
+    "check_years": lambda m: quality.check_years(m.fact, m.settings.years),
+    "check_grain": lambda m: quality.check_grain(with_late_arrival(m)),
+    "provider_grain_validation": lambda m: aggregates.duplicate_grain(with_late_arrival(m), GRAIN),
+    "check_published_row": lambda m: quality.check_latest_row(
+        published_market(m), m.market_year(), m.latest
+    ),
     "check_required": lambda m: quality.check_required(m.fact),
     "check_domains": lambda m: quality.check_domains(m.fact),
     "check_scope": lambda m: quality.check_scope(m.fact, STAR_RULES),
     "check_suppression": lambda m: quality.check_suppression(m.fact),
     "check_score_bounds": lambda m: quality.check_score_bounds(
-        m.state_opportunity(), list(SETTINGS.weights.scenarios)
+        m.state_opportunity(), list(m.settings.weights.scenarios)
     ),
     "reconcile_layers": reconcile_layers,
-    "reconcile_counts": lambda m: quality.reconcile_counts(
-        manifest.extract_counts(m.raw(), STAR_RULES), m.fact
+    "reconcile_counts": reconcile_counts,
+    "reconcile_published": lambda m: quality.compare_layers(
+        published_market(m), quality.layer_totals(m.fact), aggregates.MEASURES
     ),
     "reconcile_class_rollup": lambda m: quality.reconcile_class_rollup(m.fact),
     "cube_join_fanout": lambda m: quality.cube_join_fanout(m.cube, m.fact),

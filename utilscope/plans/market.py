@@ -38,8 +38,8 @@ class MarketSettings:
 class Market:
     """A fact and the tables derived from it.
 
-    The fact, the provider ranking and the cube are written to the workspace on first use;
-    everything else is a plan over them.  A fact that is stored already (`stored`) is read
+    The fact, the provider ranking, the cube, the yearly aggregates and the scores are written
+    to the workspace on first use; everything else is a plan over them.  A fact that is stored already (`stored`) is read
     where it lies.
     """
 
@@ -85,22 +85,22 @@ class Market:
         )
 
     def market_year(self) -> DataFrame:
-        return aggregates.market_year(self.fact)
+        return self.workspace.table("market_year", lambda: aggregates.market_year(self.fact))
 
     def class_year(self) -> DataFrame:
-        return aggregates.class_year(self.fact)
+        return self.workspace.table("class_year", lambda: aggregates.class_year(self.fact))
 
     def product_year(self) -> DataFrame:
-        return aggregates.product_year(self.fact)
+        return self.workspace.table("product_year", lambda: aggregates.product_year(self.fact))
 
     def state_year(self) -> DataFrame:
-        return aggregates.segment_year(self.fact, "provider_state")
+        return self.workspace.table("state_year", lambda: aggregates.segment_year(self.fact, "provider_state"))
 
     def specialty_year(self) -> DataFrame:
-        return aggregates.segment_year(self.fact, "provider_specialty")
+        return self.workspace.table("specialty_year", lambda: aggregates.segment_year(self.fact, "provider_specialty"))
 
     def city_year(self) -> DataFrame:
-        return aggregates.city_year(self.fact)
+        return self.workspace.table("city_year", lambda: aggregates.city_year(self.fact))
 
     def ranked_states(self) -> DataFrame:
         return opportunity.allow_listed(
@@ -115,7 +115,11 @@ class Market:
         )
 
     def cube_collapsed(self) -> DataFrame:
-        return cube.cube_collapsed(self.collapsed())
+        return self.workspace.table("cube_collapsed", lambda: cube.cube_collapsed(self.collapsed()))
+
+    def dictionaries(self) -> DataFrame:
+        """Codes of the collapsed cube's labels."""
+        return self.workspace.table("dictionaries", lambda: cube.dictionaries(self.cube_collapsed()))
 
     def opportunity(self, segments: DataFrame, dimension: str) -> DataFrame:
         s = self.settings
@@ -124,10 +128,14 @@ class Market:
         )
 
     def state_opportunity(self) -> DataFrame:
-        return self.opportunity(self.ranked_states(), "provider_state")
+        return self.workspace.table(
+            "state_opportunity", lambda: self.opportunity(self.ranked_states(), "provider_state")
+        )
 
     def specialty_opportunity(self, k: int = 60) -> DataFrame:
-        table = self.opportunity(self.specialty_year(), "provider_specialty")
+        table = self.workspace.table(
+            "specialty_opportunity", lambda: self.opportunity(self.specialty_year(), "provider_specialty")
+        )
         return ranking.leaders(table, "score_primary", ["provider_specialty"], k)
 
     def concentration(self) -> DataFrame:

@@ -6,6 +6,13 @@ classified by joining them to the rule rows, unlike the column expressions of th
 
 from __future__ import annotations
 
+from utilscope.schema import RAW_COLUMNS
+
+#: Reporting years of the test tables; they name columns.
+YEARS = list(range(1995, 2002))
+FIRST, LATEST = YEARS[0], YEARS[-1]
+PERIODS = LATEST - FIRST
+
 BASE = r"""
 WITH rules(term, class, priority, position) AS (VALUES
   ('hot','H',10,1), ('widget','W',20,2), ('cold','C',30,3), ('gear','G',40,4), ('ring','R',50,5),
@@ -45,8 +52,7 @@ lines AS (
          c_mktsegment, brand_name, generic_name, l_quantity,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS price, l_linestatus = 'F' AS old
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey JOIN part_labels ON l_partkey = p_partkey
-  WHERE year(o_orderdate) BETWEEN 1998 AND 2000),
+  JOIN nation ON c_nationkey = n_nationkey JOIN part_labels ON l_partkey = p_partkey),
 cells AS (
   SELECT year, o_custkey, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS provider_npi,
          'Customer, ' || o_custkey AS provider_last_org_name, '' AS provider_first_name,
@@ -178,9 +184,16 @@ collapsed AS (
   SELECT * REPLACE (CASE WHEN provider_specialty IN (SELECT provider_specialty FROM kept)
                          THEN provider_specialty ELSE 'Other specialties' END AS provider_specialty)
   FROM cube),
+collapsed_cube AS (
+  SELECT year, provider_state, provider_specialty, drug_class, marketed_name_type, volume_decile,
+         CAST(sum(total_claims) AS BIGINT) AS total_claims, sum(total_30day_fills) AS total_30day_fills,
+         CAST(sum(CAST(total_drug_cost AS DECIMAL(18,2))) AS DOUBLE) AS total_drug_cost,
+         CAST(sum(prescribers) AS BIGINT) AS prescriber_cells,
+         sum(selected_class_fills) AS selected_class_fills
+  FROM collapsed GROUP BY 1, 2, 3, 4, 5, 6),
 filtered AS (
-  SELECT * FROM cube
-  WHERE provider_specialty = 'BUILDING' AND marketed_name_type = 'brand-identifiable'),
+  SELECT * FROM collapsed_cube
+  WHERE provider_specialty = 'Other specialties' AND marketed_name_type = 'brand-identifiable'),
 sorted AS (
   SELECT year, total_30day_fills AS x,
          row_number() OVER (PARTITION BY year ORDER BY total_30day_fills) AS i,
@@ -222,12 +235,12 @@ def _scored(segments: str, dim: str) -> str:
 
     return f"""
 seg_pivot AS (
-  SELECT {dim}, max(total_30day_fills) FILTER (year = 1998) AS fills_1998,
-         max(total_30day_fills) FILTER (year = 2000) AS fills_2000
+  SELECT {dim}, max(total_30day_fills) FILTER (year = @FIRST) AS fills_@FIRST,
+         max(total_30day_fills) FILTER (year = @LATEST) AS fills_@LATEST
   FROM {segments} GROUP BY 1),
 seg_cagr AS (
-  SELECT *, round(sqrt(fills_2000 / nullif(fills_1998, 0)) - 1, 10) AS fill_cagr
-  FROM seg_pivot WHERE fills_2000 IS NOT NULL),
+  SELECT *, round(pow(fills_@LATEST / nullif(fills_@FIRST, 0), 1::DOUBLE / {PERIODS}) - 1, 10) AS fill_cagr
+  FROM seg_pivot WHERE fills_@LATEST IS NOT NULL),
 seg_limits AS (
   SELECT quantile_cont(fill_cagr, 0.05) AS low, quantile_cont(fill_cagr, 0.5) AS mid,
          quantile_cont(fill_cagr, 0.95) AS high, count(fill_cagr) AS known
@@ -241,9 +254,9 @@ seg_gap AS (
          sum(selected_class_fills) OVER () / sum(total_30day_fills) OVER () AS benchmark_share,
          round(CASE WHEN selected_class_share IS NOT NULL
                     THEN greatest(benchmark_share - selected_class_share, 0) * 100 END, 10) AS peer_gap_pp
-  FROM {segments} WHERE year = 2000),
+  FROM {segments} WHERE year = @LATEST),
 seg_basis AS (
-  SELECT g.*, fills_1998, fill_cagr, winsorized_cagr, round(beneficiary_completeness, 10) AS completeness
+  SELECT g.*, fills_@FIRST, fill_cagr, winsorized_cagr, round(beneficiary_completeness, 10) AS completeness
   FROM seg_gap g JOIN seg_growth USING ({dim})),
 seg_components AS (
   SELECT * EXCLUDE (completeness), {pct('total_30day_fills')} AS scale_component,
@@ -277,28 +290,24 @@ SPECIALTY_SCORE = _scored("specialties", "provider_specialty")
 TOPS = """
 tops AS (
   (SELECT 'top_class' AS metric, drug_class AS label, total_30day_fills AS value FROM classes
-   WHERE year = 2000 ORDER BY value DESC, label LIMIT 1)
+   WHERE year = @LATEST ORDER BY value DESC, label LIMIT 1)
   UNION ALL
   (SELECT 'top_product', brand_name || ' / ' || generic_name, total_30day_fills FROM products
-   WHERE year = 2000 ORDER BY total_30day_fills DESC, brand_name, generic_name LIMIT 1)
+   WHERE year = @LATEST ORDER BY total_30day_fills DESC, brand_name, generic_name LIMIT 1)
   UNION ALL
-  (SELECT 'top_state', provider_state, total_30day_fills FROM states WHERE year = 2000
+  (SELECT 'top_state', provider_state, total_30day_fills FROM states WHERE year = @LATEST
    ORDER BY total_30day_fills DESC, provider_state LIMIT 1)
   UNION ALL
-  (SELECT 'top_specialty', provider_specialty, total_30day_fills FROM specialties WHERE year = 2000
+  (SELECT 'top_specialty', provider_specialty, total_30day_fills FROM specialties WHERE year = @LATEST
    ORDER BY total_30day_fills DESC, provider_specialty LIMIT 1)),
 """
 
-RAW_TEXT = [
-    "Prscrbr_NPI", "Prscrbr_Last_Org_Name", "Prscrbr_First_Name", "Prscrbr_City",
-    "Prscrbr_State_Abrvtn", "Prscrbr_State_FIPS", "Prscrbr_Type", "Prscrbr_Type_Src",
-    "Brnd_Name", "Gnrc_Name", "Tot_Clms", "Tot_30day_Fills", "Tot_Day_Suply", "Tot_Drug_Cst",
-    "Tot_Benes", "GE65_Sprsn_Flag", "GE65_Tot_Clms", "GE65_Tot_30day_Fills", "GE65_Tot_Drug_Cst",
-    "GE65_Tot_Day_Suply", "GE65_Bene_Sprsn_Flag", "GE65_Tot_Benes",
-]
-NULLED = ", ".join(f"nullif({c}, '') AS {c}" for c in RAW_TEXT)
+NULLED = ", ".join(f"nullif({c}, '') AS {c}" for c in RAW_COLUMNS)
+FIELDS = ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in (f"nullif({c}, '')" for c in RAW_COLUMNS))
+FINGERPRINT = f"sum(CAST('0x' || substr(md5(concat_ws('|', {FIELDS})), 1, 15) AS BIGINT))"
 PROFILED = ["Tot_Clms", "Tot_30day_Fills", "Tot_Day_Suply", "Tot_Drug_Cst"]
 
+LATE = "year = @LATEST AND CAST(provider_npi AS BIGINT) % 7 = 0"
 CANDIDATE_RAW = "raw JOIN labels ON Brnd_Name = brand_name AND Gnrc_Name = generic_name"
 
 CORE = """CAST(sum(total_claims) AS BIGINT) AS total_claims,
@@ -340,7 +349,7 @@ def _violations(**rules: str) -> str:
 def _leaders(dim: str, source: str, k: int) -> str:
     return f"""SELECT {dim}, total_claims, total_30day_fills, total_drug_cost, prescribers,
       selected_class_fills / nullif(total_30day_fills, 0) AS selected_class_share
-      FROM {source} WHERE year = 2000 ORDER BY total_30day_fills DESC, {dim} LIMIT {k}"""
+      FROM {source} WHERE year = @LATEST ORDER BY total_30day_fills DESC, {dim} LIMIT {k}"""
 
 
 def _slice_leaders(dim: str, where: str, k: int) -> str:
@@ -354,12 +363,12 @@ def _compact(v: str, prefix: str = "") -> str:
       ELSE format('{{:,}}', CAST(round_even({v}, 0) AS BIGINT)) END"""
 
 
-CODED = " JOIN ".join(["cube"] + [
+CODED = " JOIN ".join(["collapsed_cube"] + [
     f"(SELECT label AS l{i}, code AS {c}_code FROM codes WHERE filter_name = '{c}') ON {c} = l{i}"
     for i, c in enumerate(["provider_state", "provider_specialty", "drug_class", "marketed_name_type"])
 ])
 OPTIONS = " UNION ALL ".join(
-    f"SELECT '{c}' AS filter_name, {c} AS label FROM cube"
+    f"SELECT '{c}' AS filter_name, {c} AS label FROM collapsed_cube"
     for c in ["provider_state", "provider_specialty", "drug_class", "marketed_name_type"]
 )
 PLACED = f"""(SELECT filter_name, label,
@@ -378,7 +387,7 @@ wide AS (
          c.hhi AS concentration_hhi, c.top_1_share AS concentration_top_1_share,
          c.top_5_share AS concentration_top_5_share, c.top_10_share AS concentration_top_10_share,
          c.top_20_share AS concentration_top_20_share
-  FROM growth m JOIN concentrations c ON m.year = c.year WHERE m.year = 2000)
+  FROM growth m JOIN concentrations c ON m.year = c.year WHERE m.year = @LATEST)
 """
 HEADLINE_ROWS = """SELECT name AS metric, '' AS label, value FROM (UNPIVOT wide ON * INTO NAME name VALUE value)
 UNION ALL SELECT * FROM tops
@@ -406,8 +415,13 @@ STATEMENTS: dict[str, str] = {
     "extract_manifest": f"""SELECT year, count(*) AS source_rows_scanned,
         count(*) FILTER (candidate) AS filtered_row_count, 22 AS column_count,
         'bolt|cold|gear|gizmo|hot|plate|ring|rod|widget' AS filter_terms,
-        'brand 13' AS excluded_brands FROM {CANDIDATE_RAW} GROUP BY year""",
-    "incremental_ingest": f"""SELECT {NULLED}, year, CAST(year // 2000 AS INTEGER) AS ingest_run
+        'brand 13' AS excluded_brands, CAST({FINGERPRINT} FILTER (candidate) AS VARCHAR) AS fingerprint
+        FROM {CANDIDATE_RAW} GROUP BY year""",
+    "extract_fingerprint": f"""SELECT year, CAST({FINGERPRINT} FILTER (candidate) AS VARCHAR) AS fingerprint
+        FROM {CANDIDATE_RAW} GROUP BY year""",
+    "ingest_counts": f"""SELECT CAST(year = @LATEST AS INTEGER) AS ingest_run, count(*) AS scanned,
+        count(*) FILTER (candidate) AS kept FROM {CANDIDATE_RAW} GROUP BY 1""",
+    "incremental_ingest": f"""SELECT {NULLED}, year, CAST(year = @LATEST AS INTEGER) AS ingest_run
         FROM {CANDIDATE_RAW} WHERE candidate""",
     "incremental_market_year": "SELECT * FROM market",
     "standardize_fact": "SELECT * FROM candidates",
@@ -415,13 +429,13 @@ STATEMENTS: dict[str, str] = {
         'NPI-******' || right(provider_npi, 4) AS provider_masked_id
         FROM (SELECT Prscrbr_NPI, lpad(replace(Prscrbr_NPI, '.0', ''), 10, '0') AS provider_npi FROM raw)""",
     "normalize_labels": "SELECT brand_name, generic_name, brand_norm, generic_norm FROM norms",
-    "numeric_coerce": """SELECT CAST(l_linenumber % 6 AS INTEGER) AS form, count(*) AS rows,
+    "numeric_coerce": """SELECT CAST((l_orderkey + l_linenumber) % 8 AS INTEGER) AS form, count(*) AS rows,
         CASE WHEN form < 4 THEN count(*) ELSE 0 END AS integers,
         CAST(CASE WHEN form < 3 THEN sum(l_quantity) WHEN form = 3 THEN sum(l_quantity) * 100 END AS BIGINT)
           AS integer_sum,
-        CASE WHEN form < 3 THEN sum(l_quantity) WHEN form = 3 THEN sum(l_quantity) * 100
-             WHEN form = 4 THEN sum(l_quantity + 0.5) END AS double_sum,
-        CASE WHEN form = 4 THEN count(*) ELSE 0 END AS rejects
+        CASE WHEN form < 3 OR form = 7 THEN sum(l_quantity) WHEN form = 3 THEN sum(l_quantity) * 100
+             WHEN form = 4 THEN sum(l_quantity + 0.5) WHEN form = 6 THEN sum(l_quantity + 0.25) END AS double_sum,
+        CASE WHEN form IN (4, 6, 7) THEN count(*) ELSE 0 END AS rejects
         FROM lineitem GROUP BY 1""",
     "row_unit_costs": """SELECT year, provider_npi, brand_name, generic_name, cost_per_claim,
         cost_per_30day_fill, beneficiary_count_suppressed FROM fact""",
@@ -462,10 +476,7 @@ STATEMENTS: dict[str, str] = {
     "city_year": "SELECT * FROM cities",
     "provider_year": "SELECT * FROM providers",
     "dashboard_cube": "SELECT * FROM cube",
-    "cube_collapsed": f"""SELECT year, provider_state, provider_specialty, drug_class,
-        marketed_name_type, volume_decile, {CUBE_CORE},
-        CAST(sum(prescribers) AS BIGINT) AS prescriber_cells,
-        sum(selected_class_fills) AS selected_class_fills FROM collapsed GROUP BY 1, 2, 3, 4, 5, 6""",
+    "cube_collapsed": "SELECT * FROM collapsed_cube",
     "class_row_counts": "SELECT year, drug_class, count(*) AS row_count FROM fact GROUP BY 1, 2",
     "grain_duplicates": """SELECT l_orderkey, l_linenumber, count(*) AS duplicate_count
         FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
@@ -485,19 +496,19 @@ STATEMENTS: dict[str, str] = {
     "products_top_n_per_year": """SELECT * FROM products QUALIFY row_number() OVER (PARTITION BY year
         ORDER BY total_30day_fills DESC, drug_class, brand_name, generic_name, marketed_name_type) <= 60""",
     "product_leaders": """SELECT brand_name, generic_name, drug_class, total_claims, total_30day_fills,
-        total_drug_cost, avg_cost_per_claim FROM products WHERE year = 2000
+        total_drug_cost, avg_cost_per_claim FROM products WHERE year = @LATEST
         ORDER BY total_30day_fills DESC, brand_name, generic_name LIMIT 20""",
     "state_leaders": _leaders("provider_state", "states", 20),
     "specialty_leaders": _leaders("provider_specialty", "specialties", 20),
     "outlier_review": """SELECT * FROM (
         SELECT provider_masked_id, brand_name, generic_name, total_30day_fills, cost_per_30day_fill,
           percent_rank() OVER (ORDER BY cost_per_30day_fill) AS cost_percentile
-        FROM fact WHERE year = 2000 AND total_30day_fills >= 20 AND cost_per_30day_fill IS NOT NULL)
+        FROM fact WHERE year = @LATEST AND total_30day_fills >= 20 AND cost_per_30day_fill IS NOT NULL)
         WHERE cost_percentile >= 0.99
         ORDER BY cost_per_30day_fill DESC, provider_masked_id, brand_name, generic_name LIMIT 25""",
     "product_scatter": """SELECT brand_name, generic_name, drug_class, marketed_name_type,
         total_30day_fills, total_drug_cost, prescribers,
-        total_drug_cost / nullif(total_30day_fills, 0) AS cost_per_fill FROM products WHERE year = 2000
+        total_drug_cost / nullif(total_30day_fills, 0) AS cost_per_fill FROM products WHERE year = @LATEST
         ORDER BY total_30day_fills DESC, brand_name, generic_name LIMIT 80""",
     "collapse_rare": "SELECT * FROM collapsed",
     "concentration": "SELECT * FROM concentrations",
@@ -510,14 +521,14 @@ STATEMENTS: dict[str, str] = {
                   AND i <= least(g.n, round_even(g.n * p / 100.0, 0))), 0) / g.total * 100 AS fill_pct
         FROM (SELECT year, any_value(n) AS n, any_value(total) AS total FROM sorted GROUP BY year) g,
              (SELECT unnest(range(0, 101, 2)) AS p)""",
-    "segment_pivot": """SELECT provider_state, max(total_30day_fills) FILTER (year = 1998) AS fills_1998,
-        max(total_30day_fills) FILTER (year = 1999) AS fills_1999,
-        max(total_30day_fills) FILTER (year = 2000) AS fills_2000 FROM states GROUP BY 1""",
-    "segment_cagr": """SELECT * FROM (SELECT provider_state,
-          max(total_30day_fills) FILTER (year = 1998) AS fills_1998,
-          max(total_30day_fills) FILTER (year = 2000) AS fills_2000,
-          round(sqrt(fills_2000 / nullif(fills_1998, 0)) - 1, 10) AS fill_cagr
-        FROM states GROUP BY 1) WHERE fills_2000 IS NOT NULL""",
+    "segment_pivot": "SELECT provider_state, " + ", ".join(
+        f"max(total_30day_fills) FILTER (year = {y}) AS fills_{y}" for y in YEARS
+    ) + " FROM states GROUP BY 1",
+    "segment_cagr": f"""SELECT * FROM (SELECT provider_state,
+          max(total_30day_fills) FILTER (year = {FIRST}) AS fills_{FIRST},
+          max(total_30day_fills) FILTER (year = {LATEST}) AS fills_{LATEST},
+          round(pow(fills_{LATEST} / nullif(fills_{FIRST}, 0), 1::DOUBLE / {PERIODS}) - 1, 10) AS fill_cagr
+        FROM states GROUP BY 1) WHERE fills_{LATEST} IS NOT NULL""",
     "benchmark_gap": _with(STATE_SCORE, """SELECT provider_state, selected_class_share, benchmark_share, peer_gap_pp FROM seg_gap"""),
     "winsorize": _with(STATE_SCORE, """SELECT provider_state, fill_cagr, winsorized_cagr FROM seg_growth"""),
     "opportunity_components": _with(STATE_SCORE, """SELECT provider_state, scale_component, growth_component, class_gap_component,
@@ -527,35 +538,49 @@ STATEMENTS: dict[str, str] = {
     "slice_kpis": f"""SELECT *, total_drug_cost / greatest(total_30day_fills, 1) AS cost_per_fill,
         selected_class_fills / greatest(total_30day_fills, 1) AS selected_class_share
         FROM (SELECT {CUBE_CORE}, sum(selected_class_fills) AS selected_class_fills
-              FROM filtered WHERE year = 2000)""",
+              FROM filtered WHERE year = @LATEST)""",
     "slice_yoy": """SELECT *, fills / nullif(prior_fills, 0) - 1 AS yoy_fill_growth FROM (
-        SELECT sum(total_30day_fills) FILTER (year = 2000) AS fills,
-               sum(total_30day_fills) FILTER (year = 1999) AS prior_fills FROM filtered)""",
+        SELECT sum(total_30day_fills) FILTER (year = @LATEST) AS fills,
+               sum(total_30day_fills) FILTER (year = @LATEST - 1) AS prior_fills FROM filtered)""",
     "slice_trend": """SELECT year, sum(total_30day_fills) AS total_30day_fills,
         sum(total_30day_fills) / nullif(lag(sum(total_30day_fills)) OVER (ORDER BY year), 0) - 1 AS growth
         FROM filtered GROUP BY year""",
-    "slice_class_leaders": _slice_leaders("drug_class", "filtered WHERE year = 2000", 8),
-    "slice_state_leaders": _slice_leaders("provider_state", "filtered WHERE year = 2000", 10),
+    "slice_class_leaders": _slice_leaders("drug_class", "filtered WHERE year = @LATEST", 8),
+    "slice_state_leaders": _slice_leaders("provider_state", "filtered WHERE year = @LATEST", 10),
     "slice_specialty_leaders": _slice_leaders(
-        "provider_specialty", "cube WHERE year = 2000 AND volume_decile = 1", 8
+        "provider_specialty", "collapsed_cube WHERE year = @LATEST AND volume_decile = 1", 8
     ),
-    "slice_products": """SELECT * FROM products WHERE year = 2000 AND drug_class = 'H'
+    "slice_products": """SELECT * FROM products WHERE year = @LATEST AND drug_class = 'H'
         AND marketed_name_type = 'brand-identifiable'
         ORDER BY total_30day_fills DESC, brand_name, generic_name LIMIT 10""",
     "filter_options": f"SELECT * FROM {PLACED}",
     "cube_dictionary_encode": _with(
         f"codes AS (SELECT filter_name, label, position - 1 AS code FROM {PLACED})",
-        f"""SELECT year, volume_decile, total_claims, total_30day_fills, total_drug_cost, prescribers,
+        f"""SELECT year, volume_decile, total_claims, total_30day_fills, total_drug_cost, prescriber_cells,
           selected_class_fills, provider_state_code, provider_specialty_code, drug_class_code,
           marketed_name_type_code FROM {CODED}""",
     ),
-    "cube_dictionary_roundtrip": "SELECT * FROM cube",
+    "cube_dictionary_roundtrip": "SELECT * FROM collapsed_cube",
     "headline_leaders": _with(TOPS, "SELECT * FROM tops"),
     "headline_metrics": _with(STATE_SCORE + HEADLINE, HEADLINE_ROWS),
     "profile_rows": "SELECT year, count(*) AS row_count, 22 AS column_count FROM raw GROUP BY year",
     "profile_blank_counts": " UNION ALL ".join(
         f"""SELECT year, '{c}' AS column_name, count(*) FILTER ({c} = '') AS blank_count
-        FROM raw GROUP BY year""" for c in RAW_TEXT
+        FROM raw GROUP BY year""" for c in RAW_COLUMNS
+    ),
+    "profile_missing_rate": """SELECT year, count(*) AS row_count, count(*) FILTER (Tot_Benes = '') AS blank_count,
+        (count(*) FILTER (Tot_Benes = ''))::DOUBLE / count(*)::DOUBLE AS blank_share FROM raw GROUP BY year""",
+    "check_grain": f"""SELECT 'grain_unique' AS check_name, count(*) AS violations, violations = 0 AS passed
+        FROM fact WHERE {LATE}""",
+    "provider_grain_validation": f"""SELECT year, provider_npi, brand_name, generic_name, 2::BIGINT AS duplicate_count
+        FROM fact WHERE {LATE}""",
+    "check_published_row": """SELECT year, check_name, value AS left_value, value AS right_value, true AS passed
+        FROM (UNPIVOT (SELECT year, total_claims::DOUBLE AS total_claims, total_30day_fills::DOUBLE AS total_30day_fills,
+                         total_drug_cost::DOUBLE AS total_drug_cost FROM market WHERE year = @LATEST)
+              ON total_claims, total_30day_fills, total_drug_cost INTO NAME check_name VALUE value)""",
+    "reconcile_published": _layers(
+        """SELECT year, 0 AS rows, total_claims AS claims, total_30day_fills AS fills, total_drug_cost AS cost
+        FROM market"""
     ),
     "profile_duplicate_keys": """SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS row_count,
         count(*) AS distinct_keys, CAST(sum(n - 1) AS BIGINT) AS duplicate_keys
@@ -601,7 +626,7 @@ STATEMENTS: dict[str, str] = {
         FROM {CANDIDATE_RAW} WHERE candidate AND NOT device GROUP BY year""",
         "('rows'), " + CORE_METRICS,
     ),
-    "reconcile_counts": f"""SELECT c.*, f.processed_rows,
+    "reconcile_counts": f"""SELECT c.*, candidate_rows AS input_rows, f.processed_rows,
         candidate_rows = processed_rows + excluded_rows AS passed
         FROM (SELECT year, count(*) AS source_rows_scanned,
                 count(*) FILTER (candidate) AS candidate_rows,
@@ -621,4 +646,7 @@ STATEMENTS: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     """Complete statement per catalog entry."""
-    return {name: BASE + body for name, body in STATEMENTS.items()}
+    return {
+        name: (BASE + body).replace("@LATEST", str(LATEST)).replace("@FIRST", str(FIRST))
+        for name, body in STATEMENTS.items()
+    }

@@ -16,8 +16,6 @@ from utilscope.operators.clean import add_unit_costs
 from utilscope.rules import Combination, ScopeRules, Term
 from utilscope.schema import FACT_COLUMNS, RAW_TO_STANDARD, STANDARD_COLUMNS
 
-FIRST_YEAR, LATEST_YEAR = 1998, 2000
-YEARS = list(range(FIRST_YEAR, LATEST_YEAR + 1))
 RANKED_STATES = tuple(f"NATION_{i}" for i in range(22))  # leaves three nations off the list
 
 STAR_RULES = ScopeRules(
@@ -40,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def order_years(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The reporting years: every year from the first order to the last."""
+    year = F.year("o_orderdate")
+    first, last = table(spark, sf_dir, "orders").agg(F.min(year), F.max(year)).first()
+    return list(range(first, last + 1))
+
+
 def product_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part key with its brand and generic label; small sizes are sold under the generic name."""
     brand = F.when(F.col("p_size") <= 10, F.col("p_name")).otherwise(F.col("p_brand"))
@@ -50,17 +55,13 @@ def product_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prescriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of the reporting years with their customer's attributes."""
-    day = F.col("o_orderdate")
-    orders = table(spark, sf_dir, "orders").filter(
-        (day >= F.lit(f"{FIRST_YEAR}-01-01").cast("timestamp_ntz"))
-        & (day < F.lit(f"{LATEST_YEAR + 1}-01-01").cast("timestamp_ntz"))
-    )
+    """All orders with their customer's attributes."""
+    orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment"
     )
     return orders.select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.year(day).alias("year")
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.year("o_orderdate").alias("year")
     ).join(customers, "o_custkey")
 
 
@@ -128,13 +129,14 @@ def cells(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
 
 
 def star_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classified fact. Product labels are filtered before any line is read."""
+    """The classified fact. Labels are classified once, and filtered before any line is read."""
     labels = product_labels(spark, sf_dir)
-    wanted = included(classify(candidate_filter(labels, STAR_RULES), STAR_RULES)).select(*labels.columns)
-    typed = cells(spark, sf_dir, wanted).withColumn(
+    names = ["brand_name", "generic_name"]
+    decided = included(classify(candidate_filter(labels.select(*names).distinct(), STAR_RULES), STAR_RULES))
+    typed = cells(spark, sf_dir, labels.join(decided.select(*names), names)).withColumn(
         "provider_masked_id", masked_id(F.col("provider_npi"))
     )
-    return add_unit_costs(classify(typed, STAR_RULES)).select(*FACT_COLUMNS)
+    return add_unit_costs(typed.join(decided, names)).select(*FACT_COLUMNS)
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,9 @@ from utilscope.sources.files import CSV_OPTIONS
 LANDING_SCHEMA = T.StructType([*RAW_SCHEMA.fields, T.StructField("year", T.IntegerType())])
 
 
+PROGRESS_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
+
+
 @dataclass(frozen=True)
 class IngestPaths:
     landing: str
@@ -64,8 +67,17 @@ def ingest_available(
     """Take every file that has landed since the last run, then stop.
 
     After a crash, call again with the same `run`: finished micro-batches are not repeated.
-    Returns the rows scanned and kept by each of the last micro-batches.
+    Returns the rows scanned and kept by each micro-batch.
     """
+    kept_before = spark.conf.get(PROGRESS_KEPT)
+    spark.conf.set(PROGRESS_KEPT, str(2**31 - 1))  # one entry per micro-batch, none dropped
+    try:
+        return _ingest(spark, paths, rules, transform, run)
+    finally:
+        spark.conf.set(PROGRESS_KEPT, kept_before)
+
+
+def _ingest(spark, paths, rules, transform, run) -> list[dict]:
     in_scope_rows = F.count_if(in_scope(rules, "Brnd_Name", "Gnrc_Name"))
     raw = raw_stream(spark, paths.landing).observe(
         "extract", F.count(F.lit(1)).alias("scanned"), in_scope_rows.alias("kept")
