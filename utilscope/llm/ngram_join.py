@@ -12,8 +12,8 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
 
 Equal sets are folded to one node first. Since only the connected classes are returned, pairs
 inside a class that is already connected need no check: members of a shared shingle are first
-linked to one hub of that shingle, then, if it still spans several classes, to hubs of other
-seeds, and at last every pair across two classes is checked. So a group of near copies costs
+compared with one hub of that shingle, the member with the fewest shingles of its own, then, if
+it still spans several classes, with another hub, and at last every pair across two classes is. So a group of near copies costs
 about as many checks as it has members, and no link between two classes is missed.
 """
 
@@ -29,17 +29,19 @@ from pyspark.sql import functions as F
 
 from utilscope.llm.graph import components
 from utilscope.llm.shingles import Sets, mix, shingle_sets
-from utilscope.llm.storage import materialize
+from utilscope.llm.storage import maybe_in, materialize, stored
 
 #: Most entries of the broadcast table of repeating shingles (9 bytes each). Shingles beyond it
 #: sort as rare ones: this costs speed, never a pair.
 COUNTED_SHINGLES = 1 << 20
-#: Bits of the broadcast filter that spares a second look at documents without any candidate.
-FILTER_BITS = 1 << 22
+#: Keys of a node that are looked through for an earlier place where a pair meets.
+EARLIER = 8
+#: Most postings of one shingle that a task holds at once.
+HELD_ROWS = 1 << 16
 #: Distinct shingles after which a task writes out its counts.
-COUNT_EVERY = 4_000_000
+COUNT_EVERY = 2_000_000
 #: Seeds of the hubs that are tried before all remaining pairs are.
-HUB_SEEDS = (0, 1, 2)
+HUB_SEEDS = (0, 1)
 
 
 @dataclass(frozen=True)
@@ -107,12 +109,13 @@ def _order(sets: Sets, classes: np.ndarray, seed: int) -> np.ndarray:
     return np.lexsort((mix(sets.hashes, 100 + seed), classes, rows))
 
 
-def _prefixes(sets: Sets, classes: np.ndarray, seed: int, like: Similarity):
-    """(starts, hashes, classes) of the rows' prefixes under one order."""
+def _prefixes(sets: Sets, classes: np.ndarray, seed: int, like: Similarity, of: np.ndarray | None = None):
+    """(starts, hashes, classes) of the rows' prefixes under one order; rows not in `of` get none."""
     order = _order(sets, classes, seed)
     counts = sets.counts
     place = np.arange(len(order)) - np.repeat(sets.starts[:-1], counts)
     taken = np.where(counts > 0, like.prefix(counts), 0)
+    taken = taken if of is None else taken * of
     chosen = order[place < np.repeat(taken, counts)]
     return np.concatenate([[0], np.cumsum(taken)]), sets.hashes[chosen], classes[chosen]
 
@@ -165,12 +168,17 @@ def shingle_classes(docs: DataFrame, text: str, words: int) -> ShingleClasses:
 
 
 def _node_batches(batches, like: Similarity, known):
-    """id, n, fingerprints and the first order's prefix (with classes) of every document."""
+    """id, n, fingerprints and the first order's prefix (with classes) of every document.
+
+    Of equal sets in a batch only the first has its prefix, so copies do not heap up on a shingle.
+    """
     classes = known.value
     for batch in batches:
+        met: set[int] = set()
         for sets in shingle_sets(batch.column(1), like.words):
             f1, f2 = _fingerprints(sets)
-            starts, hashes, levels = _prefixes(sets, classes.of(sets.hashes), 0, like)
+            again = np.array([f in met or met.add(f) is not None for f in f1.tolist()], bool)
+            starts, hashes, levels = _prefixes(sets, classes.of(sets.hashes), 0, like, ~again)
             here = batch.slice(sets.first_row, len(f1))
             levels = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(levels.astype(np.int8)))
             yield pa.RecordBatch.from_arrays(
@@ -180,54 +188,93 @@ def _node_batches(batches, like: Similarity, known):
             )
 
 
+def _folded(rows: pa.Table) -> pa.Table:
+    """Whole groups of (shingle, salt), sorted: those of several nodes, keyed by their member list."""
+    shingle, salt, node = (rows[c].to_numpy() for c in ("shingle", "salt", "node"))
+    new_group = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])])
+    fresh = new_group | np.concatenate([[True], node[1:] != node[:-1]])
+    group = np.cumsum(new_group) - 1
+    sizes = np.bincount(group[fresh])
+    members = np.zeros(len(sizes), np.uint64)
+    np.add.at(members, group[fresh], mix(node[fresh].view(np.uint64), 21))
+    salted = rows["salts"].to_numpy() > 1
+    keep = np.flatnonzero(fresh & ((sizes[group] > 1) | salted))
+    key = np.where(salted, shingle, _signed(members)[group])
+    kept = rows.take(keep)
+    return pa.table({"key": key[keep], "node": kept["node"], "n": kept["n"], "place": kept["place"]})
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (shingle, salt), those whose shingle has several rows or was salted."""
-    last, waiting = None, None
+    """(key, node, n, place) of sorted postings whose shingle several nodes hold.
+
+    Shingles with the same member list give the same candidates, so the list's fingerprint is
+    their key. A group is held until it is whole; one longer than HELD_ROWS keeps its shingle as
+    key and flows through.
+    """
+    held, flowing = None, None
     for batch in batches:
-        if not batch.num_rows:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if not table.num_rows:
             continue
-        shingle = batch.column("shingle").to_numpy()
-        same = np.concatenate([[last is not None and shingle[0] == last], shingle[1:] == shingle[:-1]])
-        if waiting is not None and same[0]:
-            yield waiting
-        keep = (batch.column("salts").to_numpy() > 1) | same | np.append(same[1:], False)
-        last = shingle[-1]
-        waiting = None if keep[-1] else batch.slice(batch.num_rows - 1)
-        chosen = np.flatnonzero(keep)
-        if len(chosen):
-            yield batch.take(pa.array(chosen))
-
-
-def _shared_postings(nodes: DataFrame) -> DataFrame:
-    """(shingle, node, n, place) of the first order's prefix shingles that several nodes hold.
-
-    Shingles of very many nodes are dealt over several tasks.
+        shingle, salt = table["shingle"].to_numpy(), table["salt"].to_numpy()
+        last = (shingle[-1], salt[-1])
+        before = np.flatnonzero((shingle != last[0]) | (salt != last[1]))
+        whole = int(before[-1]) + 1 if len(before) else 0
+        held = table.slice(whole)
+        if flowing is not None or held.num_rows > HELD_ROWS:
+            salts = np.full(table.num_rows, 1, np.int32)
+            out = [(shingle[0], salt[0])] if flowing is not None else []
+            out += [last] if held.num_rows > HELD_ROWS else []
+            for of in out:
+                salts[(shingle == of[0]) & (salt == of[1])] = 2
+            salts = np.maximum(salts, table["salts"].to_numpy())
+            table = table.set_column(table.schema.get_field_index("salts"), "salts", pa.array(salts))
+            still = held.num_rows > HELD_ROWS or (flowing == last)
+            flowing = last if still else None
+            if still:
+                whole, held = table.num_rows, None
+        if whole:
+            yield from _folded(table.slice(0, whole)).to_batches()
+    if held is not None and held.num_rows:
+        yield from _folded(held).to_batches()
+
+
+def _shared_postings(nodes: DataFrame, like: Similarity) -> DataFrame:
+    """(key, node, n, place, most) of the first order's prefix shingles that several nodes hold.
+
+    `key` stands for all shingles of one member list, `place` is the smallest of their places.
+    `most` bounds what a node can have in common with any other: all but the shingles of its
+    prefix that no other prefix holds. Shingles of very many nodes are dealt over several tasks.
     """
     places = nodes.select("node", "n", "levels", F.posexplode("prefix").alias("place", "shingle"))
     salts = F.expr("shiftleft(1, greatest(0, levels[place] - 13))")
     places = places.select("shingle", "node", "n", "place", salts.alias("salts"))
     dealt = places.withColumn("salt", F.pmod("node", "salts")).repartition("shingle", "salt")
-    schema = "shingle long, node long, n long, place int, salts int, salt long"
-    return (
-        dealt.sortWithinPartitions("shingle", "salt").mapInArrow(_shared, schema)
-        .select("shingle", "node", "n", "place")
+    shared = dealt.sortWithinPartitions("shingle", "salt", "node").mapInArrow(
+        _shared, "key long, node long, n long, place int"
+    )
+    postings = materialize(
+        shared.groupBy("key", "node", "n").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("shingles"))
     )
+    behind = F.expr(f"(n * {like.numerator} + {like.denominator - 1}) div {like.denominator} - 1")
+    most = postings.groupBy("node").agg(F.sum("shingles").alias("held"))
+    return postings.join(most, "node").select("key", "node", "n", "place", (behind + F.col("held")).alias("most"))
 
 
-def _set_batches(batches, like: Similarity, known, wanted):
-    """node, set and the other orders' prefixes of the documents whose id passes the filter."""
-    classes, bits = known.value, wanted.value
+def _set_batches(batches, like: Similarity, known):
+    """node, set in the second order, and the further orders' prefixes of the documents."""
+    classes = known.value
     for batch in batches:
-        slot = batch.column(1).to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
-        hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-        for sets in shingle_sets(batch.column(0).filter(pa.array(hit.astype(bool))), like.words):
+        for sets in shingle_sets(batch.column(0), like.words):
             node, _ = _fingerprints(sets)
             levels = classes.of(sets.hashes)
-            columns = [pa.array(_signed(node)), pa.array(sets.counts.astype(np.int64)), _lists(sets.hashes, sets.starts)]
-            for seed in range(1, like.orders):
+            second = sets.hashes[_order(sets, levels, 1)]
+            columns = [pa.array(_signed(node)), pa.array(sets.counts.astype(np.int64)), _lists(second, sets.starts)]
+            for seed in range(2, like.orders):
                 starts, hashes, _ = _prefixes(sets, levels, seed, like)
                 columns.append(_lists(hashes, starts))
-            names = ["node", "n", "shingles", *(f"prefix{seed}" for seed in range(1, like.orders))]
+            names = ["node", "n", "shingles", *(f"prefix{seed}" for seed in range(2, like.orders))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -236,38 +283,28 @@ class _Verifier:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, known, like: Similarity):
         self.docs, self.nodes, self.known, self.like = docs, nodes, known, like
-        self.spark = docs.sparkSession
-
-    def _filter_bits(self, pairs: DataFrame):
-        """A broadcast bitmap of fixed size over the ids of the nodes in the pairs."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        slot = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
-        words = (
-            self.nodes.select("node", F.xxhash64("id").alias("hash")).join(ends, "node", "left_semi")
-            .groupBy(F.shiftright(slot, 6).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits")).toArrow()
-        )
-        bits = np.zeros(FILTER_BITS // 64, np.uint64)
-        bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-        return self.spark.sparkContext.broadcast(bits)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose prefixes meet under every order and whose sets are similar."""
+        """Of the stored pairs (a, b), those whose prefixes meet under every order and whose sets are similar."""
         like, known = self.like, self.known
-        pairs = materialize(pairs)
-        wanted = self._filter_bits(pairs)
-        others = [f"prefix{seed}" for seed in range(1, like.orders)]
-        schema = "node long, n long, shingles array<long>" + "".join(f", {p} array<long>" for p in others)
-        sets = materialize(
-            self.docs.select("text", F.xxhash64("id").alias("hash"))
-            .mapInArrow(lambda batches: _set_batches(batches, like, known, wanted), schema)
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+        ids = self.nodes.select("node", F.xxhash64("id").alias("hash")).join(ends, "node", "left_semi")
+        further = [f"prefix{seed}" for seed in range(2, like.orders)]
+        schema = "node long, n long, shingles array<long>" + "".join(f", {p} array<long>" for p in further)
+        sets = (
+            self.docs.where(maybe_in(ids.select("hash"), F.xxhash64("id"))).select("text")
+            .mapInArrow(lambda batches: _set_batches(batches, like, known), schema)
             .dropDuplicates(["node"])
         )
         side = lambda end: sets.select(*[F.col(c).alias(f"{c}_{end}") for c in sets.columns])
         both = (
             pairs.join(side("a"), pairs["a"] == F.col("node_a")).join(side("b"), pairs["b"] == F.col("node_b"))
         )
-        for prefix in others:
+        if like.orders > 1:
+            taken = f"n_{{0}} - ceil(n_{{0}} * {like.numerator} / {like.denominator}) + 1"
+            first = "slice(shingles_{0}, 1, cast(" + taken + " as int))"
+            both = both.where(F.arrays_overlap(F.expr(first.format("a")), F.expr(first.format("b"))))
+        for prefix in further:
             both = both.where(F.arrays_overlap(f"{prefix}_a", f"{prefix}_b"))
         common = F.size(F.array_intersect("shingles_a", "shingles_b"))
         total = F.col("n_a") + F.col("n_b") - common
@@ -275,23 +312,32 @@ class _Verifier:
 
 
 def _candidates(left: DataFrame, right: DataFrame, like: Similarity, more=None) -> DataFrame:
-    """Pairs of nodes of other classes that share a shingle and pass the length and position filters."""
+    """Pairs of nodes of other classes that share a shingle and pass the length and position filters.
+
+    A pair's first shared shingle passes both: nothing before it is common, so as much of either
+    set as lies behind it must suffice.
+    """
     r = right.select(*[F.col(c).alias(f"{c}2") for c in right.columns])
-    short, long_ = F.least("n", "n2"), F.greatest("n", "n2")
-    met = left.join(r, F.col("shingle") == F.col("shingle2")).where(
-        (F.col("class") != F.col("class2")) & (short * like.denominator >= long_ * like.numerator)
+    enough = lambda common: common * like.denominator >= (F.col("n") + F.col("n2") - common) * like.numerator
+    behind = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    met = left.join(r, F.col("key") == F.col("key2")).where(
+        (F.col("class") != F.col("class2")) & enough(F.least("n", "n2", "most", "most2")) & enough(behind)
     )
     met = met if more is None else met.where(more)
-    forth = F.col("node") < F.col("node2")
-    pick = lambda x, y, name: F.when(forth, F.col(x)).otherwise(F.col(y)).alias(name)
-    pairs = met.select(
-        pick("node", "node2", "a"), pick("node2", "node", "b"), pick("n", "n2", "n_a"), pick("n2", "n", "n_b"),
-        pick("place", "place2", "place_a"), pick("place2", "place", "place_b"),
-    ).groupBy("a", "b", "n_a", "n_b").agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
-    # Nothing before the first shared shingle is common to both.
-    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    total = F.col("n_a") + F.col("n_b") - most
-    return pairs.where(most * like.denominator >= total * like.numerator).select("a", "b")
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
+def _with_earlier(postings: DataFrame) -> DataFrame:
+    """The postings with `earlier`: which of the node's first EARLIER keys come before this one.
+
+    A pair is met at every key that it shares; where both have an earlier shared key the pair is
+    left to that one.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("place", "key")))
+    first = postings.groupBy("node").agg(F.slice(F.transform(ordered, lambda x: x["key"]), 1, EARLIER).alias("first"))
+    at = F.array_position("first", F.col("key"))
+    earlier = F.when(at > 0, F.slice("first", F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(F.col("first"))
+    return postings.join(first, "node").withColumn("earlier", earlier).drop("first")
 
 
 def _spanning(postings: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -300,23 +346,34 @@ def _spanning(postings: DataFrame, classes: DataFrame | None) -> DataFrame:
         return postings.withColumn("class", F.col("node"))
     found = classes.select("node", F.col("component").alias("class"))
     known = postings.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = known.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    return known.join(mixed.where("low < high").select("shingle"), "shingle", "left_semi")
+    mixed = known.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    return known.join(mixed.where("low < high").select("key"), "key", "left_semi")
 
 
 def _linked_classes(postings: DataFrame, verifier: _Verifier, like: Similarity) -> DataFrame:
     """(`node`, `component`) of all nodes that have a link."""
-    links = classes = None
+    links = classes = tried = None
     for seed in (*HUB_SEEDS, None):
-        spanning = materialize(_spanning(postings, classes)) if classes is not None else _spanning(postings, None)
-        if classes is not None and spanning.isEmpty():
-            break
+        if classes is not None:
+            postings = materialize(_spanning(postings.drop("class"), classes))
+            if postings.isEmpty():
+                break
+        else:
+            postings = _spanning(postings, None)
         if seed is None:
-            pairs = _candidates(spanning, spanning, like, F.col("node") < F.col("node2"))
+            postings = _with_earlier(postings)
+            once = (F.col("node") < F.col("node2")) & ~F.arrays_overlap("earlier", "earlier2")
+            pairs = _candidates(postings, postings, like, once)
         else:
-            hub = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "place", "class"))
-            hubs = spanning.groupBy("shingle").agg(hub.alias("hub")).select("shingle", "hub.*").drop("h")
-            pairs = _candidates(spanning, hubs, like)
+            # The node with the fewest shingles of its own is the likeliest centre.
+            own = (F.col("n") - F.col("most")) / F.col("n") if seed == 0 else F.lit(0.0)
+            hub = F.min(F.struct(
+                own.alias("own"), F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "place", "most", "class"
+            ))
+            hubs = postings.groupBy("key").agg(hub.alias("hub")).select("key", "hub.*").drop("own", "h")
+            pairs = _candidates(postings, hubs, like)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionAll(pairs)
         found = verifier.links(pairs)
         links = found if links is None else links.unionAll(found)
         classes = components(links, "a", "b")
@@ -342,10 +399,9 @@ def ngram_classes(docs: DataFrame, like: Similarity = Similarity(), id: str = "d
     )
     nodes = materialize(
         signed.where("n > 0").groupBy("node", "node2", "n")
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"),
-             F.first("prefix").alias("prefix"), F.first("levels").alias("levels"))
+        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     )
-    postings = materialize(_shared_postings(nodes))
+    postings = materialize(_shared_postings(signed, like))
     classes = _linked_classes(postings, _Verifier(docs, nodes, known, like), like)
     named = nodes.select("node", "id", "copies").join(classes, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
@@ -370,10 +426,12 @@ def one_of_each(docs: DataFrame, like: Similarity = Similarity(), id: str = "doc
     keys = found.groupBy(F.col(id).alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.bool_and(kept).alias("_kept"), F.count(F.lit(1)).alias("_rows")
     )
-    odd = materialize(keys.where("not _kept or _rows > 1"))
+    odd = stored(keys.where("not _kept or _rows > 1").withColumn("_both", F.xxhash64("_id", "_hash")))
     marked = docs.select("*", *row)
-    on = lambda x: marked["_id"].eqNullSafe(x["_id"]) & (marked["_hash"] == x["_hash"])
+    marked = marked.withColumn("_maybe", maybe_in(odd.select("_both"), F.xxhash64("_id", "_hash")))
+    doubtful = marked.where("_maybe")
+    on = lambda x: doubtful["_id"].eqNullSafe(x["_id"]) & (doubtful["_hash"] == x["_hash"])
     repeated = odd.where("_kept")
-    plain = marked.join(odd, on(odd), "left_anti")
-    once = marked.join(repeated, on(repeated), "left_semi").dropDuplicates(["_id", "_hash"])
-    return plain.unionByName(once).drop("_id", "_hash")
+    once = doubtful.join(repeated, on(repeated), "left_semi").dropDuplicates(["_id", "_hash"])
+    plain = doubtful.join(odd, on(odd), "left_anti")
+    return marked.where("not _maybe").unionByName(plain).unionByName(once).drop("_id", "_hash", "_maybe")
