@@ -155,3 +155,16 @@ def test_rule_files(spark, tmp_path):
     assert terms == parse_terms(INGREDIENT_CLASSES) == DIABETES_RULES.terms and len(terms) == 30
     assert rule_files.load_term_list(spark, str(tmp_path / "brands.txt")) == ("saxenda", "wegovy")
     assert ScopeRules(terms=terms).by_priority()[0].text == "tirzepatide"
+
+
+def test_rule_inputs_from_files(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("requires,label_class\nA|B,Both\nC,Alone\n")
+    (tmp_path / "s.txt").write_text("# states\n\n FL \nCA\n")
+    (tmp_path / "w.json").write_text('{"p": {"scale": 1, "growth": 0, "class_gap": 0.5, "completeness": 0}}')
+    (tmp_path / "bad.json").write_text('{"p": {"scale": 1}}')
+    pairs = [(c.requires, c.label_class) for c in rule_files.load_combinations(spark, str(tmp_path / "c.csv"))]
+    assert pairs == [(("A", "B"), "Both"), (("C",), "Alone")]
+    assert rule_files.load_lines(spark, str(tmp_path / "s.txt")) == ("FL", "CA")
+    assert rule_files.load_weights(spark, str(tmp_path / "w.json")).scenarios["p"]["class_gap"] == 0.5
+    with pytest.raises(ValueError):
+        rule_files.load_weights(spark, str(tmp_path / "bad.json"))

@@ -65,6 +65,20 @@ def headline_leaders(
     ])
 
 
+def top_rows(
+    classes: DataFrame, products: DataFrame, states: DataFrame, specialties: DataFrame, year: int
+) -> dict[str, DataFrame]:
+    """The whole row of the largest class, product, state and specialty of a year."""
+    kinds = {
+        "class": (classes, ["drug_class"]), "product": (products, [*PRODUCT[1:], PRODUCT[0]]),
+        "state": (states, ["provider_state"]), "specialty": (specialties, ["provider_specialty"]),
+    }
+    return {
+        f"top_{kind}": leaders(df.filter(F.col("year") == year), FILLS, ties, 1)
+        for kind, (df, ties) in kinds.items()
+    }
+
+
 def _long(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     doubles = [F.col(c).cast("double").alias(f"{prefix}{c}") for c in columns]
     return df.select(*doubles).unpivot(

@@ -11,11 +11,13 @@ import argparse
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from utilscope.operators import aggregates, concentration, cube, headline, profile, quality, ranking
 from utilscope.operators.classify import included, scope_audit, unmapped
 from utilscope.operators.clean import rename_raw, require_integral, standardize
 from utilscope.plans.market import FILLS, Market, MarketSettings
+from utilscope.rules import ScopeRules
 from utilscope.schema import GRAIN
 from utilscope.sources import files, manifest, rule_files
 from utilscope.workspace import Workspace
@@ -112,10 +114,27 @@ def reports(market: Market) -> dict[str, DataFrame]:
         "outlier_review": market.outlier_review(),
         "grain_duplicates": aggregates.duplicate_grain(market.fact, GRAIN),
         "headline": market.headline_metrics(),
+        **headline.top_rows(
+            market.class_year(), products, market.state_year(), market.specialty_year(), s.latest_year
+        ),
+        "top_opportunities": ranking.leaders(states, "score_primary", ["provider_state"], 10),
         "headline_text": headline.headline_formatted(market.market_year()),
     }
 
 
+def transform_summary(counts: DataFrame, fact: DataFrame, rules: ScopeRules) -> DataFrame:
+    """By year: candidate rows, rows excluded and kept, unmapped rows; `class_row_counts` has the classes."""
+    kept = fact.groupBy("year").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(F.col("drug_class") == rules.unmapped_class).alias("unmapped_rows"),
+    )
+    read = counts.select(
+        "year", F.col("candidate_rows").alias("input_candidate_rows"),
+        F.col("excluded_rows").alias("excluded_non_drug_rows"),
+    )
+    return read.join(kept, "year", "full")
+
+
 def checks(market: Market, candidates: DataFrame, counts: DataFrame) -> dict[str, DataFrame]:
     """Every check of the built tables against the candidate rows and their counts."""
     fact, rules, s = market.fact, market.settings.rules, market.settings
@@ -144,7 +163,7 @@ def run(spark: SparkSession, paths: BatchPaths, settings: MarketSettings, strict
     write_profiles(candidates, paths, settings)
     fact = build_fact(candidates, paths, settings)
     market = Market(Workspace(spark), lambda: fact, settings, stored=True)
-    published = reports(market)
+    published = reports(market) | {"transform_summary": transform_summary(counts, fact, settings.rules)}
     for name, df in published.items():
         files.write_json_records(df, paths.under(name))
     verdicts = quality.all_checks({
@@ -168,6 +187,10 @@ def main() -> None:
     parser.add_argument("--class-map", help="CSV of match_term, component_class, priority, notes")
     parser.add_argument("--excluded-brands", help="text file, one brand per line")
     parser.add_argument("--excluded-patterns", help="text file, one generic pattern per line")
+    parser.add_argument("--combinations", help="CSV of requires (classes joined by '|'), label_class")
+    parser.add_argument("--selected-classes", help="text file, one class per line")
+    parser.add_argument("--weights", help="JSON object of scenarios and their component weights")
+    parser.add_argument("--states", help="text file, one state per line, that are ranked")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("market-utilization").getOrCreate()
     settings = MarketSettings(years=args.years)
@@ -180,7 +203,16 @@ def main() -> None:
         rules = replace(
             rules, excluded_patterns=rule_files.load_term_list(spark, args.excluded_patterns)
         )
-    run(spark, BatchPaths(args.landing, args.out), replace(settings, rules=rules))
+    if args.combinations:
+        rules = replace(rules, combinations=rule_files.load_combinations(spark, args.combinations))
+    if args.selected_classes:
+        rules = replace(rules, selected_classes=rule_files.load_lines(spark, args.selected_classes))
+    settings = replace(settings, rules=rules)
+    if args.weights:
+        settings = replace(settings, weights=rule_files.load_weights(spark, args.weights))
+    if args.states:
+        settings = replace(settings, ranked_states=rule_files.load_lines(spark, args.states))
+    run(spark, BatchPaths(args.landing, args.out), settings).workspace.remove()
     spark.stop()
 
 

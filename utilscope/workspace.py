@@ -80,3 +80,10 @@ class Workspace:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         writer.partitionBy(*(partition_by or [])).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Delete every table of the workspace; frames that read them are then void."""
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(self.root)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        self._tables.clear()
