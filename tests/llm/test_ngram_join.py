@@ -71,6 +71,24 @@ def test_a_large_near_copy_group_is_one_class(documents):
     assert got == classes(pairs, LIKE)
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_pairs_at_the_threshold_with_shingles_beyond_the_other_prefix(documents, seed):
+    """Copies that also differ in length and share passages across groups: prefixes end at unlike places."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}w{i}" for i in range(40)] for k in range(4)]
+    pairs = []
+    for base in range(25):
+        words = [f"b{base}w{i}" for i in range(rng.randint(30, 70))] + rng.choice(passages)
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(60)}"
+            copy += [f"t{rng.randrange(10**6)}" for _ in range(rng.randint(0, 6))]
+            pairs.append((len(pairs), " ".join(copy[rng.randint(0, 4):])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_classes(documents(pairs), LIKE).collect()}
+    assert got == classes(pairs, LIKE)
+
+
 def test_ids_null_and_repeated_and_an_empty_table(documents):
     text = "a b c d e f g"
     got = ngram_classes(documents([(None, text), (5, text), (5, text), (None, "q r s t")]), LIKE).collect()

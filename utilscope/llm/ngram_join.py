@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from utilscope.llm.graph import components
 from utilscope.llm.shingles import Sets, mix, shingle_sets
-from utilscope.llm.storage import maybe_in, materialize, stored
+from utilscope.llm.storage import maybe_in, materialize, splittable, stored
 
 #: Most entries of the broadcast table of repeating shingles (9 bytes each). Shingles beyond it
 #: sort as rare ones: this costs speed, never a pair.
@@ -39,7 +39,7 @@ EARLIER = 8
 #: Most postings of one shingle that a task holds at once.
 HELD_ROWS = 1 << 16
 #: Distinct shingles after which a task writes out its counts.
-COUNT_EVERY = 2_000_000
+COUNT_EVERY = 1_000_000
 #: Seeds of the hubs that are tried before all remaining pairs are.
 HUB_SEEDS = (0, 1)
 
@@ -241,11 +241,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_postings(nodes: DataFrame, like: Similarity) -> DataFrame:
-    """(key, node, n, place, most) of the first order's prefix shingles that several nodes hold.
+    """(key, node, n, place, most, end) of the first order's prefix shingles that several nodes hold.
 
     `key` stands for all shingles of one member list, `place` is the smallest of their places.
-    `most` bounds what a node can have in common with any other: all but the shingles of its
-    prefix that no other prefix holds. Shingles of very many nodes are dealt over several tasks.
+    `most` leaves out the shingles of a node's prefix that no other prefix holds. Where its
+    prefix ends (`end`) no later in the order than another's, all that its prefix shares with the
+    other set lies in the other's prefix, so the two have at most `most` in common. Shingles of
+    very many nodes are dealt over several tasks.
     """
     places = nodes.select("node", "n", "levels", F.posexplode("prefix").alias("place", "shingle"))
     salts = F.expr("shiftleft(1, greatest(0, levels[place] - 13))")
@@ -259,7 +261,14 @@ def _shared_postings(nodes: DataFrame, like: Similarity) -> DataFrame:
     )
     behind = F.expr(f"(n * {like.numerator} + {like.denominator - 1}) div {like.denominator} - 1")
     most = postings.groupBy("node").agg(F.sum("shingles").alias("held"))
-    return postings.join(most, "node").select("key", "node", "n", "place", (behind + F.col("held")).alias("most"))
+    last = F.struct(  # the order's own: by class, then by unsigned hash
+        F.element_at("levels", -1).alias("level"),
+        F.element_at("prefix", -1).bitwiseXOR(F.lit(-(2**63))).alias("hash"),
+    )
+    ends = nodes.where(F.size("prefix") > 0).groupBy("node").agg(F.min(last).alias("end"))
+    return postings.join(most, "node").join(ends, "node").select(
+        "key", "node", "n", "place", (behind + F.col("held")).alias("most"), "end"
+    )
 
 
 def _set_batches(batches, like: Similarity, known):
@@ -320,8 +329,9 @@ def _candidates(left: DataFrame, right: DataFrame, like: Similarity, more=None)
     r = right.select(*[F.col(c).alias(f"{c}2") for c in right.columns])
     enough = lambda common: common * like.denominator >= (F.col("n") + F.col("n2") - common) * like.numerator
     behind = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    most = F.when(F.col("end") <= F.col("end2"), F.col("most")).otherwise(F.col("most2"))
     met = left.join(r, F.col("key") == F.col("key2")).where(
-        (F.col("class") != F.col("class2")) & enough(F.least("n", "n2", "most", "most2")) & enough(behind)
+        (F.col("class") != F.col("class2")) & enough(F.least("n", "n2", most)) & enough(behind)
     )
     met = met if more is None else met.where(more)
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
@@ -347,7 +357,7 @@ def _spanning(postings: DataFrame, classes: DataFrame | None) -> DataFrame:
     found = classes.select("node", F.col("component").alias("class"))
     known = postings.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
     mixed = known.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    return known.join(mixed.where("low < high").select("key"), "key", "left_semi")
+    return known.join(splittable(mixed.where("low < high").select("key")), "key", "left_semi")
 
 
 def _linked_classes(postings: DataFrame, verifier: _Verifier, like: Similarity) -> DataFrame:
@@ -368,10 +378,10 @@ def _linked_classes(postings: DataFrame, verifier: _Verifier, like: Similarity)
             # The node with the fewest shingles of its own is the likeliest centre.
             own = (F.col("n") - F.col("most")) / F.col("n") if seed == 0 else F.lit(0.0)
             hub = F.min(F.struct(
-                own.alias("own"), F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "place", "most", "class"
+                own.alias("own"), F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "place", "most", "end", "class"
             ))
             hubs = postings.groupBy("key").agg(hub.alias("hub")).select("key", "hub.*").drop("own", "h")
-            pairs = _candidates(postings, hubs, like)
+            pairs = _candidates(postings, splittable(hubs), like)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = verifier.links(pairs)
