@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from utilscope.llm.shingles import _power_tables, mix, utf8
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 SLOTS = 22
 
 

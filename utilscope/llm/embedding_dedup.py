@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from utilscope.llm.graph import components
 from utilscope.llm.shingles import mix
-from utilscope.llm.storage import materialize
+from utilscope.llm.storage import materialize, splittable
 
 
 @dataclass(frozen=True)
@@ -209,7 +209,7 @@ def embedding_classes(
     schema = "node long, id long, copies long, label long, vector array<double>, buckets array<long>"
     folded = materialize(folded.mapInArrow(lambda batches: _entries(batches, hashing), schema))
     entries = folded.select("node", F.explode(F.array_distinct("buckets")).alias("key"))
-    sizes = entries.groupBy("key").count().where("count > 1")
+    sizes = splittable(entries.groupBy("key").count().where("count > 1"))
     blocks = F.ceil(F.col("count") / hashing.block).cast("int")
     placed = entries.join(sizes, "key").select("key", "node", blocks.alias("blocks")).withColumn(
         "block", F.pmod(F.xxhash64("node"), "blocks").cast("int")

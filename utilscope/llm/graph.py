@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilscope.llm.storage import materialize
+from utilscope.llm.storage import materialize, splittable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every neighbour above a node on the node's smallest neighbour."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.min("v").alias("m"))
-    smallest = smallest.select("u", F.least("u", "m").alias("m"))
+    smallest = splittable(smallest.select("u", F.least("u", "m").alias("m")))
     return (
         both.join(smallest, "u").where("v > u")
         .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -22,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang a node and its neighbours below it on the smallest of them."""
     smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(smallest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(splittable(smallest), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(smallest.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -36,8 +36,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(`node`, `component`) for every node that has a link; `component` is its smallest node.
 
     Ids are LONG. Self links, NULL ends and repeated links are ignored. Each round is two
-    aggregations with map-side combine and two joins on the node, so a hub's neighbours are
-    never gathered in one task; the rounds needed grow with the logarithm of the longest chain.
+    aggregations with map-side combine and two joins on the node whose hot keys Spark splits, so
+    a hub's neighbours are never gathered in one task; the rounds needed grow with the logarithm of the longest chain.
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
     edges = materialize(

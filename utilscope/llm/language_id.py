@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utilscope.llm.shingles import CHUNK_BYTES, utf8
-from utilscope.llm.storage import maybe_in, materialize, stored
+from utilscope.llm.storage import maybe_in, materialize, splittable, stored
 
 BUCKETS = 1 << 14
 
@@ -198,8 +198,8 @@ def identify_languages(rows: DataFrame, settings: Settings = Settings()) -> Data
 
     declared, n_declared = conditional("declared")
     suffix, n_suffix = conditional("suffix")
-    host = _summed(counted.where("host is not null"), ["host"], size, "host_sums")
-    domain = _summed(counted.where("domain is not null"), ["domain"], size, "domain_sums")
+    host = splittable(_summed(counted.where("host is not null"), ["host"], size, "host_sums"))
+    domain = splittable(_summed(counted.where("domain is not null"), ["domain"], size, "domain_sums"))
     joined = found
     for by, sums in (("declared", declared), ("suffix", suffix), ("host", host), ("domain", domain)):
         joined = _joined(joined, sums, by)

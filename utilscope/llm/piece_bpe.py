@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Units and parts of units whose ids a worker keeps, twice: those met lately, and those before them.
-KEPT_UNITS, KEPT_PARTS = 200_000, 80_000
+KEPT_UNITS, KEPT_PARTS = 120_000, 50_000
 #: Parts up to this length keep their agenda in a list, which is quicker than a heap there.
 SHORT = 40
 #: The rank of a pair that forms no piece; bits of a symbol in a pair.

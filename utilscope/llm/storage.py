@@ -29,6 +29,15 @@ def stored(df: DataFrame) -> DataFrame:
     return workspace.write(workspace.path("table"), df)
 
 
+def splittable(grouped: DataFrame) -> DataFrame:
+    """An aggregate dealt out anew, so that a join on its key shuffles both sides.
+
+    Spark splits a hot key of a join only where both sides come straight from a shuffle; an
+    aggregate that keeps its partitions would pin all rows of the key to one task.
+    """
+    return grouped.hint("rebalance")
+
+
 #: Bits of a broadcast membership filter (512 KB).
 FILTER_BITS = 1 << 22
 
