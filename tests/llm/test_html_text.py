@@ -25,6 +25,8 @@ def test_the_article_alone():
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a < b &amp; c<p>d", "a < b & c\nd"),
     ("<div class=menu>m</div><h2>Hi</h2><p>short</p><div class='sidebar'>long long long</div>", "Hi\nshort"),
+    ("<article><div class='post-header'><h1>T</h1></div><p>x</p><div class='post-footer'>f</div></article>", "T\nx"),
+    ("<div class='site-header'>S</div><article><p>x<span class='ad'>A</span> y</p></article>", "x y"),
     ("<nav>only a menu</nav>", ""), ("<article></article>", ""), ("<!-- c <p>x</p>", ""),
 ])
 def test_small_pages(page, text):

@@ -117,3 +117,17 @@ def test_components_of_a_chain_and_of_nothing(spark):
     got = {r["node"]: r["component"] for r in components(chain, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(61)}, 200: 200, 201: 200}
     assert components(chain.limit(0), "a", "b").collect() == []
+
+
+def test_components_of_many_partitions(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1040)]
+    links += [(2000, i) for i in range(2001, 2200)]
+    label = {i: i for i in range(2300)}
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = {i: min(x, y) if c in (x, y) else c for i, c in label.items()}
+    found = components(spark.createDataFrame(links, "a long, b long"), "a", "b", file_rows=40).collect()
+    linked = {i for pair in links for i in pair if pair[0] != pair[1]}
+    assert {r["node"]: r["component"] for r in found} == {i: label[i] for i in linked}
+    assert len(found) == len(linked)

@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilscope.llm.graph import components
+from utilscope.llm.graph import components, smallest_members
 from utilscope.llm.shingles import mix
 from utilscope.llm.storage import materialize, splittable
 
@@ -111,20 +111,6 @@ def _entries(batches: Iterator[pa.RecordBatch], hashing: Hashing) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([*rows.columns, buckets], [*rows.schema.names, "buckets"])
 
 
-def _classes(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Smallest member of each of n members' connected class."""
-    labels = np.arange(n)
-    while len(pairs):
-        low = np.minimum(labels[pairs[:, 0]], labels[pairs[:, 1]])
-        before = labels.copy()
-        np.minimum.at(labels, pairs[:, 0], low)
-        np.minimum.at(labels, pairs[:, 1], low)
-        labels = labels[labels]
-        if (labels == before).all():
-            break
-    return labels
-
-
 def _verified(rows: pa.Table, hashing: Hashing) -> pa.RecordBatch | None:
     """(node, other, links) of the rows of one pair of blocks of one bucket."""
     n = rows.num_rows
@@ -155,7 +141,7 @@ def _verified(rows: pa.Table, hashing: Hashing) -> pa.RecordBatch | None:
         here = part[smallest == key]
         np.add.at(links, here[:, 0], copies[here[:, 1]])
         np.add.at(links, here[:, 1], copies[here[:, 0]])
-    other = node[_classes(pairs, n)]
+    other = node[smallest_members(pairs, n)]
     told = np.flatnonzero((links > 0) | (other != node))
     if not len(told):
         return None

@@ -57,6 +57,7 @@ _NAMES = (
     "copyright|skip-?link|search(?:box|form|bar)?"
 )
 _NAMED = re.compile(rf"(?:(?!has-|with-|no-|without-|is-)(?:.+[-_])?(?:{_NAMES})|(?:{_NAMES})[-_].+)\Z", re.I)
+_HEADER_NAMED = re.compile(r"(?:.+[-_])?(?:headers?|masthead)(?:[-_].+)?\Z", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -77,7 +78,8 @@ def _is_dropped(tag: str, attributes: str, in_main: bool) -> bool:
         return True
     if tag == "header":
         return False
-    return any(_NAMED.match(name) for name in f"{given.get('class', '')} {given.get('id', '')}".split())
+    names = f"{given.get('class', '')} {given.get('id', '')}".split()
+    return any(_NAMED.match(name) and not (in_main and _HEADER_NAMED.match(name)) for name in names)
 
 
 class _Open(NamedTuple):

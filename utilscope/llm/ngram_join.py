@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 
 from utilscope.llm.graph import components
 from utilscope.llm.shingles import Sets, mix, shingle_sets
-from utilscope.llm.storage import maybe_in, materialize, splittable, stored
+from utilscope.llm.storage import Filter, materialize, maybe_in, splittable, stored
 
 #: Most entries of the broadcast table of repeating shingles (9 bytes each). Shingles beyond it
 #: sort as rare ones: this costs speed, never a pair.
 COUNTED_SHINGLES = 1 << 20
 #: Keys of a node that are looked through for an earlier place where a pair meets.
 EARLIER = 8
+#: Shingles of the sets that meet in one block when many pairs of a group are verified.
+BLOCK_SHINGLES = 1 << 20
 #: Most postings of one shingle that a task holds at once.
 HELD_ROWS = 1 << 16
 #: Distinct shingles after which a task writes out its counts.
@@ -266,16 +268,18 @@ def _shared_postings(nodes: DataFrame, like: Similarity) -> DataFrame:
         F.element_at("prefix", -1).bitwiseXOR(F.lit(-(2**63))).alias("hash"),
     )
     ends = nodes.where(F.size("prefix") > 0).groupBy("node").agg(F.min(last).alias("end"))
-    return postings.join(most, "node").join(ends, "node").select(
+    bounded = postings.join(most, "node").join(ends, "node").select(
         "key", "node", "n", "place", (behind + F.col("held")).alias("most"), "end"
     )
+    return materialize(bounded, postings.count())
 
 
-def _set_batches(batches, like: Similarity, known):
-    """node, set in the second order, and the further orders' prefixes of the documents."""
+def _set_batches(batches, like: Similarity, known, wanted: Filter):
+    """node, set in the second order, and the further orders' prefixes of the documents that pass the filter."""
     classes = known.value
     for batch in batches:
-        for sets in shingle_sets(batch.column(0), like.words):
+        texts = batch.column(0).filter(pa.array(wanted.may_hold(batch.column(1).to_numpy())))
+        for sets in shingle_sets(texts, like.words):
             node, _ = _fingerprints(sets)
             levels = classes.of(sets.hashes)
             second = sets.hashes[_order(sets, levels, 1)]
@@ -293,18 +297,26 @@ class _Verifier:
     def __init__(self, docs: DataFrame, nodes: DataFrame, known, like: Similarity):
         self.docs, self.nodes, self.known, self.like = docs, nodes, known, like
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of the stored pairs (a, b), those whose prefixes meet under every order and whose sets are similar."""
+    def _sets(self, pairs: DataFrame) -> DataFrame:
+        """`node`, `n`, `shingles` in the second order and the further orders' prefixes of the nodes in the pairs."""
         like, known = self.like, self.known
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
         ids = self.nodes.select("node", F.xxhash64("id").alias("hash")).join(ends, "node", "left_semi")
-        further = [f"prefix{seed}" for seed in range(2, like.orders)]
-        schema = "node long, n long, shingles array<long>" + "".join(f", {p} array<long>" for p in further)
-        sets = (
-            self.docs.where(maybe_in(ids.select("hash"), F.xxhash64("id"))).select("text")
-            .mapInArrow(lambda batches: _set_batches(batches, like, known), schema)
+        wanted = Filter(ids.select("hash"))
+        schema = "node long, n long, shingles array<long>" + "".join(f", {p} array<long>" for p in self.further)
+        return (
+            self.docs.select("text", F.xxhash64("id").alias("hash"))
+            .mapInArrow(lambda batches: _set_batches(batches, like, known, wanted), schema)
             .dropDuplicates(["node"])
         )
+
+    @property
+    def further(self) -> list[str]:
+        return [f"prefix{seed}" for seed in range(2, self.like.orders)]
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of the stored pairs (a, b), those whose prefixes meet under every order and whose sets are similar."""
+        like, further, sets = self.like, self.further, self._sets(pairs)
         side = lambda end: sets.select(*[F.col(c).alias(f"{c}_{end}") for c in sets.columns])
         both = (
             pairs.join(side("a"), pairs["a"] == F.col("node_a")).join(side("b"), pairs["b"] == F.col("node_b"))
@@ -317,12 +329,73 @@ class _Verifier:
             both = both.where(F.arrays_overlap(f"{prefix}_a", f"{prefix}_b"))
         common = F.size(F.array_intersect("shingles_a", "shingles_b"))
         total = F.col("n_a") + F.col("n_b") - common
-        return materialize(both.where(common * like.denominator >= total * like.numerator).select("a", "b"))
+        return both.where(common * like.denominator >= total * like.numerator).select("a", "b")
+
+
+    def links_of_groups(self, pairs: DataFrame) -> DataFrame:
+        """As `links`, for stored pairs (key, a, b, n_a, n_b) of which many meet at one key.
+
+        The nodes of a key are dealt over blocks; a set is sent to each pair of blocks in which it
+        has a pair, not to each pair, and a task holds the sets of one pair of blocks.
+        """
+        like, further = self.like, self.further
+        ends = pairs.select("key", F.col("a").alias("node"), F.col("n_a").alias("n")).unionAll(
+            pairs.select("key", "b", "n_b")
+        ).distinct()
+        blocks = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int")
+        sizes = splittable(ends.groupBy("key").agg(blocks.alias("blocks")))
+        block = lambda node: F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+        group = ["key", "low", "high"]
+        placed = pairs.join(sizes, "key").select(
+            "key", F.least(block("a"), block("b")).alias("low"), F.greatest(block("a"), block("b")).alias("high"), "a", "b"
+        )
+        needed = placed.select(*group, F.col("a").alias("node")).unionAll(placed.select(*group, "b")).distinct()
+        lists = ["shingles", *further]
+        sent = needed.join(self._sets(pairs), "node").select(*group, "node", F.lit(None).cast("long").alias("other"), *lists)
+        asked = placed.select(
+            *group, F.col("a").alias("node"), F.col("b").alias("other"),
+            *[F.lit(None).cast("array<long>").alias(c) for c in lists],
+        )
+        dealt = sent.unionAll(asked).repartition(*group).sortWithinPartitions(*group, F.col("other").asc_nulls_first())
+        return dealt.mapInArrow(lambda batches: _similar(batches, like), "a long, b long")
+
+
+def _similar(batches: Iterator[pa.RecordBatch], like: Similarity) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows, sets (without `other`) before pairs in each group: the pairs that are similar."""
+    at, sets = None, {}
+
+    def linked(a: int, b: int) -> bool:
+        (x, *px), (y, *py) = sets[a], sets[b]
+        if any(p.isdisjoint(q) for p, q in zip(px, py)):
+            return False
+        places = np.searchsorted(y, x)
+        places[places == len(y)] = 0
+        common = int(np.count_nonzero(y[places] == x))
+        return common * like.denominator >= (len(x) + len(y) - common) * like.numerator
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "other")]
+        lists = [batch.column(c) for c in batch.schema.names[5:]]
+        found = []
+        for i, (key, low, high, node, other) in enumerate(zip(*columns)):
+            if (key, low, high) != at:
+                at, sets = (key, low, high), {}
+            if other is not None:
+                if linked(node, other):
+                    found.append((node, other))
+                continue
+            shingles, *prefixes = (c[i].values.to_numpy() for c in lists)
+            if like.orders > 1:  # the shingles stand in the second order
+                prefixes.insert(0, shingles[:int(like.prefix(len(shingles)))])
+            sets[node] = (np.sort(shingles), *[frozenset(p.tolist()) for p in prefixes])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
 
 def _candidates(left: DataFrame, right: DataFrame, like: Similarity, more=None) -> DataFrame:
-    """Pairs of nodes of other classes that share a shingle and pass the length and position filters.
+    """Pairs (a, b) of nodes of other classes that share a shingle and pass the length and position filters.
 
+    With `more`, a condition that puts the left node first, also their sizes and a key they share.
     A pair's first shared shingle passes both: nothing before it is common, so as much of either
     set as lies behind it must suffice.
     """
@@ -333,8 +406,11 @@ def _candidates(left: DataFrame, right: DataFrame, like: Similarity, more=None)
     met = left.join(r, F.col("key") == F.col("key2")).where(
         (F.col("class") != F.col("class2")) & enough(F.least("n", "n2", most)) & enough(behind)
     )
-    met = met if more is None else met.where(more)
-    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    if more is None:
+        return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    return met.where(more).groupBy(
+        F.col("node").alias("a"), F.col("node2").alias("b"), F.col("n").alias("n_a"), F.col("n2").alias("n_b")
+    ).agg(F.min("key").alias("key"))
 
 
 def _with_earlier(postings: DataFrame) -> DataFrame:
@@ -363,9 +439,10 @@ def _spanning(postings: DataFrame, classes: DataFrame | None) -> DataFrame:
 def _linked_classes(postings: DataFrame, verifier: _Verifier, like: Similarity) -> DataFrame:
     """(`node`, `component`) of all nodes that have a link."""
     links = classes = tried = None
+    n_postings, n_links = postings.count(), 0
     for seed in (*HUB_SEEDS, None):
         if classes is not None:
-            postings = materialize(_spanning(postings.drop("class"), classes))
+            postings = materialize(_spanning(postings.drop("class"), classes), n_postings)
             if postings.isEmpty():
                 break
         else:
@@ -382,11 +459,17 @@ def _linked_classes(postings: DataFrame, verifier: _Verifier, like: Similarity)
             ))
             hubs = postings.groupBy("key").agg(hub.alias("hub")).select("key", "hub.*").drop("own", "h")
             pairs = _candidates(postings, splittable(hubs), like)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        found = verifier.links(pairs)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        if seed is None:
+            pairs = materialize(pairs)
+            found = materialize(verifier.links_of_groups(pairs), pairs.count())
+        else:  # a posting meets one hub
+            pairs = materialize(pairs, n_postings)
+            found = materialize(verifier.links(pairs), pairs.count())
+        n_links += found.count()
+        tried = pairs if tried is None else tried.unionAll(pairs.select("a", "b"))
         links = found if links is None else links.unionAll(found)
-        classes = components(links, "a", "b")
+        classes = components(links, "a", "b", n_links)
     return classes
 
 
@@ -411,7 +494,7 @@ def ngram_classes(docs: DataFrame, like: Similarity = Similarity(), id: str = "d
         signed.where("n > 0").groupBy("node", "node2", "n")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     )
-    postings = materialize(_shared_postings(signed, like))
+    postings = _shared_postings(signed, like)
     classes = _linked_classes(postings, _Verifier(docs, nodes, known, like), like)
     named = nodes.select("node", "id", "copies").join(classes, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utilscope.workspace import Workspace, shared_root
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Rows of a checkpoint file, for frames whose size is known to be small.
+FILE_ROWS = 100_000
+
+
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows, written to the shared checkpoint folder and read back from there.
 
+    A frame of at most `rows` rows is dealt to as few files as that needs.
+
     A lost executor costs a re-read of its part, not a re-run of the plan above. The folder is
     the one named by `spark.checkpoint.dir`; Spark's cleaner removes the files once the frame
     is unreachable (`spark.cleaner.referenceTracking.cleanCheckpoints`).
@@ -20,6 +26,10 @@ def materialize(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(df.sparkSession))
+    if rows is not None:
+        files = max(1, -(-rows // FILE_ROWS))
+        if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(files)
     return df.checkpoint(eager=True)
 
 
@@ -42,26 +52,38 @@ def splittable(grouped: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 22
 
 
+class Filter:
+    """A broadcast bitmap of fixed size over the LONG hashes of a one-column frame.
+
+    It is built by an aggregation, whatever the number of hashes; `may_hold` is never false for
+    one of them.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        name = hashes.columns[0]
+        words = (
+            hashes.groupBy(F.shiftright(F.col(name).bitwiseAND(F.lit(FILTER_BITS - 1)), 6).alias("word"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))")).alias("bits")).toArrow()
+        )
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        self._bits = hashes.sparkSession.sparkContext.broadcast(bits)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        word = self._bits.value[(slot >> np.uint64(6)).astype(np.int64)]
+        return ((word >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def maybe_in(hashes: DataFrame, of: Column) -> Column:
     """Whether a row's LONG hash `of` may be among those of the one-column frame `hashes`.
 
-    Never false for one that is. The filter is a bitmap of fixed size, built by an aggregation
-    and broadcast; it lets most rows pass by an exact join, whatever their number.
+    Lets most rows pass by an exact join.
     """
-    spark = hashes.sparkSession
-    name = hashes.columns[0]
-    words = (
-        hashes.groupBy(F.shiftright(F.col(name).bitwiseAND(F.lit(FILTER_BITS - 1)), 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))")).alias("bits")).toArrow()
-    )
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def held(values: pd.Series) -> pd.Series:
-        slot = values.to_numpy(dtype=np.int64).view(np.uint64) & np.uint64(FILTER_BITS - 1)
-        found = (sent.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-        return pd.Series(found.astype(bool))
+    known = Filter(hashes)
+
+    @F.arrow_udf("boolean")
+    def held(values: pa.Array) -> pa.Array:
+        return pa.array(known.may_hold(values.to_numpy()))
 
     return held(of)
