@@ -35,9 +35,9 @@ from utilscope.llm.storage import Filter, materialize, maybe_in, splittable, sto
 #: sort as rare ones: this costs speed, never a pair.
 COUNTED_SHINGLES = 1 << 20
 #: Keys of a node that are looked through for an earlier place where a pair meets.
-EARLIER = 8
+EARLIER = 32
 #: Shingles of the sets that meet in one block when many pairs of a group are verified.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 16
 #: Most postings of one shingle that a task holds at once.
 HELD_ROWS = 1 << 16
 #: Distinct shingles after which a task writes out its counts.
@@ -242,7 +242,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _folded(held).to_batches()
 
 
-def _shared_postings(nodes: DataFrame, like: Similarity) -> DataFrame:
+def _shared_postings(prefixes: DataFrame, ends: DataFrame, like: Similarity) -> DataFrame:
     """(key, node, n, place, most, end) of the first order's prefix shingles that several nodes hold.
 
     `key` stands for all shingles of one member list, `place` is the smallest of their places.
@@ -251,7 +251,7 @@ def _shared_postings(nodes: DataFrame, like: Similarity) -> DataFrame:
     other set lies in the other's prefix, so the two have at most `most` in common. Shingles of
     very many nodes are dealt over several tasks.
     """
-    places = nodes.select("node", "n", "levels", F.posexplode("prefix").alias("place", "shingle"))
+    places = prefixes.select("node", "n", "levels", F.posexplode("prefix").alias("place", "shingle"))
     salts = F.expr("shiftleft(1, greatest(0, levels[place] - 13))")
     places = places.select("shingle", "node", "n", "place", salts.alias("salts"))
     dealt = places.withColumn("salt", F.pmod("node", "salts")).repartition("shingle", "salt")
@@ -263,11 +263,6 @@ def _shared_postings(nodes: DataFrame, like: Similarity) -> DataFrame:
     )
     behind = F.expr(f"(n * {like.numerator} + {like.denominator - 1}) div {like.denominator} - 1")
     most = postings.groupBy("node").agg(F.sum("shingles").alias("held"))
-    last = F.struct(  # the order's own: by class, then by unsigned hash
-        F.element_at("levels", -1).alias("level"),
-        F.element_at("prefix", -1).bitwiseXOR(F.lit(-(2**63))).alias("hash"),
-    )
-    ends = nodes.where(F.size("prefix") > 0).groupBy("node").agg(F.min(last).alias("end"))
     bounded = postings.join(most, "node").join(ends, "node").select(
         "key", "node", "n", "place", (behind + F.col("held")).alias("most"), "end"
     )
@@ -486,15 +481,23 @@ def ngram_classes(docs: DataFrame, like: Similarity = Similarity(), id: str = "d
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     known = spark.sparkContext.broadcast(shingle_classes(docs, "text", like.words))
     schema = "id long, n long, node long, node2 long, prefix array<long>, levels array<tinyint>, text_hash long"
-    signed = materialize(
-        docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
-        .mapInArrow(lambda batches: _node_batches(batches, like, known), schema)
+    # The prefixes are made twice, here for their ends alone: a pass over the texts costs less than to store them.
+    prefixes = docs.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        lambda batches: _node_batches(batches, like, known), schema
+    )
+    last = F.struct(  # in the first order: by class, then by unsigned hash
+        F.element_at("levels", -1).alias("level"),
+        F.element_at("prefix", -1).bitwiseXOR(F.lit(-(2**63))).alias("hash"),
     )
+    signed = materialize(prefixes.select(
+        "id", "n", "node", "node2", "text_hash", F.when(F.size("prefix") > 0, last).alias("end")
+    ))
+    ends = signed.where("end is not null").groupBy("node").agg(F.min("end").alias("end"))
     nodes = materialize(
         signed.where("n > 0").groupBy("node", "node2", "n")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     )
-    postings = _shared_postings(signed, like)
+    postings = _shared_postings(prefixes, ends, like)
     classes = _linked_classes(postings, _Verifier(docs, nodes, known, like), like)
     named = nodes.select("node", "id", "copies").join(classes, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
