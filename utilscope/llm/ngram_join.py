@@ -341,9 +341,9 @@ class _Verifier:
         sizes = splittable(ends.groupBy("key").agg(blocks.alias("blocks")))
         block = lambda node: F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
         group = ["key", "low", "high"]
-        placed = pairs.join(sizes, "key").select(
+        placed = materialize(pairs.join(sizes, "key").select(
             "key", F.least(block("a"), block("b")).alias("low"), F.greatest(block("a"), block("b")).alias("high"), "a", "b"
-        )
+        ), pairs.count())
         needed = placed.select(*group, F.col("a").alias("node")).unionAll(placed.select(*group, "b")).distinct()
         lists = ["shingles", *further]
         sent = needed.join(self._sets(pairs), "node").select(*group, "node", F.lit(None).cast("long").alias("other"), *lists)
