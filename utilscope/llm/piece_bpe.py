@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Units and parts of units whose ids a worker keeps, twice: those met lately, and those before them.
-KEPT_UNITS, KEPT_PARTS = 120_000, 50_000
+KEPT_UNITS, KEPT_PARTS = 120_000, 50_000  # some 70 MB
 #: Parts up to this length keep their agenda in a list, which is quicker than a heap there.
 SHORT = 40
 #: The rank of a pair that forms no piece; bits of a symbol in a pair.
@@ -72,7 +72,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceBpe:
     """Vocabulary and agenda of one merge-type model file."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, kept_units: int | None = None):
         pieces, trainer, normalizer = [], {}, {}
         for number, value in _fields(Path(model_file).read_bytes()):
             if number == 1:
@@ -110,8 +110,9 @@ class PieceBpe:
         whole_words = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if whole_words else r"(?s).+")
         self.fresh: list[str] = []  # units encoded since they were last checked
-        self.kept: dict[str, bytes] = _Kept(self._unit, KEPT_UNITS)
-        self._parts: dict[str, bytes] = _Kept(self._part, KEPT_PARTS)
+        units = kept_units or KEPT_UNITS
+        self.kept: dict[str, bytes] = _Kept(self._unit, units)
+        self._parts: dict[str, bytes] = _Kept(self._part, max(1, units * KEPT_PARTS // KEPT_UNITS))
 
     def _fallback(self, symbol: int) -> list[int]:
         """Byte pieces of a character that is no piece."""
@@ -233,11 +234,13 @@ class _Kept(dict):
 _loaded: dict[str, tuple] = {}
 
 
-def _model(model_file: str) -> tuple[PieceBpe, sentencepiece.SentencePieceProcessor]:
-    """One vocabulary per worker process."""
-    if model_file not in _loaded:
-        _loaded[model_file] = PieceBpe(model_file), sentencepiece.SentencePieceProcessor(model_file=model_file)
-    return _loaded[model_file]
+def _model(model_file: str, kept_units: int) -> tuple[PieceBpe, sentencepiece.SentencePieceProcessor]:
+    """One vocabulary and store per worker process."""
+    key = model_file, kept_units
+    if key not in _loaded:
+        library = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        _loaded[key] = PieceBpe(model_file, kept_units), library
+    return _loaded[key]
 
 
 class NotAsLibrary(RuntimeError):
@@ -255,9 +258,9 @@ def _texts(column: pa.Array) -> Iterator[list[str]]:
             start, size = i + 1, 0
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], model_file: str, packed: bool, check: str):
+def _encoded(batches: Iterator[pa.RecordBatch], model_file: str, packed: bool, check: str, kept_units: int = KEPT_UNITS):
     """The rows with `ids` and `decoded` behind their other columns; the text is the last column."""
-    bpe, library = _model(model_file)
+    bpe, library = _model(model_file, kept_units)
     begin, end = (np.array([i], "<u4").tobytes() for i in (library.bos_id(), library.eos_id()))
     for batch in batches:
         done = 0
@@ -284,14 +287,16 @@ def _encoded(batches: Iterator[pa.RecordBatch], model_file: str, packed: bool, c
 
 
 def encode_texts(
-    docs: DataFrame, model_file: str, keep: list[str], text: str = "text", packed: bool = False, check: str = "units"
+    docs: DataFrame, model_file: str, keep: list[str], text: str = "text", packed: bool = False, check: str = "units",
+    kept_units: int = KEPT_UNITS,
 ) -> DataFrame:
     """The columns `keep`, `ids` (with begin and end ids) and `decoded` for every row of `docs`.
 
     `ids` is array<int>, or little-endian unsigned 32-bit integers in a BINARY if `packed`.
     `decoded` is the library's decode(ids). In every Arrow batch the library encodes the units
     that the worker has not met before (`check="units"`) or all whole texts (`check="texts"`); a
-    difference stops the job (`NotAsLibrary`). NULL texts are empty: begin and end
+    difference stops the job (`NotAsLibrary`). A worker keeps the ids of up to twice `kept_units`
+    units: more of them cost memory and save time, and change no result. NULL texts are empty: begin and end
     id alone. Whole texts are encoded, row by row: nothing is shuffled. `keep` must not name
     `ids` or `decoded`.
     """
@@ -302,4 +307,4 @@ def encode_texts(
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     schema = f"{fields}{', ' if fields else ''}ids {'binary' if packed else 'array<int>'}, decoded string"
-    return rows.mapInArrow(lambda batches: _encoded(batches, model_file, packed, check), schema)
+    return rows.mapInArrow(lambda batches: _encoded(batches, model_file, packed, check, kept_units), schema)
