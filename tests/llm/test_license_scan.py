@@ -57,3 +57,40 @@ def test_a_repeated_word_phrase_is_found_at_every_place(documents):
     scan = Scan(phrases={"a b a": "x"}, templates={"t": ["zz yy"]})
     row = scan_licenses(documents([(1, "a b a b a")]), scan).first()
     assert (row["n_base"], row["first_word"], row["last_word"]) == (2, 0, 2)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+APACHE = """# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_wrapped_notices_are_found(documents):
+    narrow = "This work is\nlicensed under\nthe GNU\r\nGeneral Public\nLicense,\nversion 3."
+    texts = {1: MIT, 2: APACHE, 3: BSD, 4: "text\n" * 300 + MIT + "\n" + BSD, 5: narrow, 6: "a " * 5000 + APACHE}
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(documents(list(texts.items()))).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("apache-2", 1.0), 3: ("bsd", 1.0), 4: ("bsd,mit", 1.0),
+                   5: ("gpl-3", 1.0), 6: ("apache-2", 1.0)}
+
+
+def test_a_wrapped_notice_of_a_given_template_is_found(documents):
+    scan = Scan(templates={"gpl-3": [" ".join(GPL.split())]})
+    got = scan_licenses(documents([(1, GPL), (2, GPL.replace("\n", "\n// ")), (3, GPL[:150])]), scan).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {1: ("gpl-3", 1.0), 2: ("gpl-3", 1.0), 3: ("", 0.0)}
+
+
+def test_words_far_apart_on_several_lines_are_no_notice(documents):
+    apart = ("\n" + "filler " * 12 + "\n").join(words_of("licensed under CC BY-NC 4.0"))
+    assert scan_licenses(documents([(1, apart)])).first()["labels"] == ""

@@ -1,11 +1,14 @@
 """License labels of text blocks: phrases, and an exact containment join with templates.
 
-A block is a line. A template is found in a block when the share of the template's distinct
-words that the block holds reaches the threshold: an overlap of `need` words at least. Words
+A block is a line, or a run of words whatever the line breaks in it, as hard-wrapped notices need.
+A template is found in a block when the share of the template's distinct words that the block
+holds reaches the threshold: an overlap of `need` words at least. Words
 of all templates are ordered by the number of documents that hold them, rare ones first. A
 block that meets `need` must hold one of the first `size - need + 1` words of the template
 (prefix filter), hold `need` template words at all (length filter), and have enough words left
 on both sides behind the first shared one (position filter). Survivors are counted exactly.
+Runs are cut around each place of a prefix word, as far to both sides as the template is long, so
+they are counted in their row and take no join.
 
 Everything is Spark SQL functions; only the templates, which are parameters, are broadcast.
 """
@@ -75,6 +78,13 @@ class Scan:
     def template_sets(self) -> list[tuple[str, list[str]]]:
         return [(label, sorted(set(words_of(t)))) for label, texts in self.templates.items() for t in texts]
 
+    def reaches(self) -> list[int]:
+        """For each of `template_sets`, the words that a run takes to each side of one of them.
+
+        The template's length, repeated words too, and as many other words as `percent` lets differ.
+        """
+        return [-(-len(words_of(t)) * 100 // self.percent) - 1 for texts in self.templates.values() for t in texts]
+
     def vocabulary(self) -> list[str]:
         return sorted({w for _, words in self.template_sets() for w in words})
 
@@ -118,6 +128,29 @@ def _prefix_table(scan: Scan, order: list[str]) -> list[tuple]:
     return rows
 
 
+def _runs(scan: Scan, prefixes: list[tuple]) -> Column:
+    """(label, share) of every template found in a run of `words` around one of the `marks`."""
+    def held(words: list[str], reach: int):
+        def overlap(mark: Column) -> Column:
+            first = F.greatest(mark["at"] - reach, F.lit(0))
+            return F.size(F.array_intersect(_texts(words), F.slice("words", first + 1, mark["at"] + reach + 1 - first)))
+
+        return overlap
+
+    def starts(firsts: list[str]):
+        return lambda mark: mark["word"].isin(firsts)
+
+    found = []
+    for number, ((label, words), reach) in enumerate(zip(scan.template_sets(), scan.reaches())):
+        own = [r for r in prefixes if r[1] == number]
+        if own:
+            best = F.array_max(F.transform(F.filter("marks", starts([r[0] for r in own])), held(words, reach)))
+            found.append(F.when(
+                best >= own[0][5], F.struct(F.lit(label).alias("label"), (best / len(words)).alias("share"))
+            ))
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<label:string,share:double>>")
+
+
 def _lowered(docs: DataFrame, id: str, text: str) -> DataFrame:
     """id, the text in lower case (NULL as empty) and its words.
 
@@ -138,7 +171,7 @@ def scan_licenses(docs: DataFrame, scan: Scan = Scan(), id: str = "doc_id", text
     `n_words`; `n_base`: places where a phrase stands; `first_word` / `last_word`: smallest and
     largest start (NULL without any); `base_labels`: labels of phrases; `labels`: those and the
     labels of templates found; `score`: 1.0 where a phrase stands, else the largest share of a
-    template found in one block, 0.0 without any. Empty and NULL texts have no words. Every
+    template found in one line or run, 0.0 without any. Empty and NULL texts have no words. Every
     repeated row, also of one id, keeps a row of its own; other columns are not read.
     """
     spark = docs.sparkSession
@@ -151,13 +184,17 @@ def scan_licenses(docs: DataFrame, scan: Scan = Scan(), id: str = "doc_id", text
     sets = F.create_map(*[
         x for number, (_, words) in enumerate(scan.template_sets()) for x in (F.lit(number), _texts(words))
     ])
-    first_words = _texts(sorted({r[0] for r in prefixes}))
+    firsts = sorted({r[0] for r in prefixes})
+    first_words = _texts(firsts)
     phrases = [(words_of(p), label) for p, label in scan.phrases.items()]
     found = lowered.select(
         "id", F.size("words").cast("long").alias("n_words"),
         *[_places(words).alias(f"places{i}") for i, (words, _) in enumerate(phrases)],
         F.when(F.arrays_overlap("words", first_words), F.split("lower", "\n")).alias("lines"),
-    ).withColumn("row", F.monotonically_increasing_id())
+        F.when(F.arrays_overlap("words", first_words), F.col("words")).alias("words"),
+    ).withColumn("row", F.monotonically_increasing_id()).withColumn("marks", F.array_compact(F.transform(
+        "words", lambda w, at: F.when(w.isin(firsts), F.struct(at.alias("at"), w.alias("word")))
+    )))
     starts = F.flatten(F.array(*[F.col(f"places{i}") for i in range(len(phrases))]))
     labels = F.array(*[F.when(F.size(f"places{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)])
     blocks = F.transform("lines", lambda line: F.array_intersect(_texts(order), F.split(line, SEPARATORS)))
@@ -166,6 +203,7 @@ def scan_licenses(docs: DataFrame, scan: Scan = Scan(), id: str = "doc_id", text
         F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"),
         F.filter(blocks, lambda b: F.arrays_overlap(b, first_words)).alias("blocks"),
+        _runs(scan, prefixes).alias("runs"),
     ))
     held = rows.select("row", F.posexplode(F.array_distinct("blocks")).alias("block", "tokens"))
     shared = held.select("row", "block", "tokens", F.posexplode("tokens").alias("at", "word")).join(
@@ -183,9 +221,10 @@ def scan_licenses(docs: DataFrame, scan: Scan = Scan(), id: str = "doc_id", text
     by_row = hits.groupBy("row").agg(
         F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("size")).alias("share")
     )
-    merged = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
+    merged = F.array_union(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))), F.col("runs.label"))
+    share = F.coalesce(F.greatest("share", F.array_max(F.col("runs.share"))), F.lit(0.0))
     return rows.join(by_row, "row", "left").select(
         F.col("id").alias(id), "n_words", "n_base", "first_word", "last_word",
         F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(merged), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(share).alias("score"),
     )
