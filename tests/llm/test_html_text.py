@@ -57,3 +57,20 @@ def test_long_and_broken_pages_and_nulls(spark):
     rows = extract_main_text(df, ["page_id", "url"]).collect()
     assert [r["n_chars"] for r in rows] == [0, 1, 0, 399_999]
     assert extract_main_text(df.limit(0), ["page_id"]).collect() == []
+
+
+LONG = "A sentence of the real text that goes on for a while. " * 4
+ITEMS = "".join(f"<div class='menu'>item {i}</div>" for i in range(4))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<h1>Title</h1>{ITEMS}<p>{LONG}</p>{ITEMS.replace('menu', 'ad')}<p>The end.</p>", f"Title\n{LONG.strip()}\nThe end."),
+    (f"<div>Title</div>{ITEMS}<div>{LONG}</div>{ITEMS}<div>The <a href=x>end</a>.</div>", f"Title\n{LONG.strip()}\nThe end."),
+    (f"<div>{LONG}</div>{ITEMS}<ul><li>a</li><li>b</li></ul>{ITEMS}<div><a href=x>Next</a></div>", LONG.strip()),
+    (f"<div><article><p>A teaser</p></article></div><div>{LONG}</div>", f"A teaser\n{LONG.strip()}"),
+    (f"<article></article><div>{LONG}</div>", LONG.strip()), ("<article></article><div>few words</div>", "few words"),
+    (f"<article><p>{LONG}</p></article><div>outside of it</div>", LONG.strip()),
+    ("<article><p>Short.</p></article><div>outside of it</div>", "Short."),
+])
+def test_text_outside_of_articles_and_far_from_the_surge(page, text):
+    assert main_text(page) == text

@@ -2,13 +2,14 @@
 
 1. Markup is stripped to lines, one per block element, in page order. Menus, headers, footers,
    sidebars, notices, adverts, forms and reader comments count as lines without text, and so
-   does all that lies outside a page's <article> or <main>, if it has one; inside it they leave
-   no line at all. Scripts and styles never do.
+   does all that lies outside a page's <article> or <main>, if that holds the page's text; inside
+   it they leave no line at all. Scripts and styles never do.
 2. The text lengths are summed over a sliding window of lines. Text surges where the sums rise
    from zero and dives where they fall back to zero.
 3. The lines between a surge and its dive are kept if some window in between reaches the
    threshold, or the page's highest sum where that is smaller: a short article is still the
-   page's main text. Nothing between the two points is dropped.
+   page's main text. Nothing between the two points is dropped. Headings and paragraphs are kept
+   whatever their length; so only short runs of list items, table cells and links are left out.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _REPEATED = frozenset("li dd dt tr td th option".split())
 _MAIN = frozenset(["article", "main"])
+#: Blocks whose own text is a heading or a paragraph; in containers only what is not all links.
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote".split())
+_CONTAINERS = frozenset(["", "div", "section", "article", "main", "body", "html", "center", "details", "header"])
 _DROPPED = frozenset("nav aside form button fieldset dialog menu head audio video canvas footer header search".split())
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar "
@@ -89,30 +93,44 @@ class _Open(NamedTuple):
     dropped: bool
     in_main: bool
     muted: bool
+    block: str
 
 
-def strip_markup(page: str) -> tuple[list[str], list[bool]]:
-    """Lines of a page, one per block, and for each whether it may be main text.
+def _holds_the_text(texts: list[str], lines: list[_Open]) -> bool:
+    """Whether <article> and <main> hold the page's text: no more of it, or no surge, lies outside them."""
+    inside = sum(len(t) for t, line in zip(texts, lines) if line.in_main and not line.dropped)
+    outside = np.array([0 if line.in_main or line.dropped else len(t) for t, line in zip(texts, lines)], np.int64)
+    return inside > 0 and (inside >= outside.sum() or _sums(outside).max() < THRESHOLD)
+
+
+def strip_markup(page: str) -> tuple[list[str], list[bool], list[bool]]:
+    """Lines of a page, one per block, and for each whether it may be main text, and is a heading or paragraph.
 
     Boilerplate inside an article leaves no line. Inline boilerplate never does.
     """
     lines: list[_Open] = []
     texts: list[str] = []
+    prose: list[bool] = []
     parts: list[str] = []
-    outside = _Open("", False, False, False)
+    outside = _Open("", False, False, False, "")
     stack = [outside]
-    any_main = False
+    any_main = in_link = unlinked = False
 
     def flush() -> None:
+        nonlocal unlinked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
             texts.append(text)
             lines.append(stack[-1])
+            prose.append(stack[-1].block in _PROSE or unlinked and stack[-1].block in _CONTAINERS)
+        unlinked = False
 
     def text_until(end: int) -> None:
+        nonlocal unlinked
         if end > at and not stack[-1].muted:
             parts.append(html.unescape(page[at:end]))
+            unlinked |= not in_link and not parts[-1].isspace()
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -123,6 +141,8 @@ def strip_markup(page: str) -> tuple[list[str], list[bool]]:
         here = stack[-1]
         if not tag:
             continue
+        if tag == "a":
+            in_link = not (token["end"] or token["end2"])
         if token["end"] or token["end2"]:
             if tag in _BLOCKS:
                 flush()
@@ -138,7 +158,7 @@ def strip_markup(page: str) -> tuple[list[str], list[bool]]:
                 drop = here.dropped or _is_dropped(tag, attributes, here.in_main)
                 main = here.in_main or tag in _MAIN and not drop
                 any_main |= main
-                stack.append(_Open(tag, drop, main, here.muted))
+                stack.append(_Open(tag, drop, main, here.muted, tag))
         elif tag == "br":
             parts.append(" ")
         elif tag not in _VOID and not attributes.endswith("/"):
@@ -146,19 +166,24 @@ def strip_markup(page: str) -> tuple[list[str], list[bool]]:
                 stack.append(here._replace(tag=tag, muted=True))
     text_until(len(page))
     flush()
-    if not any_main:
-        return texts, [not line.dropped for line in lines]
+    if not any_main or not _holds_the_text(texts, lines):
+        return texts, [not line.dropped for line in lines], prose
     shown = [i for i, line in enumerate(lines) if not (line.in_main and line.dropped)]
-    return [texts[i] for i in shown], [lines[i].in_main for i in shown]
+    return [texts[i] for i in shown], [lines[i].in_main for i in shown], [prose[i] for i in shown]
+
+
+def _sums(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The lengths summed over windows; place i covers lines i - window + 1 .. i."""
+    padded = np.concatenate([np.zeros(window - 1, np.int64), lengths, np.zeros(window - 1, np.int64)])
+    running = np.concatenate([[0], np.cumsum(padded)])
+    return running[window:] - running[:-window]
 
 
 def surges(lengths: np.ndarray, window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """(first, end) lines between each surge of the windowed sums and the dive after it."""
     if not lengths.any():
         return []
-    padded = np.concatenate([np.zeros(window - 1, np.int64), lengths, np.zeros(window - 1, np.int64)])
-    running = np.concatenate([[0], np.cumsum(padded)])
-    sums = running[window:] - running[:-window]  # sums[i] covers lines i - window + 1 .. i
+    sums = _sums(lengths, window)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]])))
     least = min(threshold, int(sums.max()))
     return [
@@ -169,11 +194,12 @@ def surges(lengths: np.ndarray, window: int = WINDOW, threshold: int = THRESHOLD
 
 def main_text(page: str | None) -> str:
     """The article's blocks, one per line; empty for an empty page or one without main text."""
-    texts, inside = strip_markup(page or "")
+    texts, inside, prose = strip_markup(page or "")
     lengths = np.array([len(t) if kept else 0 for t, kept in zip(texts, inside)], np.int64)
-    return "\n".join(
-        texts[i] for first, end in surges(lengths) for i in range(first, end) if lengths[i]
-    )
+    shown = np.array(prose, bool)
+    for first, end in surges(lengths):
+        shown[first:end] = True
+    return "\n".join(texts[i] for i in np.flatnonzero(shown & (lengths > 0)))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
