@@ -74,3 +74,22 @@ ITEMS = "".join(f"<div class='menu'>item {i}</div>" for i in range(4))
 ])
 def test_text_outside_of_articles_and_far_from_the_surge(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='page-with-sidebar'><article><h1>T</h1><p>x</p></article><div class=sidebar>s</div></div>", "T\nx"),
+    ("<div class='page-with-sidebar'><main><p>x</p></main></div>", "x"),
+    ("<article class='post tag-cookies'><p>x</p></article>", "x"), ("<article class='comments-open'><p>x</p></article>", "x"),
+    (f"<article><p>{LONG}</p></article><article class='post category-social'><p>x</p></article>", f"{LONG.strip()}\nx"),
+    (f"<div id='menu-open'><p>{LONG}</p><div class='ad'>BUY</div></div><p>y</p>", f"{LONG.strip()}\ny"),
+    ("<p>x <span class=ad>A <span>B</span> C</span>y</p>", "x y"),
+    ("<app-root class='menu-open'><div><article><p>x</p></article></div></app-root>", "x"),
+    (f"<div class='page-with-sidebar'><p>{LONG}</p></div><div class='comments'><p>{LONG * 2}</p></div>", LONG.strip()),
+    (f"<p>{LONG}</p><div class='comments'><article class='comment'><p>{LONG * 3}</p></article></div>"
+     "<article><p>x</p></article>", f"{LONG.strip()}\nx"),
+    (f"<article><p>Short.</p></article><div class='post-menu'>{LONG}</div>", f"Short.\n{LONG.strip()}"),
+    (f"<article><p>{LONG[:100]}</p></article><div class='ad'>{LONG}</div>", LONG[:100].strip()),
+    (f"<p>{LONG}</p><div class='cookie-notice'>We use cookies</div>", LONG.strip()),
+])
+def test_names_of_wrappers_and_articles(page, text):
+    assert main_text(page) == text

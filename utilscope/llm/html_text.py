@@ -3,7 +3,8 @@
 1. Markup is stripped to lines, one per block element, in page order. Menus, headers, footers,
    sidebars, notices, adverts, forms and reader comments count as lines without text, and so
    does all that lies outside a page's <article> or <main>, if that holds the page's text; inside
-   it they leave no line at all. Scripts and styles never do.
+   it they leave no line at all. Scripts and styles never do. A class or id name alone drops
+   neither an <article>, nor what contains one or a <main>, nor what holds most of the text.
 2. The text lengths are summed over a sliding window of lines. Text surges where the sums rise
    from zero and dives where they fall back to zero.
 3. The lines between a surge and its dive are kept if some window in between reaches the
@@ -62,6 +63,7 @@ _NAMES = (
 )
 _NAMED = re.compile(rf"(?:(?!has-|with-|no-|without-|is-)(?:.+[-_])?(?:{_NAMES})|(?:{_NAMES})[-_].+)\Z", re.I)
 _HEADER_NAMED = re.compile(r"(?:.+[-_])?(?:headers?|masthead)(?:[-_].+)?\Z", re.I)
+_COMMENT_NAMED = re.compile(r"(?:comments?|commentlist|repl(?:y|ies)|respond|disqus|discussion)(?:[-_].+)?\Z", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -69,31 +71,76 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _is_dropped(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether the element is boilerplate, by its tag or by its role, id and class names."""
+def _is_dropped(tag: str, given: dict[str, str], in_main: bool) -> bool:
+    """Whether the element is boilerplate by its tag, its role, or for being hidden."""
     if tag in _DROPPED and not (tag == "header" and in_main):
         return True
-    if not attributes.strip() or tag in ("html", "body", "main"):
+    if not given or tag in ("html", "body", "main"):
         return False
-    given = _attributes(attributes)
     if given.get("role", "").lower() in _ROLES or "hidden" in given or given.get("aria-hidden") == "true":
         return True
-    if _HIDDEN.search(given.get("style", "")):
-        return True
-    if tag == "header":
-        return False
+    return bool(_HIDDEN.search(given.get("style", "")))
+
+
+def _boilerplate_names(tag: str, given: dict[str, str], in_main: bool) -> list[str]:
+    """The id and class names that speak for boilerplate."""
+    if not given or tag in ("html", "body", "main", "header"):
+        return []
     names = f"{given.get('class', '')} {given.get('id', '')}".split()
-    return any(_NAMED.match(name) and not (in_main and _HEADER_NAMED.match(name)) for name in names)
+    return [name for name in names if _NAMED.match(name) and not (in_main and _HEADER_NAMED.match(name))]
+
+
+class _Named:
+    """An element whose names speak for boilerplate; place 0 of a page's list stands for all others."""
+
+    def __init__(self, above: int, inline: bool, article: bool, comment: bool, in_comment: bool):
+        self.above, self.inline, self.comment, self.in_comment = above, inline, comment, in_comment or comment
+        self.chars, self.comments = 0, 0
+        self.article, self.inner_article, self.free_article = article, False, False
+        self.dropped = self.hidden = False
+
+
+def _judge(named: list[_Named]) -> None:
+    """Set which of the named elements are boilerplate, and which of those leave no line.
+
+    A name does not count for an <article>, an element that contains <article> or <main>, or one
+    with most of the page's text besides reader comments (four fifths, where an article stands
+    against it). Comments are articles too: what is named so is dropped, but on a page without
+    another article, or without other text to speak of.
+    """
+    for element in reversed(named[1:]):
+        above = named[element.above]
+        above.chars += element.chars
+        above.comments += element.chars if element.comment else element.comments
+        above.inner_article |= element.article or element.inner_article
+        above.free_article |= element.free_article or element.article and not element.in_comment
+    total, free = named[0].chars, named[0].free_article
+    other = total - named[0].comments
+    for element in named[1:]:
+        above = named[element.above]
+        if element.comment:
+            spared = (element.article or element.inner_article) and not free
+            spared |= element.chars >= THRESHOLD and 2 * element.chars > total and other < THRESHOLD
+        else:
+            spared = element.article or element.free_article or element.inner_article and not free
+            text = element.chars - element.comments
+            spared |= text >= THRESHOLD and text > (4 if free else 1) * (other - text)
+        element.dropped = above.dropped or not spared
+        element.hidden = above.hidden or element.inline and not spared
 
 
 class _Open(NamedTuple):
-    """An open element: dropped or in an article by itself or from above; muted: its text is ignored."""
+    """An open element: dropped or in an article by itself or from above; muted: its text is ignored.
+
+    `named` is the place of the innermost element whose names speak for boilerplate.
+    """
 
     tag: str
     dropped: bool
     in_main: bool
     muted: bool
     block: str
+    named: int
 
 
 def _holds_the_text(texts: list[str], lines: list[_Open]) -> bool:
@@ -108,29 +155,33 @@ def strip_markup(page: str) -> tuple[list[str], list[bool], list[bool]]:
 
     Boilerplate inside an article leaves no line. Inline boilerplate never does.
     """
-    lines: list[_Open] = []
-    texts: list[str] = []
-    prose: list[bool] = []
-    parts: list[str] = []
-    outside = _Open("", False, False, False, "")
-    stack = [outside]
-    any_main = in_link = unlinked = False
+    blocks: list[tuple[_Open, list[tuple[str, int, bool]]]] = []
+    parts: list[tuple[str, int, bool]] = []
+    named = [_Named(0, False, False, False, False)]
+    mains: list[int] = []
+    stack = [_Open("", False, False, False, "", 0)]
+    in_link = False
 
     def flush() -> None:
-        nonlocal unlinked
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        if text:
-            texts.append(text)
-            lines.append(stack[-1])
-            prose.append(stack[-1].block in _PROSE or unlinked and stack[-1].block in _CONTAINERS)
-        unlinked = False
+        if parts:
+            blocks.append((stack[-1], parts.copy()))
+            parts.clear()
 
     def text_until(end: int) -> None:
-        nonlocal unlinked
-        if end > at and not stack[-1].muted:
-            parts.append(html.unescape(page[at:end]))
-            unlinked |= not in_link and not parts[-1].isspace()
+        here = stack[-1]
+        if end > at and not here.muted:
+            text = html.unescape(page[at:end])
+            parts.append((text, here.named, not in_link and not text.isspace()))
+            if not here.dropped:
+                named[here.named].chars += len(text.strip())
+
+    def place_of(names: list[str], above: int, tag: str) -> int:
+        """The place of an opened element among the named ones; of the one around it without names."""
+        if not names:
+            return above
+        comment = any(_COMMENT_NAMED.match(name) for name in names)
+        named.append(_Named(above, tag not in _BLOCKS, tag in _MAIN, comment, named[above].in_comment))
+        return len(named) - 1
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -147,7 +198,7 @@ def strip_markup(page: str) -> tuple[list[str], list[bool], list[bool]]:
             if tag in _BLOCKS:
                 flush()
             place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if place and (tag in _BLOCKS or here.muted):
+            if place and (tag in _BLOCKS or here.muted or here.tag not in _BLOCKS):
                 del stack[place:]
         elif tag in _BLOCKS:
             flush()
@@ -155,18 +206,35 @@ def strip_markup(page: str) -> tuple[list[str], list[bool], list[bool]]:
                 stack.pop()  # ended by this one
             here = stack[-1]
             if tag not in _VOID:
-                drop = here.dropped or _is_dropped(tag, attributes, here.in_main)
-                main = here.in_main or tag in _MAIN and not drop
-                any_main |= main
-                stack.append(_Open(tag, drop, main, here.muted, tag))
+                given = _attributes(attributes) if attributes.strip() else {}
+                drop = here.dropped or _is_dropped(tag, given, here.in_main)
+                place = place_of(_boilerplate_names(tag, given, here.in_main), here.named, tag)
+                if tag in _MAIN and not drop:
+                    mains.append(place)
+                    if place == here.named:
+                        named[place].inner_article = True
+                        named[place].free_article |= not named[place].in_comment
+                stack.append(_Open(tag, drop, here.in_main or tag in _MAIN and not drop, here.muted, tag, place))
         elif tag == "br":
-            parts.append(" ")
+            parts.append((" ", here.named, False))
         elif tag not in _VOID and not attributes.endswith("/"):
-            if here.muted or _is_dropped(tag, attributes, here.in_main):
-                stack.append(here._replace(tag=tag, muted=True))
+            given = _attributes(attributes) if attributes.strip() else {}
+            place = place_of(_boilerplate_names(tag, given, here.in_main), here.named, tag)
+            muted = here.muted or _is_dropped(tag, given, here.in_main)
+            if muted or place != here.named or here.tag and here.tag not in _BLOCKS:
+                stack.append(here._replace(tag=tag, muted=muted, named=place))
     text_until(len(page))
     flush()
-    if not any_main or not _holds_the_text(texts, lines):
+    _judge(named)
+    lines, texts, prose = [], [], []
+    for block, found in blocks:
+        found = [part for part in found if not named[part[1]].hidden]
+        text = " ".join("".join(part[0] for part in found).split())
+        if text:
+            texts.append(text)
+            lines.append(block._replace(dropped=block.dropped or any(named[part[1]].dropped for part in found)))
+            prose.append(block.block in _PROSE or block.block in _CONTAINERS and any(part[2] for part in found))
+    if all(named[place].dropped for place in mains) or not _holds_the_text(texts, lines):
         return texts, [not line.dropped for line in lines], prose
     shown = [i for i, line in enumerate(lines) if not (line.in_main and line.dropped)]
     return [texts[i] for i in shown], [lines[i].in_main for i in shown], [prose[i] for i in shown]
