@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from utilscope.llm.warc import audit, leaves, read_archive, records, tree, write_archive
+from utilscope.llm.warc import END, audit, audit_archive, leaves, read_archive, records, tree, write_archive
 
 SCHEMA = "page_id long, url string, html string, node long, digest string, file int"
 
@@ -55,3 +55,45 @@ def test_replicas_of_other_height_and_empty_ones(spark):
     assert {r["kind"] for r in audit(few, nothing).collect()} == {"missing"}
     assert audit(nothing, many).where("kind = 'extra'").count() == 303
     assert str(uuid.UUID(records(pages(spark, 1)).first()["record"].split("urn:uuid:")[1][:36]))
+
+
+def test_damaged_files_are_audited_record_by_record(spark, tmp_path):
+    rows = records(pages(spark))
+    expected = leaves(rows).cache()
+    write_archive(rows, str(tmp_path / "archive"))
+    told = {(r["file"], r["place"]): (r["start"], r["start"] + r["length"]) for r in expected.collect()}
+
+    def damaged(name, *changes):
+        """The audit of the archive with bytes of records changed, the last ones of a file first."""
+        for number in range(3):
+            content = next((tmp_path / "archive" / f"file={number}").glob("*.txt")).read_bytes()
+            for file, place, change in changes:
+                if file == number:
+                    start, end = told[file, place]
+                    content = content[:start] + change(content[start:end]) + content[end:]
+            folder = tmp_path / name / f"file={number}"
+            folder.mkdir(parents=True)
+            (folder / "part.txt").write_bytes(content)
+        return sorted((r["node"], r["kind"]) for r in audit_archive(spark, str(tmp_path / name), expected).collect())
+
+    cut_out = lambda record: b""
+    longer = lambda record: record.replace(b"Content-Length: ", b"Content-Length: 9")
+    no_length = lambda record: record.replace(b"Content-Length: ", b"Content-Length: x")
+    no_magic = lambda record: b"w" + record[1:]
+    half = lambda record: record[:len(record) // 2] + END.encode()
+    assert damaged("whole") == []
+    assert damaged("cut", (0, 10, cut_out)) == [(10, "missing")]
+    assert damaged("length", (1, 100, longer)) == [(256 + 100, "changed")]
+    assert damaged("many", (0, 254, half), (0, 200, no_magic), (0, 101, longer), (0, 100, cut_out), (0, 0, no_length),
+                   (1, 255, half), (1, 0, cut_out)) == [
+        (0, "changed"), (100, "missing"), (101, "changed"), (200, "changed"), (254, "changed"), (256, "missing"), (511, "changed")]
+
+
+def test_a_record_too_many_has_no_place(spark, tmp_path):
+    rows = records(pages(spark, 5))
+    write_archive(rows, str(tmp_path / "archive"))
+    content = next((tmp_path / "archive" / "file=0").glob("*.txt")).read_bytes()
+    (tmp_path / "more" / "file=0").mkdir(parents=True)
+    (tmp_path / "more" / "file=0" / "part.txt").write_bytes(content + b"WARC/1.1\r\nContent-Length: 1" + END.encode() + b"x" + END.encode())
+    got = audit_archive(spark, str(tmp_path / "more"), leaves(rows)).collect()
+    assert [(r["node"], r["kind"], r["expected"]) for r in got] == [(None, "extra", None)]

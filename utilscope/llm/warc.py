@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,7 @@ FILE_RECORDS = 256
 FANOUT = 16
 # Fixed values of the format.
 END = "\r\n\r\n"
+MAGIC = b"WARC/1.1\r\n"
 #: Records carry this date, so that equal pages give equal bytes.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -137,34 +139,123 @@ def write_archive(rows: DataFrame, path: str) -> None:
     lines.select("file", "record").write.partitionBy("file").option("lineSep", END).text(path)
 
 
-def _parsed(content: bytes) -> Iterator[tuple[int, int, str]]:
-    """(start, length, digest) of the records of a file, as far as they can be read."""
-    at = 0
+def _parsed(content: bytes) -> Iterator[tuple[int, int, str, str | None]]:
+    """(start, length, digest, address) of the records of a file.
+
+    A record whose header is damaged, or whose length does not lead to an END, reaches to the next
+    header behind an END.
+    """
+    mark, at = END.encode(), 0
     while at < len(content):
-        head = content.find(END.encode(), at)
+        head = content.find(mark, at) if content.startswith(MAGIC, at) else -1
         fields = dict(
             line.split(": ", 1) for line in content[at:head].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line
         ) if head >= 0 else {}
         size = fields.get("Content-Length", "")
-        end = head + len(END) + int(size) if size.isdigit() else len(content)
-        yield at, end + len(END) - at, hashlib.sha256(content[at:end]).hexdigest()
+        end = head + len(END) + int(size) if size.isascii() and size.isdigit() and len(size) < 19 else len(content)
+        if not content.startswith(mark, end):
+            end = content.find(mark + MAGIC, at)
+            if end < 0:
+                end = len(content) - (len(END) if content.endswith(mark) and len(content) - at >= len(END) else 0)
+        yield at, end + len(END) - at, hashlib.sha256(content[at:end]).hexdigest(), fields.get("WARC-Target-URI")
         at = end + len(END)
 
 
-def read_archive(spark, path: str) -> DataFrame:
-    """`file`, `place`, `start`, `length`, `digest` of every record of the files that `write_archive` wrote."""
-    schema = "file long, place int, start long, length long, digest string"
+_READ = "file long, place int, start long, length long, digest string, url string"
+_READ_ARROW = pa.schema([("file", pa.int64()), ("place", pa.int32()), ("start", pa.int64()),
+                         ("length", pa.int64()), ("digest", pa.string()), ("url", pa.string())])
+
 
+def _read(spark, path: str) -> DataFrame:
+    """The records of the files in their order, `place` counting those that are there, and their `url`."""
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = [(file, place, *found) for place, found in enumerate(_parsed(content))]
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(("file", "place", "start", "length", "digest"), r)) for r in rows],
-                    pa.schema([("file", pa.int64()), ("place", pa.int32()), ("start", pa.int64()),
-                               ("length", pa.int64()), ("digest", pa.string())]),
-                )
+                yield pa.RecordBatch.from_pylist([dict(zip(_READ_ARROW.names, r)) for r in rows], _READ_ARROW)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
     number = F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long")
-    return files.select(number.alias("file"), "content").mapInArrow(parsed, schema)
+    return files.select(number.alias("file"), "content").mapInArrow(parsed, _READ)
+
+
+def read_archive(spark, path: str) -> DataFrame:
+    """`file`, `place`, `start`, `length`, `digest` of every record of the files that `write_archive` wrote.
+
+    `place` counts the records that are there; `read_replica` tells the places that they had.
+    """
+    return _read(spark, path).drop("url")
+
+
+def _gap(found: list[dict], expected: list[dict]) -> list[int | None]:
+    """For each of the found records between two intact ones the place among the expected ones there, in order.
+
+    By address, else by the distance from the intact record before or behind and the length,
+    else the first place left; None for a record too many.
+    """
+    taken: dict[int, int] = {}
+
+    def room(j: int) -> range:
+        low = max((i for k, i in taken.items() if k < j), default=-1) + 1
+        return range(low, min((i for k, i in taken.items() if k > j), default=len(expected)))
+
+    def from_left(rows: list[dict], k: int) -> int:
+        return rows[k]["start"] - rows[0]["start"]
+
+    def from_right(rows: list[dict], k: int) -> int:
+        return rows[-1]["start"] + rows[-1]["length"] - rows[k]["start"]
+
+    same_length = lambda j, i: found[j]["length"] == expected[i]["length"]
+    for same in (
+        lambda j, i: found[j]["url"] is not None and found[j]["url"] == expected[i]["url"],
+        lambda j, i: same_length(j, i) and from_left(found, j) == from_left(expected, i),
+        lambda j, i: same_length(j, i) and from_right(found, j) == from_right(expected, i),
+        lambda j, i: len(found) >= len(expected) and from_left(found, j) == from_left(expected, i),
+        lambda j, i: True,
+    ):
+        for j in range(len(found)):
+            if j not in taken:
+                place = next((i for i in room(j) if same(j, i)), None)
+                if place is not None:
+                    taken[j] = place
+    return [taken.get(j) for j in range(len(found))]
+
+
+def _places(found: list[dict], expected: list[dict]) -> list[int | None]:
+    """The places of a file's found records: intact ones by their digests in order, others between them."""
+    if not expected:
+        return [j if j < FILE_RECORDS else None for j in range(len(found))]
+    places: list[int | None] = [None] * len(found)
+    matcher = SequenceMatcher(None, [e["digest"] for e in expected], [f["digest"] for f in found], autojunk=False)
+    for kind, i, i_end, j, j_end in matcher.get_opcodes():
+        if kind in ("equal", "replace"):
+            inner = range(i_end - i) if kind == "equal" else _gap(found[j:j_end], expected[i:i_end])
+            places[j:j_end] = [None if k is None else expected[i + k]["place"] for k in inner]
+    return places
+
+
+def read_replica(spark, path: str, expected: DataFrame) -> DataFrame:
+    """What `read_archive` tells, with the places that the records have in `expected` (by `leaves`).
+
+    A lost record moves no other, and a damaged one takes its own place. `place` is NULL for
+    records that have none. The records of a file are compared in one task.
+    """
+    def placed(_, found: pa.Table, told: pa.Table) -> pa.Table:
+        rows = sorted(found.to_pylist(), key=lambda r: r["start"])
+        places = _places(rows, sorted(told.to_pylist(), key=lambda r: r["place"]))
+        return pa.Table.from_pylist([r | {"place": p} for r, p in zip(rows, places)], _READ_ARROW)
+
+    told = expected.select("file", "place", "start", "length", "digest", "url")
+    both = _read(spark, path).groupBy("file").cogroup(told.groupBy("file"))
+    return both.applyInArrow(placed, _READ).drop("url")
+
+
+def audit_archive(spark, path: str, expected: DataFrame) -> DataFrame:
+    """`audit` of the files below `path` against `expected` (by `leaves`); `node` is NULL for records without a place."""
+    found = materialize(read_replica(spark, path, expected))
+    wrong = audit(tree(expected), tree(found.where("place is not null")))
+    strays = found.where("place is null").select(
+        F.lit(None).cast("long").alias("node"), F.lit("extra").alias("kind"),
+        F.lit(None).cast("string").alias("expected"), F.col("digest").alias("found"),
+    )
+    return wrong.unionByName(strays)
