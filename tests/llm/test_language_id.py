@@ -63,3 +63,21 @@ def test_kept_documents_are_whole_rows(documents):
 
 def test_documents_stand_for_pages(documents):
     assert document_evidence(documents([(1, "x")])).first()["host"] == "src"
+
+
+def test_a_rare_language_is_known_at_any_size(spark):
+    """5 of 2,045 rows declare it, and a sample of a hundred rows would hardly hold one of them."""
+    many = [(10_000 + i, f"{EN} {i}", "en", None, None, None) for i in range(2000)]
+    hu = "ez egy gyors barna róka és egy lusta kutya volt ott azzal a dologgal"
+    rare = [(1000 + i, f"{hu} {i}", "hu", None, None, None) for i in range(5)]
+    got = {r["key"]: r for r in identify_languages(rows(spark, many + rare), Settings(sample_rows=100)).collect()}
+    assert {(got[1000 + i]["language"], got[1000 + i]["rejected"]) for i in range(5)} == {("hu", False)}
+    assert (got[0]["language"], got[100]["language"], got[10_000]["language"]) == ("en", "de", "en")
+
+
+def test_a_text_unlike_all_languages_is_rejected(spark):
+    strange = {1000: "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί", 1001: "быстрая коричневая лиса прыгает через ленивую собаку"}
+    more = [(2000 + i, f"{EN} {DE if i % 2 else EN} {i}", "de" if i % 2 else "en", None, None, None) for i in range(400)]
+    extra = [(k, v, "en", "com", "a.x.com", "x.com") for k, v in strange.items()]
+    got = identify_languages(rows(spark, more + extra)).collect()
+    assert {r["key"] for r in got if r["rejected"]} == set(strange)

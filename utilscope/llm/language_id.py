@@ -2,8 +2,10 @@
 
     log P(language | all) = text + declared language + address suffix + host, up to a constant
 
-* text: byte trigrams under a model per language, fitted on a bounded sample of declared rows;
-  the mean log-likelihood counts as EVIDENCE_GRAMS grams at most, since grams are not independent.
+* text: byte trigrams under a model per language, fitted on a bounded sample of the rows that
+  declare it; languages are those that enough of all rows declare. The mean log-likelihood counts
+  as EVIDENCE_GRAMS grams at most, since grams are not independent. A background, under which all
+  trigrams are alike, stands for languages that are not known.
 * declared language and address suffix: P(declared | language) and P(suffix | language), from
   grouped sums of the text's own posteriors over all rows, with a pseudo-count.
 * host: a prior per host, smoothed towards its domain, which is smoothed towards all rows. The
@@ -12,6 +14,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +27,16 @@ from utilscope.llm.shingles import CHUNK_BYTES, utf8
 from utilscope.llm.storage import maybe_in, materialize, splittable, stored
 
 BUCKETS = 1 << 14
+#: Rows that a language takes into the sample at least, if it has them.
+LEAST_SAMPLE = 50
 
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample_rows` bounds the rows that fit the text model (about); languages need `least_rows` of them."""
+    """`sample_rows` bounds the rows that fit the text model (about), shared evenly among the languages.
+
+    A language needs `least_rows` declared rows of the table, and takes as many into the sample at least.
+    """
 
     sample_rows: int = 4000
     least_rows: int = 5
@@ -39,6 +47,8 @@ class Settings:
     pseudo: float = 0.5
     #: A row is rejected when no language reaches this, or when its text has no letter.
     least_probability: float = 0.5
+    #: Prior probability of a text unlike all languages.
+    background: float = 0.001
 
 
 def _letters() -> np.ndarray:
@@ -98,12 +108,27 @@ class TextModel:
 
 
 def fit_text_model(rows: DataFrame, settings: Settings) -> TextModel:
-    """The text model, on rows with a declared language whose key hash falls below the sample's share."""
+    """The text model, on rows with a declared language whose hash falls below its language's share.
+
+    One row per language that `least_rows` rows declare reaches the driver; without any, one of
+    the sample's.
+    """
     labelled = rows.where(F.col("declared").isNotNull() & (F.length("text") > 0))
-    total = labelled.count()
-    share = min(1.0, settings.sample_rows / max(total, 1))
+    counts = materialize(labelled.groupBy("declared").count())
+    frequent = {r["declared"]: r["count"] for r in counts.where(F.col("count") >= settings.least_rows).collect()}
     million = 1_000_000
-    sample = labelled.where(F.pmod(F.xxhash64("key", F.lit(17)), F.lit(million)) < round(share * million))
+    below = F.pmod(F.xxhash64("key", "text", F.lit(17)), F.lit(million))
+    if frequent:
+        each = max(settings.sample_rows // len(frequent), settings.least_rows)
+        # The sample of a language holds fewer rows than `each` by chance, but hardly none.
+        each = max(each, LEAST_SAMPLE)
+        shares = counts.where(F.col("count") >= settings.least_rows).select(
+            F.col("declared").alias("_of"), F.ceil(F.least(F.lit(1.0), each / F.col("count")) * million).alias("_below")
+        )
+        sample = labelled.join(F.broadcast(shares), F.col("declared") == F.col("_of")).where(below < F.col("_below"))
+    else:
+        total = counts.agg(F.sum("count")).first()[0] or 0
+        sample = labelled.where(below < round(min(1.0, settings.sample_rows / max(total, 1)) * million))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,13 +145,12 @@ def fit_text_model(rows: DataFrame, settings: Settings) -> TextModel:
                         ["declared", "bucket", "grams"],
                     )
 
-    counts = (
+    found = (
         sample.select("declared", "text").mapInArrow(counted, "declared string, bucket long, grams long")
         .groupBy("declared", "bucket").agg(F.sum("grams").alias("grams")).toArrow()
     )
-    names, buckets, grams = (counts[c].to_numpy(zero_copy_only=False) for c in ("declared", "bucket", "grams"))
-    known = sorted(n for n, b, g in zip(names, buckets, grams) if b == -1 and g >= settings.least_rows)
-    known = known or sorted(set(names)) or ["und"]
+    names, buckets, grams = (found[c].to_numpy(zero_copy_only=False) for c in ("declared", "bucket", "grams"))
+    known = sorted(frequent) or sorted(set(names)) or ["und"]
     table = np.zeros((len(known), BUCKETS))
     for i, name in enumerate(known):
         own = (names == name) & (buckets >= 0)
@@ -171,7 +195,8 @@ def identify_languages(rows: DataFrame, settings: Settings = Settings()) -> Data
     `rows` has `key` (a LONG), `text`, `declared`, `suffix`, `host` and `domain`; any of them may be NULL, then it
     is no evidence. Texts without a letter (empty and NULL ones too) are rejected, whatever
     else speaks for a language. Ties fall to the first language by name. Repeated rows each
-    count and each keep a row. Languages are those declared by enough rows of the sample.
+    count and each keep a row. Languages are those declared by enough rows of the table; a text
+    unlike all of them has a low probability, and is rejected too.
     """
     spark = rows.sparkSession
     fitted = fit_text_model(rows, settings)
@@ -225,9 +250,13 @@ def identify_languages(rows: DataFrame, settings: Settings = Settings()) -> Data
     scored = joined.select("key", "text_hash", "grams", "logs", scores.alias("scores"))
     best = F.array_max("scores")
     spread = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(F.col("scores"))))
+    # The background is as likely as the best language but for the text.
+    grams = F.least("grams", F.lit(settings.evidence_grams))
+    text_of_best = F.get("logs", (F.array_position("scores", best) - 1).cast("int"))
+    unlike = F.exp(F.least(F.log(F.lit(settings.background)) - grams * math.log(BUCKETS) - text_of_best, F.lit(500.0)))
     named = scored.select(
         "key", "text_hash", "grams", names[(F.array_position("scores", best) - 1).cast("int")].alias("language"),
-        F.round(1.0 / spread, 6).alias("probability"),
+        F.round(1.0 / (spread + unlike), 6).alias("probability"),
         F.when(F.col("grams") > 0, names[(F.array_position("logs", F.array_max("logs")) - 1).cast("int")]).alias("text_language"),
     )
     rejected = (F.col("grams") == 0) | (F.col("probability") < settings.least_probability)
