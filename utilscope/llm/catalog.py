@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from utilscope.llm import (
     op01_ngram_join, op02_language_id, op03_decontaminate, op04_chat_format, op05_license_scan,
-    op06_warc_fixity, op07_sentencepiece, op08_sharding, op09_html_text, op10_embedding_dedup,
+    op06_warc_fixity, op07_sentencepiece, op08_sharding, op09_html_text, op10_embedding_dedup, op11_vector_codes,
 )
 from utilscope.llm.shipping import ship
 
@@ -25,6 +25,7 @@ _QUERIES = (
     op08_sharding.op8_sharding,
     op09_html_text.op9_html_text,
     op10_embedding_dedup.op10_embedding_dedup,
+    op11_vector_codes.op11_vector_codes,
 )
 _SQL = {
     "op1_ngram_join": op01_ngram_join.SQL,
@@ -32,6 +33,7 @@ _SQL = {
     "op5_license_scan": op05_license_scan.SQL,
     "op6_warc_fixity": op06_warc_fixity.SQL,
     "op10_embedding_dedup": op10_embedding_dedup.SQL,
+    "op11_vector_codes": op11_vector_codes.SQL,
 }
 
 
