@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from utilscope.llm import (
     op01_ngram_join, op02_language_id, op03_decontaminate, op04_chat_format, op05_license_scan,
-    op06_warc_fixity, op07_sentencepiece, op08_sharding, op09_html_text, op10_embedding_dedup, op11_vector_codes,
+    op06_warc_fixity, op07_sentencepiece, op08_sharding, op09_html_text, op10_embedding_dedup, op11_vector_codes, op12_whitening,
 )
 from utilscope.llm.shipping import ship
 
@@ -26,6 +26,7 @@ _QUERIES = (
     op09_html_text.op9_html_text,
     op10_embedding_dedup.op10_embedding_dedup,
     op11_vector_codes.op11_vector_codes,
+    op12_whitening.op12_whitening,
 )
 _SQL = {
     "op1_ngram_join": op01_ngram_join.SQL,
