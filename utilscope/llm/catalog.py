@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from utilscope.llm import (
     op01_ngram_join, op02_language_id, op03_decontaminate, op04_chat_format, op05_license_scan,
     op06_warc_fixity, op07_sentencepiece, op08_sharding, op09_html_text, op10_embedding_dedup, op11_vector_codes, op12_whitening,
+    op13_nearest_vectors,
 )
 from utilscope.llm.shipping import ship
 
@@ -27,6 +28,7 @@ _QUERIES = (
     op10_embedding_dedup.op10_embedding_dedup,
     op11_vector_codes.op11_vector_codes,
     op12_whitening.op12_whitening,
+    op13_nearest_vectors.op13_nearest_vectors,
 )
 _SQL = {
     "op1_ngram_join": op01_ngram_join.SQL,
@@ -35,6 +37,7 @@ _SQL = {
     "op6_warc_fixity": op06_warc_fixity.SQL,
     "op10_embedding_dedup": op10_embedding_dedup.SQL,
     "op11_vector_codes": op11_vector_codes.SQL,
+    "op13_nearest_vectors": op13_nearest_vectors.SQL,
 }
 
 
