@@ -198,7 +198,8 @@ class _Block:
         for part in range(0, len(q), 16384):
             s = slice(part, part + 16384)
             apart = vectors[q[s]] - self.vectors[r[s]]
-            distance[s] = (apart * apart).sum(1)
+            # Added component by component, in order, as a plain loop would.
+            distance[s] = np.ascontiguousarray((apart * apart).T).sum(0)
         inside = distance <= bounds[q]
         return self._first(q[inside], r[inside], distance[inside], most)
 

@@ -21,9 +21,11 @@ WITH usable AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), near AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.v, b.v) AS score,
-    row_number() OVER (PARTITION BY a.row ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank
+  SELECT a.row, a.vec_id AS query_id, b.vec_id, sqrt(list_reduce(
+    list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])), lambda s, x: s + x)) AS score
   FROM usable a JOIN usable b ON a.row <> b.row AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score, vec_id) AS rank FROM near
 )
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM near WHERE rank <= 10
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
