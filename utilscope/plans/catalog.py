@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from utilscope.functions.numbers import not_integral, to_bigint, to_double
 from utilscope.functions.text import masked_id, normalize_text, provider_id
 from utilscope.operators import aggregates, concentration, cube, headline, opportunity, profile
-from utilscope.operators import quality, ranking
+from utilscope.operators import prescribers, quality, ranking
 from utilscope.operators.classify import (
     candidate_filter, classify, included, label_hits, observed_labels, scope_audit, unmapped,
 )
@@ -25,6 +25,7 @@ from utilscope.plans.star import (
 from utilscope.schema import FACT_COLUMNS, GRAIN, RAW_COLUMNS
 from utilscope.sources import files, manifest, rule_files
 from utilscope.streaming import ingest
+from utilscope.streaming.upkeep import Upkeep
 from utilscope.workspace import Workspace, literal_rows, stamp
 
 OTHER = "Other specialties"
@@ -186,13 +187,26 @@ def ingest_counts(m: StarMarket) -> DataFrame:
     return literal_rows(m.spark, seen, INGEST_COUNTS)
 
 
-def incremental_market_year(m: StarMarket) -> DataFrame:
-    paths = _ingest_paths(m, "ingest_market")
+def _kept_up(m: StarMarket, name: str) -> Upkeep:
+    """The fact and totals after two arrivals, each taken by a run of its own."""
+    upkeep = Upkeep(m.spark, _ingest_paths(m, name), STAR_RULES)
     for run, years in enumerate(_arrivals(m)):
-        _land(m, paths, years)
-        ingest.ingest_available(m.spark, paths, STAR_RULES, ingest.typed_fact, run)
-        ingest.publish_partials(m.spark, paths, run)
-    return ingest.incremental_market_year(m.spark, paths)
+        _land(m, upkeep.paths, years)
+        upkeep.ingest_available(run)
+    return upkeep
+
+
+def incremental_market_year(m: StarMarket) -> DataFrame:
+    return _kept_up(m, "ingest_market").market_year()
+
+
+def incremental_prescribers(m: StarMarket) -> DataFrame:
+    """Prescribers of each year as kept up, and whether the estimate from the batches' sketches is in bound."""
+    upkeep = _kept_up(m, "ingest_prescribers")
+    exact = upkeep.market_year().select("year", "prescribers")
+    off = F.abs(F.col("prescribers_estimate") - F.col("prescribers"))
+    bound = F.greatest(F.lit(1.0), F.col("prescribers") * prescribers.SKETCH_BOUND)
+    return exact.join(upkeep.estimated_prescribers(), "year").select("year", "prescribers", (off <= bound).alias("within_bound"))
 
 
 # --- cleaning and classification ----------------------------------------------------
@@ -290,6 +304,19 @@ def cube_dictionary_roundtrip(m: StarMarket) -> DataFrame:
     return cube.dictionary_decode(cube.dictionary_encode(m.cube_collapsed(), codes), codes)
 
 
+def cube_prescribers_exact(m: StarMarket) -> DataFrame:
+    """Prescribers of the collapsed cube's cells, beside the over-counting sum over cells."""
+    cell = ["year", *aggregates.CELL, "volume_decile"]
+    exact = prescribers.distinct_prescribers(m.prescriber_cells(), cell)
+    return exact.join(m.cube_collapsed().select(*cell, "prescriber_cells"), cell)
+
+
+def cube_prescribers_sketch(m: StarMarket) -> DataFrame:
+    """Exact prescribers by state and specialty over all years, and whether the sketches' estimate is in bound."""
+    by = ["provider_state", "provider_specialty"]
+    return prescribers.compared_prescribers(m.prescriber_cells(), by).drop("prescribers_estimate")
+
+
 # --- checks -------------------------------------------------------------------------
 
 
@@ -337,6 +364,7 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     "incremental_ingest": incremental_ingest,
     "ingest_counts": ingest_counts,
     "incremental_market_year": incremental_market_year,
+    "incremental_prescribers": incremental_prescribers,
     # cleaning and classification
     "standardize_fact": lambda m: standardize(
         candidate_filter(m.raw(), STAR_RULES, RAW_BRAND, RAW_GENERIC), STAR_RULES
@@ -436,6 +464,9 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     "slice_products": lambda m: cube.slice_products(
         m.product_year(), replace(m.slice, drug_class="H"), 10
     ),
+    "cube_prescribers_exact": cube_prescribers_exact,
+    "cube_prescribers_sketch": cube_prescribers_sketch,
+    "slice_prescribers": lambda m: prescribers.slice_prescribers(m.prescriber_cells(), m.slice),
     "filter_options": lambda m: cube.filter_options(m.cube_collapsed()),
     "cube_dictionary_encode": cube_dictionary_encode,
     "cube_dictionary_roundtrip": cube_dictionary_roundtrip,

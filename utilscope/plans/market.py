@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilscope.operators import aggregates, concentration, cube, headline, opportunity, ranking
+from utilscope.operators import aggregates, concentration, cube, headline, opportunity, prescribers, ranking
 from utilscope.operators.ranking import GlobalOrder
 from utilscope.rules import DIABETES_RULES, OPPORTUNITY_WEIGHTS, RANKABLE_STATES, ScopeRules, ScoreWeights
 from utilscope.workspace import Workspace
@@ -84,6 +84,21 @@ class Market:
             "cube", lambda: aggregates.dashboard_cube(self.fact, self.provider_deciles())
         )
 
+    @property
+    def prescriber_cube(self) -> DataFrame:
+        """Bits and sketches of the prescribers of the cube's cells."""
+        def build() -> DataFrame:
+            deciles = self.provider_deciles()
+            return prescribers.prescriber_cube(
+                self.fact, deciles, prescribers.provider_numbers(self.workspace, deciles)
+            )
+
+        return self.workspace.table("prescriber_cube", build)
+
+    def prescriber_cells(self) -> DataFrame:
+        """Prescriber cube with the smaller specialties merged, as `collapsed`."""
+        return self._collapse(self.prescriber_cube)
+
     def market_year(self) -> DataFrame:
         return self.workspace.table("market_year", lambda: aggregates.market_year(self.fact))
 
@@ -109,8 +124,11 @@ class Market:
 
     def collapsed(self) -> DataFrame:
         """Cube with the smaller specialties merged, cells not yet regrouped."""
+        return self._collapse(self.cube)
+
+    def _collapse(self, cells: DataFrame) -> DataFrame:
         return ranking.collapse_rare(
-            self.cube, self.specialty_year(), "provider_specialty", FILLS,
+            cells, self.specialty_year(), "provider_specialty", FILLS,
             self.settings.kept_specialties, "Other specialties",
         )
 

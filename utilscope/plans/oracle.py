@@ -375,6 +375,16 @@ PLACED = f"""(SELECT filter_name, label,
   CAST(row_number() OVER (PARTITION BY filter_name ORDER BY label) AS INTEGER) AS position
   FROM (SELECT DISTINCT * FROM ({OPTIONS})))"""
 
+CELLS = "year, provider_state, provider_specialty, drug_class, marketed_name_type, volume_decile"
+SEEN = """
+seen AS (
+  SELECT f.year, f.provider_npi, coalesce(nullif(f.provider_state, ''), 'Unknown') AS provider_state,
+         CASE WHEN coalesce(nullif(f.provider_specialty, ''), 'Unknown') IN (SELECT provider_specialty FROM kept)
+              THEN coalesce(nullif(f.provider_specialty, ''), 'Unknown') ELSE 'Other specialties' END AS provider_specialty,
+         f.drug_class, f.marketed_name_type, p.volume_decile
+  FROM exact f JOIN providers p ON p.year = f.year AND p.provider_npi = f.provider_npi),
+"""
+
 HEADLINE = TOPS + """
 growth AS (
   SELECT *, total_30day_fills / nullif(lag(total_30day_fills) OVER (ORDER BY year), 0) - 1
@@ -424,6 +434,7 @@ STATEMENTS: dict[str, str] = {
     "incremental_ingest": f"""SELECT {NULLED}, year, CAST(year = @LATEST AS INTEGER) AS ingest_run
         FROM {CANDIDATE_RAW} WHERE candidate""",
     "incremental_market_year": "SELECT * FROM market",
+    "incremental_prescribers": "SELECT year, prescribers, true AS within_bound FROM market",
     "standardize_fact": "SELECT * FROM candidates",
     "provider_id_normalize": """SELECT DISTINCT Prscrbr_NPI, provider_npi,
         'NPI-******' || right(provider_npi, 4) AS provider_masked_id
@@ -553,6 +564,14 @@ STATEMENTS: dict[str, str] = {
     "slice_products": """SELECT * FROM products WHERE year = @LATEST AND drug_class = 'H'
         AND marketed_name_type = 'brand-identifiable'
         ORDER BY total_30day_fills DESC, brand_name, generic_name LIMIT 10""",
+    "cube_prescribers_exact": _with(SEEN, f"""SELECT s.*, prescriber_cells
+        FROM (SELECT {CELLS}, count(DISTINCT provider_npi) AS prescribers FROM seen GROUP BY {CELLS}) s
+        JOIN collapsed_cube USING ({CELLS})"""),
+    "cube_prescribers_sketch": _with(SEEN, """SELECT provider_state, provider_specialty,
+        count(DISTINCT provider_npi) AS prescribers, true AS within_bound FROM seen GROUP BY 1, 2"""),
+    "slice_prescribers": _with(SEEN, """SELECT year, count(DISTINCT provider_npi) AS prescribers FROM seen
+        WHERE provider_specialty = 'Other specialties' AND marketed_name_type = 'brand-identifiable'
+        GROUP BY GROUPING SETS ((year), ())"""),
     "filter_options": f"SELECT * FROM {PLACED}",
     "cube_dictionary_encode": _with(
         f"codes AS (SELECT filter_name, label, position - 1 AS code FROM {PLACED})",

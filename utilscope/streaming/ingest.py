@@ -2,8 +2,8 @@
 
 A rerun with the same checkpoint takes only files it has not seen.  The batch functions
 (scope filter, cleaning, classification) are row-local, so they apply to the stream as
-they are.  Every row is stamped with the ingest run that took it; yearly totals are kept
-up by publishing one set of additive partial totals per run.
+they are.  Every row is stamped with the ingest run that took it.  `upkeep` ingests the
+typed fact and keeps yearly totals up with it.
 """
 
 from __future__ import annotations
@@ -14,11 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
-from utilscope.functions.numbers import sum_of
-from utilscope.operators.aggregates import (
-    MEASURES, measure_sums, selected_fills, selected_share, unit_costs,
-)
 from utilscope.operators.classify import candidate_filter, in_scope, included
 from utilscope.operators.clean import standardize
 from utilscope.rules import ScopeRules
@@ -69,68 +66,29 @@ def ingest_available(
     After a crash, call again with the same `run`: finished micro-batches are not repeated.
     Returns the rows scanned and kept by each micro-batch.
     """
-    kept_before = spark.conf.get(PROGRESS_KEPT)
-    spark.conf.set(PROGRESS_KEPT, str(2**31 - 1))  # one entry per micro-batch, none dropped
-    try:
-        return _ingest(spark, paths, rules, transform, run)
-    finally:
-        spark.conf.set(PROGRESS_KEPT, kept_before)
-
-
-def _ingest(spark, paths, rules, transform, run) -> list[dict]:
     in_scope_rows = F.count_if(in_scope(rules, "Brnd_Name", "Gnrc_Name"))
     raw = raw_stream(spark, paths.landing).observe(
         "extract", F.count(F.lit(1)).alias("scanned"), in_scope_rows.alias("kept")
     )
-    query = (
+    return with_all_progress(spark, (
         transform(raw, rules).withColumn("ingest_run", F.lit(run))
         .writeStream.format("parquet").option("path", paths.sink)
         .option("checkpointLocation", paths.checkpoint).option("compression", "zstd")
-        .partitionBy("ingest_run", "year").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+        .partitionBy("ingest_run", "year").trigger(availableNow=True)
+    ))
+
+
+def with_all_progress(spark: SparkSession, writer: DataStreamWriter) -> list[dict]:
+    """Run a stream to its end; `batch` and the observed `extract` counts of each micro-batch."""
+    kept_before = spark.conf.get(PROGRESS_KEPT)
+    spark.conf.set(PROGRESS_KEPT, str(2**31 - 1))  # one entry per micro-batch, none dropped
+    try:
+        query = writer.start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROGRESS_KEPT, kept_before)
     return [
         {"batch": p.batchId, **p.observedMetrics["extract"].asDict()}
         for p in query.recentProgress
         if "extract" in p.observedMetrics
     ]
-
-
-def publish_partials(spark: SparkSession, paths: IngestPaths, run: int) -> None:
-    """Additive totals of one run's rows, replacing what an earlier attempt published.
-
-    Provider totals carry the sums and make prescribers exact; labels make products exact.
-    """
-    fact = spark.read.parquet(paths.sink).filter(F.col("ingest_run") == run)
-    providers = fact.groupBy("year", "provider_npi").agg(*measure_sums(), selected_fills())
-    labels = fact.select("year", "brand_name", "generic_name").distinct()
-    for name, partial in (("providers", providers), ("labels", labels)):
-        partial.write.mode("overwrite").parquet(f"{paths.partials}/{name}/run={run}")
-
-
-def incremental_market_year(spark: SparkSession, paths: IngestPaths) -> DataFrame:
-    """`market_year` from the published partials alone.
-
-    Distinct counts are not additive over runs, so they are recounted from the partials.
-    """
-    providers = spark.read.parquet(f"{paths.partials}/providers")
-    labels = spark.read.parquet(f"{paths.partials}/labels")
-    totals = (
-        providers.groupBy("year", "provider_npi")
-        .agg(*measure_sums(), sum_of("selected_class_fills"))
-        .groupBy("year")
-        .agg(*measure_sums(), sum_of("selected_class_fills"),
-             F.count(F.lit(1)).alias("prescribers"))
-    )
-    products = (
-        labels.select("year", "brand_name", "generic_name").distinct()
-        .groupBy("year").agg(F.count(F.lit(1)).alias("products"))
-    )
-    return (
-        totals.join(F.broadcast(products), "year")  # one row per reporting year
-        .withColumns({**unit_costs(), "selected_class_share": selected_share()})
-        .select(
-            "year", *MEASURES, "prescribers", "products", "avg_cost_per_claim",
-            "avg_cost_per_30day_fill", "selected_class_share",
-        )
-    )
