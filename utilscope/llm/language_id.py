@@ -288,15 +288,21 @@ def document_evidence(docs: DataFrame, id: str = "doc_id", text: str = "text", l
 
 
 def keep_identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang, source and any others) whose language is not rejected."""
+    """The rows of `docs` (doc_id, text, lang, source and any others) whose language is not rejected.
+
+    Repeated rows and rows of equal id stay or go each for itself; rows with a NULL or empty text are
+    rejected for want of a letter, NULL ids, languages and sources are no reason to be. An empty table
+    stays empty. Further columns are kept, whatever their names.
+    """
     found = identify_languages(document_evidence(docs), settings).where("rejected")
     gone = stored(found.select(
         F.col("key").alias("_gone_key"), F.col("text_hash").alias("_gone_hash"),
         F.xxhash64("key", "text_hash").alias("_gone_both"),
     ).distinct())
-    key, text_hash = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    marked = docs.select("*", key.alias("_key"), text_hash.alias("_hash"))
-    marked = marked.withColumn("_maybe", maybe_in(gone.select("_gone_both"), F.xxhash64("_key", "_hash")))
-    same = F.col("_key").eqNullSafe(F.col("_gone_key")) & (F.col("_hash") == F.col("_gone_hash"))
-    doubtful = marked.where("_maybe").join(gone, same, "left_anti")
-    return marked.where("not _maybe").unionByName(doubtful).drop("_key", "_hash", "_maybe")
+    # The row travels as one column, so that no name of it can clash with the helpers'.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(row, F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    marked = marked.withColumn("maybe", maybe_in(gone.select("_gone_both"), F.xxhash64("key", "hash")))
+    same = F.col("key").eqNullSafe(F.col("_gone_key")) & (F.col("hash") == F.col("_gone_hash"))
+    doubtful = marked.where("maybe").join(gone, same, "left_anti")
+    return marked.where("not maybe").unionByName(doubtful).select("row.*")

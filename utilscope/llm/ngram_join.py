@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from utilscope.llm.graph import components
 from utilscope.llm.shingles import Sets, mix, shingle_sets
-from utilscope.llm.storage import Filter, materialize, maybe_in, splittable, stored
+from utilscope.llm.storage import Filter, keep_keys, materialize, splittable, stored
 
 #: Most entries of the broadcast table of repeating shingles (9 bytes each). Shingles beyond it
 #: sort as rare ones: this costs speed, never a pair.
@@ -202,12 +202,23 @@ def _folded(rows: pa.Table) -> pa.Table:
     salted = rows["salts"].to_numpy() > 1
     keep = np.flatnonzero(fresh & ((sizes[group] > 1) | salted))
     key = np.where(salted, shingle, _signed(members)[group])
-    kept = rows.take(keep)
-    return pa.table({"key": key[keep], "node": kept["node"], "n": kept["n"], "place": kept["place"]})
+    return pa.table({"key": key[keep], "node": node[keep], "place": rows["place"].to_numpy()[keep]})
+
+
+#: Bits of a posting's `at` that hold the logarithm of its salts; its place in the prefix stands above them.
+_SALT_BITS = 6
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.Table:
+    """shingle, node, salts, salt, place of packed postings."""
+    at, node = batch.column("at").to_numpy(), batch.column("node").to_numpy()
+    salts = np.int64(1) << (at & ((1 << _SALT_BITS) - 1))
+    return pa.table({"shingle": batch.column("shingle"), "node": node, "salts": salts.astype(np.int32),
+                     "salt": node % salts, "place": (at >> _SALT_BITS).astype(np.int32)})
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, n, place) of sorted postings whose shingle several nodes hold.
+    """(key, node, place) of sorted postings whose shingle several nodes hold.
 
     Shingles with the same member list give the same candidates, so the list's fingerprint is
     their key. A group is held until it is whole; one longer than HELD_ROWS keeps its shingle as
@@ -215,7 +226,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held, flowing = None, None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = _unpacked(batch)
         table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
         if not table.num_rows:
             continue
@@ -251,22 +262,21 @@ def _shared_postings(prefixes: DataFrame, ends: DataFrame, like: Similarity) ->
     other set lies in the other's prefix, so the two have at most `most` in common. Shingles of
     very many nodes are dealt over several tasks.
     """
-    places = prefixes.select("node", "n", "levels", F.posexplode("prefix").alias("place", "shingle"))
-    salts = F.expr("shiftleft(1, greatest(0, levels[place] - 13))")
-    places = places.select("shingle", "node", "n", "place", salts.alias("salts"))
-    dealt = places.withColumn("salt", F.pmod("node", "salts")).repartition("shingle", "salt")
-    shared = dealt.sortWithinPartitions("shingle", "salt", "node").mapInArrow(
-        _shared, "key long, node long, n long, place int"
-    )
+    places = prefixes.select("node", "levels", F.posexplode("prefix").alias("place", "shingle"))
+    # Most postings are of shingles that no other node holds, so no more than this travels with them.
+    level = F.expr("greatest(0, levels[place] - 13)")
+    packed = (F.shiftleft(F.col("place").cast("long"), _SALT_BITS) + level).alias("at")
+    salt = F.pmod("node", F.expr(f"shiftleft(1L, cast(at & {(1 << _SALT_BITS) - 1} as int))"))
+    dealt = places.select("shingle", "node", packed).repartition("shingle", salt)
+    shared = dealt.sortWithinPartitions("shingle", salt, "node").mapInArrow(_shared, "key long, node long, place int")
     postings = materialize(
-        shared.groupBy("key", "node", "n").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("shingles"))
+        shared.groupBy("key", "node").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("shingles"))
     )
     behind = F.expr(f"(n * {like.numerator} + {like.denominator - 1}) div {like.denominator} - 1")
     most = postings.groupBy("node").agg(F.sum("shingles").alias("held"))
-    bounded = postings.join(most, "node").join(ends, "node").select(
+    return materialize(postings.join(most, "node").join(ends, "node").select(
         "key", "node", "n", "place", (behind + F.col("held")).alias("most"), "end"
-    )
-    return materialize(bounded, postings.count())
+    ))
 
 
 def _set_batches(batches, like: Similarity, known, wanted: Filter):
@@ -310,11 +320,17 @@ class _Verifier:
         return [f"prefix{seed}" for seed in range(2, self.like.orders)]
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Of the stored pairs (a, b), those whose prefixes meet under every order and whose sets are similar."""
+        """Of the stored pairs (a, b, hub), those whose prefixes meet under every order and whose sets are similar.
+
+        A member meets its set first. What is dealt out by hub then holds the members' sets, so Spark
+        sees how much a hub with many members weighs and splits it.
+        """
         like, further, sets = self.like, self.further, self._sets(pairs)
         side = lambda end: sets.select(*[F.col(c).alias(f"{c}_{end}") for c in sets.columns])
+        member = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
         both = (
-            pairs.join(side("a"), pairs["a"] == F.col("node_a")).join(side("b"), pairs["b"] == F.col("node_b"))
+            pairs.withColumn("member", member).join(side("a"), F.col("member") == F.col("node_a"))
+            .join(side("b"), F.col("hub") == F.col("node_b"))
         )
         if like.orders > 1:
             taken = f"n_{{0}} - ceil(n_{{0}} * {like.numerator} / {like.denominator}) + 1"
@@ -326,7 +342,6 @@ class _Verifier:
         total = F.col("n_a") + F.col("n_b") - common
         return both.where(common * like.denominator >= total * like.numerator).select("a", "b")
 
-
     def links_of_groups(self, pairs: DataFrame) -> DataFrame:
         """As `links`, for stored pairs (key, a, b, n_a, n_b) of which many meet at one key.
 
@@ -390,22 +405,24 @@ def _similar(batches: Iterator[pa.RecordBatch], like: Similarity) -> Iterator[pa
 def _candidates(left: DataFrame, right: DataFrame, like: Similarity, more=None) -> DataFrame:
     """Pairs (a, b) of nodes of other classes that share a shingle and pass the length and position filters.
 
-    With `more`, a condition that puts the left node first, also their sizes and a key they share.
+    With the right node as `hub`; or with `more`, a condition that puts the left node first, their sizes and a
+    key they share.
     A pair's first shared shingle passes both: nothing before it is common, so as much of either
     set as lies behind it must suffice.
     """
-    r = right.select(*[F.col(c).alias(f"{c}2") for c in right.columns])
-    enough = lambda common: common * like.denominator >= (F.col("n") + F.col("n2") - common) * like.numerator
-    behind = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    most = F.when(F.col("end") <= F.col("end2"), F.col("most")).otherwise(F.col("most2"))
-    met = left.join(r, F.col("key") == F.col("key2")).where(
-        (F.col("class") != F.col("class2")) & enough(F.least("n", "n2", most)) & enough(behind)
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    enough = lambda common: common * like.denominator >= (l("n") + r("n") - common) * like.numerator
+    behind = F.least(l("n") - l("place"), r("n") - r("place"))
+    most = F.when(l("end") <= r("end"), l("most")).otherwise(r("most"))
+    met = left.alias("l").join(right.alias("r"), l("key") == r("key")).where(
+        (l("class") != r("class")) & enough(F.least(l("n"), r("n"), most)) & enough(behind)
     )
     if more is None:
-        return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    return met.where(more).groupBy(
-        F.col("node").alias("a"), F.col("node2").alias("b"), F.col("n").alias("n_a"), F.col("n2").alias("n_b")
-    ).agg(F.min("key").alias("key"))
+        pair = [F.least(l("node"), r("node")).alias("a"), F.greatest(l("node"), r("node")).alias("b")]
+        return met.groupBy(*pair).agg(F.min(r("node")).alias("hub"))
+    return met.where(more(l, r)).groupBy(
+        l("node").alias("a"), r("node").alias("b"), l("n").alias("n_a"), r("n").alias("n_b")
+    ).agg(F.min(l("key")).alias("key"))
 
 
 def _with_earlier(postings: DataFrame) -> DataFrame:
@@ -437,14 +454,14 @@ def _linked_classes(postings: DataFrame, verifier: _Verifier, like: Similarity)
     n_postings, n_links = postings.count(), 0
     for seed in (*HUB_SEEDS, None):
         if classes is not None:
-            postings = materialize(_spanning(postings.drop("class"), classes), n_postings)
+            postings = materialize(_spanning(postings.drop("class"), classes))
             if postings.isEmpty():
                 break
         else:
             postings = _spanning(postings, None)
         if seed is None:
             postings = _with_earlier(postings)
-            once = (F.col("node") < F.col("node2")) & ~F.arrays_overlap("earlier", "earlier2")
+            once = lambda l, r: (l("node") < r("node")) & ~F.arrays_overlap(l("earlier"), r("earlier"))
             pairs = _candidates(postings, postings, like, once)
         else:
             # The node with the fewest shingles of its own is the likeliest centre.
@@ -462,7 +479,8 @@ def _linked_classes(postings: DataFrame, verifier: _Verifier, like: Similarity)
             pairs = materialize(pairs, n_postings)
             found = materialize(verifier.links(pairs), pairs.count())
         n_links += found.count()
-        tried = pairs if tried is None else tried.unionAll(pairs.select("a", "b"))
+        met = pairs.select("a", "b")
+        tried = met if tried is None else tried.unionAll(met)
         links = found if links is None else links.unionAll(found)
         classes = components(links, "a", "b", n_links)
     return classes
@@ -492,7 +510,7 @@ def ngram_classes(docs: DataFrame, like: Similarity = Similarity(), id: str = "d
     signed = materialize(prefixes.select(
         "id", "n", "node", "node2", "text_hash", F.when(F.size("prefix") > 0, last).alias("end")
     ))
-    ends = signed.where("end is not null").groupBy("node").agg(F.min("end").alias("end"))
+    ends = signed.where("end is not null").groupBy("node").agg(F.min("end").alias("end"), F.min("n").alias("n"))
     nodes = materialize(
         signed.where("n > 0").groupBy("node", "node2", "n")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
@@ -518,16 +536,7 @@ def one_of_each(docs: DataFrame, like: Similarity = Similarity(), id: str = "doc
     """
     found = materialize(ngram_classes(docs, like, id, text))
     kept = F.col(id).eqNullSafe(F.col("component_id"))
-    row = [F.col(id).cast("long").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_hash")]
-    keys = found.groupBy(F.col(id).alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.bool_and(kept).alias("_kept"), F.count(F.lit(1)).alias("_rows")
-    )
-    odd = stored(keys.where("not _kept or _rows > 1").withColumn("_both", F.xxhash64("_id", "_hash")))
-    marked = docs.select("*", *row)
-    marked = marked.withColumn("_maybe", maybe_in(odd.select("_both"), F.xxhash64("_id", "_hash")))
-    doubtful = marked.where("_maybe")
-    on = lambda x: doubtful["_id"].eqNullSafe(x["_id"]) & (doubtful["_hash"] == x["_hash"])
-    repeated = odd.where("_kept")
-    once = doubtful.join(repeated, on(repeated), "left_semi").dropDuplicates(["_id", "_hash"])
-    plain = doubtful.join(odd, on(odd), "left_anti")
-    return marked.where("not _maybe").unionByName(plain).unionByName(once).drop("_id", "_hash", "_maybe")
+    keys = stored(found.groupBy(F.col(id).alias("key"), F.col("text_hash").alias("hash")).agg(
+        F.bool_and(kept).alias("kept"), F.count(F.lit(1)).alias("rows")
+    ).withColumn("both", F.xxhash64("key", "hash")))
+    return keep_keys(docs, [F.col(id).cast("long"), F.xxhash64(F.col(text).cast("string"))], keys)
