@@ -5,7 +5,7 @@ import math
 import pytest
 
 from utilscope.operators.concentration import concentration, lorenz_curve, pareto_shares
-from utilscope.operators.ranking import GlobalOrder
+from utilscope.operators.ranking import RankedValues
 from utilscope.workspace import Workspace
 
 
@@ -17,7 +17,7 @@ def order_of(spark, tmp_path_factory):
     def build(values):
         rows = [(1, str(i), v) for i, v in enumerate(values)]
         df = spark.createDataFrame(rows, "year int, npi string, x double")
-        return GlobalOrder(workspace, f"v{next(made)}", df, ["year"], "x", ["npi"])
+        return RankedValues(workspace, f"v{next(made)}", df, ["year"], "x", ["npi"])
 
     return build
 

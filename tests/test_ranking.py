@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from utilscope.operators import ranking
-from utilscope.operators.ranking import GlobalOrder
+from utilscope.operators.ranking import GlobalOrder, RankedValues
 from utilscope.workspace import Workspace
 
 
@@ -37,6 +37,15 @@ def order(spark, workspace, providers):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.fixture(scope="module")
+def ranked(spark, workspace, providers):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return RankedValues(workspace, "ranked", providers, ["year"], "x", ["npi"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def same(left, right):
     assert left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0
 
@@ -58,10 +67,10 @@ def test_row_number_and_ties(order, providers):
     same(order.with_ties().select(expected.columns), expected)
 
 
-def test_deciles(order, providers):
+def test_deciles(ranked, providers):
     w = Window.partitionBy("year").orderBy(F.col("x").desc_nulls_last(), "npi")
     expected = providers.withColumn("volume_decile", F.ntile(10).over(w))
-    same(ranking.volume_deciles(order).select(expected.columns), expected)
+    same(ranking.volume_deciles(ranked).select(expected.columns), expected)
 
 
 @pytest.mark.parametrize("rows", [1, 3, 9, 10, 11, 25, 100])
@@ -75,7 +84,7 @@ def test_ntile_sizes(spark, rows, buckets):
 
 def test_percentile_without_nulls(spark, workspace, providers):
     known = providers.filter("x IS NOT NULL")
-    order = GlobalOrder(workspace, "known", known, ["year"], "x", ["npi"])
+    order = RankedValues(workspace, "known", known, ["year"], "x", ["npi"])
     expected = known.withColumn(
         "volume_percentile", F.cume_dist().over(Window.partitionBy("year").orderBy("x"))
     )
@@ -137,3 +146,25 @@ def test_collapse_rare(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", 1.0), ("c", 3.0)], "k string, x double")
     merged = ranking.collapse_rare(df, df, "k", "x", 2, "Other")
     assert sorted(r.k for r in merged.collect()) == ["Other", "a", "c"]
+
+
+def test_tie_groups_from_the_counts_of_values(ranked, order):
+    columns = ["year", "npi", "x", "tie_first", "tie_last", "group_rows", "group_values"]
+    same(ranked.placed().select(columns), order.with_ties().select(columns))
+
+
+def test_distinct_values_are_shuffled_not_rows(ranked, providers):
+    """The bins span several slices, and their aggregation combines on the map side."""
+    assert ranked.bins.count() == providers.select("year", "x").distinct().count()
+    plan = ranked._sorted_bins()._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
+    order = ranked.rows.select("x").distinct().count()
+    assert ranked._sorted.select("_slice").distinct().count() > 3 and order < 500
+
+
+@pytest.mark.parametrize("rows", [0, 1, 7, 1000])
+def test_deciles_and_shares_of_one_value(spark, workspace, rows):
+    df = spark.range(rows).select(F.lit(1).alias("year"), F.col("id").alias("k"), F.lit(2.0).alias("x"))
+    order = RankedValues(workspace, f"one-{rows}", df, ["year"], "x", ["k"])
+    w = Window.partitionBy("year").orderBy("k")
+    same(ranking.volume_deciles(order).select("k", "volume_decile"), df.select("k", F.ntile(10).over(w)))

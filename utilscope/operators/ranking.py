@@ -1,10 +1,15 @@
 """Exact ranks over large tables, and top-k operators.
 
 A window without a partition key (or with the year as its only key) would sort a whole
-year in one task.  `GlobalOrder` instead lets Spark range-partition and sort the table
-once, numbers the rows of each sorted slice, and writes the result.  The row number over
-the whole table is then the number inside the slice plus the size of the slices before it;
-that second term is a table with one row per slice.  Rows that tie on the leading sort
+year in one task.  Ranks of values need no sort of the rows: `RankedValues` counts the rows
+of each distinct value (combined on the map side), and sums the counts of the values before
+it over range-partitioned slices of the distinct values.  Rows meet their value's bin by a join;
+whatever is a function of values and counts (shares, Gini, quantiles) never meets the rows.
+
+`GlobalOrder` numbers the rows themselves, where ties have to be told apart.  Spark range-partitions
+and sorts the table once, numbers the rows of each sorted slice, and writes the result.  The
+row number over the whole table is then the number inside the slice plus the size of the slices
+before it; that second term is a table with one row per slice.  Rows that tie on the leading sort
 column may span slices, because the sort key is made unique, so no value is too frequent.
 """
 
@@ -78,8 +83,8 @@ class GlobalOrder:
 
         `group_values` counts the non-NULL values.
         """
-        # One row per slice and group: bounded by the partitions of the sort, not by the data.
-        rows, slices = self._rows.alias("r"), F.broadcast(self._slices).alias("s")
+        # One row per slice and group that it holds; Spark sees the size of the written table.
+        rows, slices = self._rows.alias("r"), self._slices.alias("s")
         match = F.col("r._slice") == F.col("s._slice")
         for key in self.by:
             match = match & F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}"))
@@ -118,6 +123,85 @@ class GlobalOrder:
         )
 
 
+class RankedValues:
+    """A written table and, for each distinct value of a group (`by`), how many rows stand before it.
+
+    Values are ranked descending with NULLs last. `bins` has a row for each group and distinct value:
+    `rows` with it, rows `before` it, `group_rows` and `group_values` (not NULL) of the group. What is
+    shuffled for the bins is their number, whatever the number of rows.
+    """
+
+    def __init__(
+        self, workspace: Workspace, name: str, df: DataFrame, by: list[str], value: str,
+        tie_break: list[str] = (),
+    ):
+        self.by, self.value = by, value
+        self._workspace, self._name, self._tie_break = workspace, name, list(tie_break)
+        self.rows = workspace.table(f"{name}/values", lambda: df)
+        self._sorted = workspace.table(f"{name}/sorted", self._sorted_bins)
+        self.bins = workspace.table(f"{name}/bins", self._placed_bins)
+
+    def _sorted_bins(self) -> DataFrame:
+        counts = self.rows.groupBy(*self.by, self.value).agg(F.count(F.lit(1)).alias("rows"))
+        keys = [*map(F.col, self.by), F.col(self.value).desc_nulls_last()]
+        return counts.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id())
+
+    def _placed_bins(self) -> DataFrame:
+        """Rows before a bin: those of its slice and those of the group's slices before it."""
+        group = Window.partitionBy(*self.by)
+        earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        known = F.when(F.col(self.value).isNotNull(), F.col("rows")).otherwise(F.lit(0))
+        slices = self._sorted.groupBy(*self.by, "_slice").agg(
+            F.sum("rows").alias("_rows"), F.sum(known).alias("_values")
+        ).select(
+            *[F.col(c).alias(f"_of_{c}") for c in self.by], F.col("_slice").alias("_of"),
+            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_rows").over(group).alias("group_rows"), F.sum("_values").over(group).alias("group_values"),
+        )
+        inside = Window.partitionBy(*self.by, "_slice").orderBy(F.col(self.value).desc_nulls_last())
+        so_far = F.sum("rows").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        same = [F.col("_slice") == F.col("_of"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in self.by]]
+        return self._sorted.withColumn("_so_far", F.coalesce(so_far, F.lit(0))).join(slices, same).select(
+            *self.by, self.value, "rows", (F.col("_before") + F.col("_so_far")).alias("before"),
+            "group_rows", "group_values",
+        )
+
+    def placed(self) -> DataFrame:
+        """Rows with the first and last row number of their tie group, `group_rows` and `group_values`."""
+        keys = [*self.by, self.value]
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+        return self.rows.alias("r").join(self.bins.alias("b"), same).select(
+            "r.*", (F.col("b.before") + 1).alias("tie_first"), (F.col("b.before") + F.col("b.rows")).alias("tie_last"),
+            "b.group_rows", "b.group_values",
+        )
+
+    def bucketed(self, name: str, buckets: int) -> DataFrame:
+        """`placed()` with NTILE over the total order of values and `tie_break`.
+
+        Only a tie group that spans several buckets has to be put in order, at most `buckets` - 1 of
+        them in a group.
+        """
+        whole = lambda place: ntile(F.col(place), F.col("group_rows"), buckets)
+        rows = self.placed().withColumns({name: whole("tie_first"), "_last": whole("tie_last")})
+        settled = rows.filter(F.col(name) == F.col("_last")).drop("_last")
+        split = GlobalOrder(
+            self._workspace, f"{self._name}/split-{buckets}", rows.filter(F.col(name) != F.col("_last"))
+            .withColumnsRenamed({c: f"_{c}" for c in ("tie_first", "tie_last", "group_rows", "group_values")}),
+            self.by, self.value, self._tie_break,
+        )
+        # Numbered among the split groups alone: the place inside the own one is what counts.
+        number = F.col("_tie_first") + F.col("row_number") - F.col("tie_first")
+        found = split.with_ties().withColumn(name, ntile(number, F.col("_group_rows"), buckets))
+        return settled.unionByName(found.select(*[
+            F.col(f"_{c}").alias(c) if c in ("tie_first", "tie_last", "group_rows", "group_values") else F.col(c)
+            for c in settled.columns
+        ]))
+
+    def clean(self, df: DataFrame) -> DataFrame:
+        """Without the helper columns of the ranks."""
+        return df.drop("group_rows", "group_values", "tie_first", "tie_last")
+
+
 def ntile(row_number: Column, rows: Column, buckets: int) -> Column:
     """NTILE from a row number: the first `rows % buckets` buckets hold one row more."""
     size = F.floor(rows / buckets)
@@ -131,43 +215,34 @@ def ntile(row_number: Column, rows: Column, buckets: int) -> Column:
     )
 
 
-def _decile() -> Column:
-    return ntile(F.col("row_number"), F.col("group_rows"), 10)
-
-
 def _share_no_larger() -> Column:
     """Ascending CUME_DIST: in descending order, what starts at the tie group's first row."""
     return ratio(F.col("group_rows") - F.col("tie_first") + 1, F.col("group_rows"))
 
 
-def volume_deciles(order: GlobalOrder) -> DataFrame:
-    """`volume_decile` 1 (highest) to 10 for every row of the order."""
-    return order.clean(order.numbered().withColumn("volume_decile", _decile()))
+def volume_deciles(order: RankedValues) -> DataFrame:
+    """`volume_decile` 1 (highest) to 10 for every row."""
+    return order.clean(order.bucketed("volume_decile", 10))
 
 
-def volume_percentile(order: GlobalOrder) -> DataFrame:
+def volume_percentile(order: RankedValues) -> DataFrame:
     """`volume_percentile`: the share of rows whose value is no larger."""
-    return order.clean(order.with_ties().withColumn("volume_percentile", _share_no_larger()))
+    return order.clean(order.placed().withColumn("volume_percentile", _share_no_larger()))
 
 
-def volume_ranks(order: GlobalOrder) -> DataFrame:
+def volume_ranks(order: RankedValues) -> DataFrame:
     """Decile and percentile together."""
-    return order.clean(
-        order.with_ties().withColumns(
-            {"volume_decile": _decile(), "volume_percentile": _share_no_larger()}
-        )
-    )
+    return order.clean(order.bucketed("volume_decile", 10).withColumn("volume_percentile", _share_no_larger()))
 
 
-def average_percentile(order: GlobalOrder, name: str) -> DataFrame:
+def average_percentile(order: RankedValues, name: str) -> DataFrame:
     """Ascending percentile rank, ties averaged; a missing value gets 0.5 and is not counted."""
-    ranked = order.with_ties()
     # Descending position p among v values is ascending rank v + 1 - p.
     mean = F.col("group_values") + 1 - (F.col("tie_first") + F.col("tie_last")) / 2.0
     score = F.when(F.col(order.value).isNull(), F.lit(0.5)).otherwise(
         ratio(mean, F.col("group_values"))
     )
-    return order.clean(ranked.withColumn(name, score))
+    return order.clean(order.placed().withColumn(name, score))
 
 
 def add_average_percentiles(workspace: Workspace, df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -182,7 +257,7 @@ def add_ranks(workspace: Workspace, df: DataFrame, names: dict[str, str]) -> Dat
 
 
 def _with_ranks(workspace, df, names, rank_of) -> DataFrame:
-    """Every row with the ranks of its columns: all columns are ordered together, by column.
+    """Every row with the ranks of its columns: all columns are ranked together, by column.
 
     Rows are told apart by their place in the written table, so repeated and NULL keys keep theirs.
     """
@@ -190,8 +265,8 @@ def _with_ranks(workspace, df, names, rank_of) -> DataFrame:
         workspace.fresh_path("ranked"), df.withColumn("_row", F.monotonically_increasing_id())
     )
     values = [F.struct(F.lit(out).alias("_rank"), F.col(c).cast("double").alias("_value")) for c, out in names.items()]
-    order = GlobalOrder(
-        workspace, f"order-{uuid4().hex}", rows.select("_row", F.inline(F.array(*values))), ["_rank"], "_value", ["_row"]
+    order = RankedValues(
+        workspace, f"order-{uuid4().hex}", rows.select("_row", F.inline(F.array(*values))), ["_rank"], "_value"
     )
     ranked = rank_of(order, "_place").groupBy("_row").agg(*[
         F.max(F.when(F.col("_rank") == out, F.col("_place"))).alias(out) for out in names.values()
@@ -199,33 +274,33 @@ def _with_ranks(workspace, df, names, rank_of) -> DataFrame:
     return rows.join(ranked, "_row").drop("_row")
 
 
-def _best_rank(order: GlobalOrder, name: str) -> DataFrame:
-    return order.with_ties().withColumn(name, F.col("tie_first"))
+def _best_rank(order: RankedValues, name: str) -> DataFrame:
+    return order.placed().withColumn(name, F.col("tie_first"))
 
 
 def quantiles(workspace: Workspace, df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """One row: `known` (non-NULL values) and `q`, their interpolated quantiles (NULL without a value).
 
-    The values next to each quantile are found by their row numbers in a `GlobalOrder`.
+    The values next to each quantile are found by the counts of the distinct values.
     """
-    order = GlobalOrder(
-        workspace, f"order-{uuid4().hex}",
-        df.select(F.col(value).cast("double").alias("_value"), F.monotonically_increasing_id().alias("_row")),
-        [], "_value", ["_row"],
+    order = RankedValues(
+        workspace, f"order-{uuid4().hex}", df.select(F.col(value).cast("double").alias("_value")), [], "_value"
     )
-    # Descending row number n of v values is ascending place v - n.
-    place = F.col("group_values") - F.col("row_number")
-    known = order.numbered().where(F.col("_value").isNotNull())
+    known = order.bins.where(F.col("_value").isNotNull())
+    # Descending row numbers before + 1 .. before + rows of v values are ascending places from here on.
+    first_place = F.col("group_values") - F.col("before") - F.col("rows")
+
+    def at(place: Column) -> Column:
+        inside = (first_place <= place) & (place < first_place + F.col("rows"))
+        return F.max(F.when(inside, F.col("_value")))
 
     def near(share: float) -> Column:
         exact = (F.col("group_values") - 1) * F.lit(share)
-        low = F.floor(exact)
-        weight = exact - low
-        first = F.max(F.when(place == low, F.col("_value")))
-        second = F.max(F.when(place == F.ceil(exact), F.col("_value")))
-        return first + (second - first) * F.max(weight)
+        first, second = at(F.floor(exact)), at(F.ceil(exact))
+        return first + (second - first) * F.max(exact - F.floor(exact))
 
-    return known.agg(F.count("_value").alias("known"), F.array(*[near(s) for s in shares]).alias("q"))
+    found = known.agg(F.sum("rows").alias("known"), F.array(*[near(s) for s in shares]).alias("q"))
+    return found.select(F.coalesce("known", F.lit(0)).alias("known"), "q")
 
 
 def leaders(df: DataFrame, measure: str, labels: list[str], k: int) -> DataFrame:

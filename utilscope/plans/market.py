@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utilscope.operators import aggregates, concentration, cube, headline, opportunity, prescribers, ranking
-from utilscope.operators.ranking import GlobalOrder
+from utilscope.operators.ranking import RankedValues
 from utilscope.rules import DIABETES_RULES, OPPORTUNITY_WEIGHTS, RANKABLE_STATES, ScopeRules, ScoreWeights
 from utilscope.workspace import Workspace
 
@@ -50,7 +50,7 @@ class Market:
         self.workspace = workspace
         self.settings = settings
         self._build_fact, self._stored = build_fact, stored
-        self._order: GlobalOrder | None = None
+        self._order: RankedValues | None = None
 
     @property
     def fact(self) -> DataFrame:
@@ -59,11 +59,11 @@ class Market:
         return self.workspace.table("fact", self._build_fact, ["year"])
 
     @property
-    def provider_order(self) -> GlobalOrder:
+    def provider_order(self) -> RankedValues:
         """Providers of each year by descending fills, the identifier breaking ties."""
         if self._order is None:
             totals = aggregates.provider_totals(self.fact)
-            self._order = GlobalOrder(
+            self._order = RankedValues(
                 self.workspace, "providers", totals, ["year"], FILLS, ["provider_npi"]
             )
         return self._order
