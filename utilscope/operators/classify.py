@@ -13,15 +13,19 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from utilscope.functions.text import contains_any, normalize_text
+from utilscope.operators.containment import contained_terms
 from utilscope.rules import ScopeRules
+from utilscope.workspace import literal_rows
 
 DECISION_COLUMNS = [
     "drug_class", "matched_terms", "is_selected_class", "marketed_name_type", "scope_status",
 ]
 INCLUDED = "included"
 EXCLUDED = "excluded_non_drug"
+TERM = T.StructType([T.StructField("match_term", T.StringType())])
 
 
 def _rule_hits(normalized: Column, rules: ScopeRules) -> Column:
@@ -120,9 +124,10 @@ def scope_audit(df: DataFrame, rules: ScopeRules) -> DataFrame:
 
 def label_hits(df: DataFrame, rules: ScopeRules, label: str = "generic_name") -> DataFrame:
     """One row per distinct label and mapped term it contains."""
-    labels = df.select(label).distinct()
-    found = _matched_terms(_rule_hits(normalize_text(F.col(label)), rules))
-    return labels.select(label, F.explode(found).alias("match_term"))
+    labels = df.select(label).distinct().withColumn("_text", normalize_text(F.col(label)))
+    terms = literal_rows(df.sparkSession, [(t,) for t in rules.distinct_terms()], TERM)
+    hits = contained_terms(labels, "_text", terms, "match_term")
+    return labels.join(hits, "_text").select(label, "match_term")
 
 
 def unmapped(df: DataFrame, rules: ScopeRules) -> DataFrame:

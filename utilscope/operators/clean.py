@@ -53,13 +53,13 @@ def add_unit_costs(df: DataFrame) -> DataFrame:
     })
 
 
-def standardize(raw: DataFrame, rules: ScopeRules) -> DataFrame:
-    """Raw 22-column text rows (plus `year`) to typed rows with every derived column.
+def standardize(raw: DataFrame, rules: ScopeRules, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Raw 22-column text rows (plus `year`) to typed rows with every derived column, and the columns `kept`.
 
     Rows of every scope status are kept; filter with `classify.included` for the fact.
     """
     typed = coerce_numbers(clean_text(rename_raw(raw)))
-    return add_unit_costs(classify(typed, rules)).select(*FACT_COLUMNS)
+    return add_unit_costs(classify(typed, rules)).select(*FACT_COLUMNS, *kept)
 
 
 class RejectedRows(ValueError):

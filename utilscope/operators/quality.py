@@ -7,6 +7,7 @@ that must stop.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,3 +197,42 @@ def all_checks(checks: dict[str, DataFrame]) -> DataFrame:
         for name, check in checks.items()
     ]
     return reduce(DataFrame.unionByName, verdicts)
+
+
+#: Buckets that keys are dealt over before two layers are compared.
+KEY_BUCKETS = 4096
+
+
+def _digests(layer: DataFrame, by: list[Column], columns: list[str]) -> DataFrame:
+    """Rows and an order-free digest of the rows of each group."""
+    row_hash = F.xxhash64(*columns).cast("decimal(38,0)")
+    return layer.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(row_hash).alias("digest"))
+
+
+def reconcile_rows(left: DataFrame, right: DataFrame, keys: list[str], buckets: int = KEY_BUCKETS) -> DataFrame:
+    """The keys whose rows differ between two layers: `keys`, `left_rows`, `right_rows`, `difference`.
+
+    Keys are dealt over buckets, and each layer is folded to a count and an order-free digest of every
+    bucket. Only rows of buckets that differ are then grouped by key, so what is shuffled follows the
+    differences. `difference` is 'missing' (not in `right`), 'extra' (not in `left`) or 'changed' (another
+    number of rows, or other values). Columns that only one layer has are not compared; NULL keys are keys.
+    """
+    columns = sorted(set(left.columns) & set(right.columns))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+    sides = [layer.select(*columns, bucket) for layer in (left, right)]
+
+    def differing(by: list[str], pair: list[DataFrame]) -> DataFrame:
+        a, b = (_digests(layer, [F.col(c) for c in by], columns).alias(name) for layer, name in zip(pair, "ab"))
+        same = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+        alike = F.col("a.rows").eqNullSafe(F.col("b.rows")) & F.col("a.digest").eqNullSafe(F.col("b.digest"))
+        known = F.col("a.rows").isNotNull()
+        return a.join(b, same, "full").filter(~alike).select(
+            *[F.when(known, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in by],
+            F.coalesce("a.rows", F.lit(0)).alias("left_rows"), F.coalesce("b.rows", F.lit(0)).alias("right_rows"),
+        )
+
+    # One row a bucket at most, whatever the layers hold.
+    suspects = F.broadcast(differing(["_bucket"], sides).select("_bucket"))
+    found = differing(keys, [layer.join(suspects, "_bucket", "left_semi") for layer in sides])
+    difference = F.when(F.col("right_rows") == 0, "missing").when(F.col("left_rows") == 0, "extra").otherwise("changed")
+    return found.withColumn("difference", difference)

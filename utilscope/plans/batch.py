@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utilscope.operators import aggregates, concentration, cube, headline, profile, quality, ranking
+from utilscope.operators import aggregates, concentration, cube, headline, labels, profile, quality, ranking
 from utilscope.operators.classify import included, scope_audit, unmapped
 from utilscope.operators.clean import rename_raw, require_integral, standardize
 from utilscope.plans.market import FILLS, Market, MarketSettings
@@ -51,8 +51,14 @@ def extract(spark: SparkSession, paths: BatchPaths, settings: MarketSettings) ->
 
 
 def build_fact(candidates: DataFrame, paths: BatchPaths, settings: MarketSettings) -> DataFrame:
-    """Type, classify and store the fact; stops on rows or labels it cannot represent."""
-    fact = included(standardize(require_integral(candidates), settings.rules))
+    """Type, classify and store the fact; stops on rows or labels it cannot represent.
+
+    Each distinct label is classified once; the decisions are published beside the fact.
+    """
+    decisions = labels.label_dimension(rename_raw(candidates), settings.rules)
+    decisions.write.mode("overwrite").parquet(paths.under("labels"))
+    dimension = candidates.sparkSession.read.schema(decisions.schema).parquet(paths.under("labels"))
+    fact = labels.fact_of(require_integral(candidates), dimension)
     files.write_fact(fact, paths.under("fact"), balance=True)
     stored = files.read_fact(fact.sparkSession, paths.under("fact"), fact.schema)
     missing = unmapped(stored, settings.rules).limit(20).collect()

@@ -11,12 +11,13 @@ from pyspark.sql import types as T
 
 from utilscope.functions.numbers import not_integral, to_bigint, to_double
 from utilscope.functions.text import masked_id, normalize_text, provider_id
-from utilscope.operators import aggregates, concentration, cube, headline, opportunity, profile
+from utilscope.operators import aggregates, concentration, cube, headline, labels, opportunity, profile
 from utilscope.operators import prescribers, quality, ranking
 from utilscope.operators.classify import (
     candidate_filter, classify, included, label_hits, observed_labels, scope_audit, unmapped,
 )
 from utilscope.operators.clean import rename_raw, standardize
+from utilscope.operators.containment import contained_terms
 from utilscope.operators.cube import Slice
 from utilscope.plans.market import FILLS, Market, MarketSettings
 from utilscope.plans.star import (
@@ -25,8 +26,9 @@ from utilscope.plans.star import (
 from utilscope.schema import FACT_COLUMNS, GRAIN, RAW_COLUMNS
 from utilscope.sources import files, manifest, rule_files
 from utilscope.streaming import ingest
+from utilscope.streaming.landed import LandedFact
 from utilscope.streaming.upkeep import Upkeep
-from utilscope.workspace import Workspace, literal_rows, stamp
+from utilscope.workspace import Workspace, literal_rows, remove, stamp
 
 OTHER = "Other specialties"
 RAW_BRAND, RAW_GENERIC = "Brnd_Name", "Gnrc_Name"
@@ -209,6 +211,20 @@ def incremental_prescribers(m: StarMarket) -> DataFrame:
     return exact.join(upkeep.estimated_prescribers(), "year").select("year", "prescribers", (off <= bound).alias("within_bound"))
 
 
+def ingest_replaced_file(m: StarMarket) -> DataFrame:
+    """The fact after the first year was withdrawn and the latest one delivered anew without odd customers."""
+    paths = _ingest_paths(m, "landed")
+    landed = LandedFact(m.spark, paths.landing, paths.sink, STAR_RULES)
+    _land(m, paths, m.settings.years)
+    landed.follow()
+    even = (F.col("year") == m.latest) & (F.col("Prscrbr_NPI").cast("double") % 2 == 0)
+    remove(m.spark, f"{paths.landing}/year={m.settings.first_year}")
+    remove(m.spark, f"{paths.landing}/year={m.latest}")
+    files.write_raw_csv(m.raw().filter(even), paths.landing, mode="append")
+    landed.follow()
+    return landed.fact()
+
+
 # --- cleaning and classification ----------------------------------------------------
 
 
@@ -254,11 +270,35 @@ def normalize_labels(m: StarMarket) -> DataFrame:
     )
 
 
+def many_terms_contained(m: StarMarket) -> DataFrame:
+    """Which part numbers of three digits or more stand in which customers' names."""
+    names = m.table("customer").select("c_name")
+    numbers = m.table("part").filter("p_partkey >= 100").select(F.col("p_partkey").cast("string").alias("number"))
+    return contained_terms(names, "c_name", numbers, "number")
+
+
+def raw_labels(m: StarMarket) -> DataFrame:
+    return m.labels().distinct()
+
+
+def fact_by_labels(m: StarMarket) -> DataFrame:
+    """The fact from the raw text, decisions taken from the written label dimension."""
+    return labels.fact_of(m.raw(), m.workspace.table(
+        "label_dimension", lambda: labels.label_dimension(raw_labels(m), STAR_RULES)
+    ))
+
+
+def labels_after_rule_change(m: StarMarket) -> DataFrame:
+    """The label dimension after the last term has left the rules."""
+    short = replace(STAR_RULES, terms=STAR_RULES.terms[:-1])
+    return labels.reclassified(labels.label_dimension(raw_labels(m), STAR_RULES), STAR_RULES, short)
+
+
 def check_unmapped(m: StarMarket) -> DataFrame:
     """The labels that a rule set without its last term would leave unmapped."""
     short = replace(STAR_RULES, terms=STAR_RULES.terms[:-1])
-    labels = rename_raw(m.raw()).select("year", "brand_name", "generic_name")
-    return unmapped(classify(labels, short), short)
+    found = rename_raw(m.raw()).select("year", "brand_name", "generic_name")
+    return unmapped(classify(found, short), short)
 
 
 # --- ranks, slices, scores ----------------------------------------------------------
@@ -351,6 +391,15 @@ def reconcile_layers(m: StarMarket) -> DataFrame:
     )
 
 
+def reconcile_rows(m: StarMarket) -> DataFrame:
+    """The fact against a copy in which some rows of the latest year are lost, changed or doubled."""
+    number, latest = F.col("provider_npi").cast("bigint"), F.col("year") == m.latest
+    claims = F.when(latest & (number % 89 == 0), F.col("total_claims") + 1).otherwise(F.col("total_claims"))
+    copy = m.fact.filter(~(latest & (number % 97 == 0))).withColumn("total_claims", claims)
+    copy = copy.unionByName(m.fact.filter(latest & (number % 83 == 0) & (number % 89 != 0) & (number % 97 != 0)))
+    return quality.reconcile_rows(m.fact, copy, GRAIN)
+
+
 CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     # sources and sinks
     "csv_strict_scan": lambda m: m.raw(),
@@ -365,6 +414,7 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     "ingest_counts": ingest_counts,
     "incremental_market_year": incremental_market_year,
     "incremental_prescribers": incremental_prescribers,
+    "ingest_replaced_file": ingest_replaced_file,
     # cleaning and classification
     "standardize_fact": lambda m: standardize(
         candidate_filter(m.raw(), STAR_RULES, RAW_BRAND, RAW_GENERIC), STAR_RULES
@@ -383,6 +433,10 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
     "allowlist_semi_join": lambda m: m.ranked_states(),
     "headline_formatted": lambda m: headline.headline_formatted(m.market_year()),
     "classify_labels": lambda m: classify(m.labels().distinct(), STAR_RULES),
+    "label_dimension": lambda m: labels.label_dimension(raw_labels(m), STAR_RULES),
+    "fact_by_labels": fact_by_labels,
+    "labels_after_rule_change": labels_after_rule_change,
+    "many_terms_contained": many_terms_contained,
     "theta_contains_join": lambda m: label_hits(m.labels(), STAR_RULES),
     "scope_audit": lambda m: scope_audit(rename_raw(m.raw()), STAR_RULES),
     "scope_counts": lambda m: profile.scope_counts(scope_audit(rename_raw(m.raw()), STAR_RULES)),
@@ -496,6 +550,7 @@ CATALOG: dict[str, Callable[[StarMarket], DataFrame]] = {
         m.state_opportunity(), list(m.settings.weights.scenarios)
     ),
     "reconcile_layers": reconcile_layers,
+    "reconcile_rows": reconcile_rows,
     "reconcile_counts": reconcile_counts,
     "reconcile_published": lambda m: quality.compare_layers(
         published_market(m), quality.layer_totals(m.fact), aggregates.MEASURES

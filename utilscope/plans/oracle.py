@@ -307,6 +307,8 @@ FIELDS = ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in (f"nulli
 FINGERPRINT = f"sum(CAST('0x' || substr(md5(concat_ws('|', {FIELDS})), 1, 15) AS BIGINT))"
 PROFILED = ["Tot_Clms", "Tot_30day_Fills", "Tot_Day_Suply", "Tot_Drug_Cst"]
 
+DECIDED = """brand_name, generic_name, drug_class, matched_terms, is_selected_class,
+  marketed_name_type, scope_status"""
 LATE = "year = @LATEST AND CAST(provider_npi AS BIGINT) % 7 = 0"
 CANDIDATE_RAW = "raw JOIN labels ON Brnd_Name = brand_name AND Gnrc_Name = generic_name"
 
@@ -434,6 +436,8 @@ STATEMENTS: dict[str, str] = {
     "incremental_ingest": f"""SELECT {NULLED}, year, CAST(year = @LATEST AS INTEGER) AS ingest_run
         FROM {CANDIDATE_RAW} WHERE candidate""",
     "incremental_market_year": "SELECT * FROM market",
+    "ingest_replaced_file": """SELECT * FROM fact
+        WHERE year > @FIRST AND (year < @LATEST OR CAST(provider_npi AS BIGINT) % 2 = 0)""",
     "incremental_prescribers": "SELECT year, prescribers, true AS within_bound FROM market",
     "standardize_fact": "SELECT * FROM candidates",
     "provider_id_normalize": """SELECT DISTINCT Prscrbr_NPI, provider_npi,
@@ -461,6 +465,16 @@ STATEMENTS: dict[str, str] = {
         format('{{:.1f}}%', selected_class_share * 100) AS share_text FROM market""",
     "classify_labels": """SELECT brand_name, generic_name, drug_class, matched_terms,
         is_selected_class, marketed_name_type, scope_status FROM labels""",
+    "label_dimension": f"SELECT {DECIDED}, candidate AS in_scope FROM labels",
+    "fact_by_labels": "SELECT * FROM fact",
+    "labels_after_rule_change": """SELECT brand_name, generic_name,
+        CASE WHEN device OR matched_terms <> 'bolt' THEN drug_class ELSE 'Unmapped' END AS drug_class,
+        CASE WHEN device THEN matched_terms ELSE regexp_replace(matched_terms, '^bolt([|]|$)', '') END AS matched_terms,
+        is_selected_class, marketed_name_type, scope_status, candidate AND terms <> 'bolt' AS in_scope
+        FROM labels JOIN (SELECT brand_name, generic_name, terms FROM hits) USING (brand_name, generic_name)""",
+    "many_terms_contained": """SELECT c_name, CAST(p_partkey AS VARCHAR) AS number
+        FROM (SELECT DISTINCT c_name FROM customer) JOIN part
+        ON p_partkey >= 100 AND contains(c_name, CAST(p_partkey AS VARCHAR))""",
     "theta_contains_join": """SELECT DISTINCT generic_name, term AS match_term
         FROM norms JOIN rules ON contains(generic_norm, term)""",
     "scope_audit": """SELECT DISTINCT year, brand_name, generic_name, drug_class, matched_terms,
@@ -645,6 +659,11 @@ STATEMENTS: dict[str, str] = {
         FROM {CANDIDATE_RAW} WHERE candidate AND NOT device GROUP BY year""",
         "('rows'), " + CORE_METRICS,
     ),
+    "reconcile_rows": """SELECT year, provider_npi, brand_name, generic_name, 1::BIGINT AS left_rows,
+        CASE WHEN id % 97 = 0 THEN 0 WHEN id % 89 = 0 THEN 1 ELSE 2 END::BIGINT AS right_rows,
+        CASE WHEN id % 97 = 0 THEN 'missing' ELSE 'changed' END AS difference
+        FROM (SELECT *, CAST(provider_npi AS BIGINT) AS id FROM fact)
+        WHERE year = @LATEST AND (id % 97 = 0 OR id % 89 = 0 OR id % 83 = 0)""",
     "reconcile_counts": f"""SELECT c.*, candidate_rows AS input_rows, f.processed_rows,
         candidate_rows = processed_rows + excluded_rows AS passed
         FROM (SELECT year, count(*) AS source_rows_scanned,

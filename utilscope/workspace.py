@@ -51,6 +51,13 @@ def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return summary.getLength(), summary.getFileCount(), changed
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through Spark's file systems."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Workspace:
     """Named tables under one folder of their own; each is built at most once."""
 
@@ -83,7 +90,5 @@ class Workspace:
 
     def remove(self) -> None:
         """Delete every table of the workspace; frames that read them are then void."""
-        context = self.spark.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(self.root)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        remove(self.spark, self.root)
         self._tables.clear()
