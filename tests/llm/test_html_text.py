@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from utilscope.llm import html_text
 from utilscope.llm.html_text import extract_main_text, main_text, surges
 
 PAGE = """<html lang=en><head><title>x</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
@@ -93,3 +94,77 @@ def test_text_outside_of_articles_and_far_from_the_surge(page, text):
 ])
 def test_names_of_wrappers_and_articles(page, text):
     assert main_text(page) == text
+
+
+SECTIONS = [
+    "<section id='discussion'>{}</section>", "<section id='related-work'>{}</section>", "<section id='menu-planning'>{}</section>",
+    "<div id='login-errors'>{}</div>", "<section id='search-trees'>{}</section>", "<div id='header-files'>{}</div>",
+    "<section class='menu-planning'>{}</section>", "<div class='related-work' id='comments-on-method'>{}</div>",
+]
+
+
+@pytest.mark.parametrize("main", ["article", "main"])
+@pytest.mark.parametrize("section", SECTIONS)
+def test_no_section_of_an_article_is_lost_by_its_id(main, section):
+    page = f"<{main}><p>{LONG}</p>{section.format('<h2>Part</h2><p>Some more.</p>')}<p>{LONG}</p></{main}>"
+    assert main_text(page) == f"{LONG.strip()}\nPart\nSome more.\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("anchor", ["search-trees", "related", "menu", "comments", "footer", "discussion"])
+def test_no_heading_is_lost_by_its_anchor(anchor):
+    for page in (f"<article><p>{LONG}</p><h2 id='{anchor}'>Part</h2><p>x</p></article>", f"<p>{LONG}</p><h2 id='{anchor}'>Part</h2><p>x</p>"):
+        assert main_text(page) == f"{LONG.strip()}\nPart\nx"
+
+
+def test_every_line_of_a_trusted_article_is_kept():
+    page = f"<article><h1>T</h1><ul><li>a</li></ul><div class=ad>BUY</div><table><tr><td>1</td></tr></table><p>{LONG}</p><p>Home</p></article>"
+    assert main_text(page) == f"T\na\n1\n{LONG.strip()}\nHome"
+
+
+REPLIES = "<p>I liked it a lot, thank you very much for all of it.</p>" * 12
+
+
+@pytest.mark.parametrize("beside", [
+    f"<section class='user-feedback'><h3>3 responses</h3>{REPLIES}</section>", f"<div><h3>Leave a comment</h3>{REPLIES}</div>",
+    f"<section><div class=top><h2><b>12</b> Comments</h2></div>{REPLIES}</section>".replace("<b>12</b> ", "12 "),
+    f"<section><h4>Comments (4)</h4>{REPLIES}</section>", "<article class='teaser'><h2>Another story</h2><p>It begins so</p></article>",
+    "<article class='post-teaser'><p>Another story</p></article>",
+])
+@pytest.mark.parametrize("inside", [False, True])
+def test_comments_by_their_form_and_teasers_are_left_out(beside, inside):
+    article = f"<article><h1>T</h1><p>{LONG}</p></article>"
+    page = f"<main>{article}{beside}</main>" if inside else f"{article}{beside}"
+    assert main_text(page) == f"T\n{LONG.strip()}"
+
+
+def test_an_article_on_responses_keeps_them():
+    page = f"<article><p>{LONG}</p><h2>3 responses</h2><p>x</p></article>"
+    assert main_text(page) == f"{LONG.strip()}\n3 responses\nx"
+
+
+TOP = "<div>We use cookies to improve.</div><div>Home</div><div>Contact us: 555</div><div><a href=a>A</a></div>"
+DIVS = f"{TOP}<div>Title</div><div>{LONG}</div><div>Next</div><div>{LONG}</div><div>The end.</div><div>© 2024 Somebody</div>"
+
+
+def test_sums_decide_on_pages_of_plain_divs(monkeypatch):
+    """A label between two paragraphs lies in the surge and stays; before and behind it, labels go."""
+    assert main_text(DIVS) == f"Title\n{LONG.strip()}\nNext\n{LONG.strip()}\nThe end."
+    monkeypatch.setattr(html_text, "surges", lambda lengths: [])
+    assert main_text(DIVS) == f"Title\n{LONG.strip()}\n{LONG.strip()}\nThe end."
+
+
+def test_layouts_of_divs_against_their_articles():
+    """Generated layouts: whatever stands around it, the article comes out whole."""
+    random = np.random.default_rng(4)
+    around = ["<div>Home</div>", "<div><a href=x>About us</a></div>", "<div class='menu'>Products</div>", "<div>Contact us: 1</div>",
+              "<div>We use cookies on this site.</div>", "<div>Copyright 2020 Them</div>", "<div><a href=x>An old story</a></div>"]
+    body = ["<div>{}</div>", "<p>{}</p>", "<div><p>{}</p></div>", "<h2>{}</h2><p>{}</p>"]
+    for _ in range(200):
+        pick = lambda of, n: [of[i] for i in random.integers(0, len(of), n)]
+        texts, blocks = [], []
+        for form in pick(body, int(random.integers(1, 7))):
+            words = [" ".join(pick(["some", "words", "of", "text"], int(random.integers(1, 60)))) + "." for _ in range(form.count("{}"))]
+            texts += words
+            blocks.append(form.format(*words))
+        page = "".join([*pick(around, int(random.integers(0, 6))), *blocks, *pick(around, int(random.integers(0, 6)))])
+        assert main_text(page) == "\n".join(texts), page

@@ -3,14 +3,18 @@
 1. Markup is stripped to lines, one per block element, in page order. Menus, headers, footers,
    sidebars, notices, adverts, forms and reader comments count as lines without text, and so
    does all that lies outside a page's <article> or <main>, if that holds the page's text; inside
-   it they leave no line at all. Scripts and styles never do. A class or id name alone drops
+   it they leave no line at all. Scripts and styles never do. Class names count as evidence only
+   as names of known widgets, ids less, those of headings not at all; a name alone drops
    neither an <article>, nor what contains one or a <main>, nor what holds most of the text.
+   Comments are also known by their form, a section that begins with a count of responses.
 2. The text lengths are summed over a sliding window of lines. Text surges where the sums rise
-   from zero and dives where they fall back to zero.
+   from zero and dives where they fall back to zero. Lines that read like labels of a site (Home,
+   a copyright line, a word on cookies) have no weight in the sums, nor have links alone.
 3. The lines between a surge and its dive are kept if some window in between reaches the
    threshold, or the page's highest sum where that is smaller: a short article is still the
    page's main text. Nothing between the two points is dropped. Headings and paragraphs are kept
-   whatever their length; so only short runs of list items, table cells and links are left out.
+   whatever their length. So where no <article> or <main> is to be trusted, the sums decide on list
+   items, table cells, links and labels. Of a trusted one all lines are kept.
 """
 
 from __future__ import annotations
@@ -59,11 +63,40 @@ _NAMES = (
     "consent|gdpr|notices?|alerts?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|headers?|masthead|"
     "comments?|commentlist|repl(?:y|ies)|respond|disqus|discussion|shar(?:e|ing)|social|related|recommend(?:ed|ations?)|"
     "newsletter|subscri(?:be|ption)|signup|login|popup|modal|overlay|paywall|pagination|pager|toolbar|widgets?|"
-    "copyright|skip-?link|search(?:box|form|bar)?"
+    "copyright|skip-?link|search(?:box|form|bar)?|teasers?"
 )
-_NAMED = re.compile(rf"(?:(?!has-|with-|no-|without-|is-)(?:.+[-_])?(?:{_NAMES})|(?:{_NAMES})[-_].+)\Z", re.I)
+_PARTS = (
+    "box|lists?|wrap(?:per)?|container|section|area|block|widgets?|posts?|links?|bar|banners?|notices?|forms?|content|"
+    "inner|panel|top|bottom|left|right|items?|slot|unit|[0-9]+"
+)
+_NAMED = re.compile(rf"(?:(?!has-|with-|no-|without-|is-)(?:.+[-_])?(?:{_NAMES})|(?:{_NAMES})[-_](?:{_PARTS}))\Z", re.I)
+#: Ids are also anchors of headings and sections, so only these count; inside an article just as they stand.
+_ID_NAMES = (
+    "ads?|adverts?|advertisements?|banners?|cookies?|cookie-?notice|consent|gdpr|sidebars?|nav|navbar|navigation|"
+    "breadcrumbs?|footers?|masthead|comments?|commentlist|respond|disqus(?:_thread)?|newsletter|popup|modal|pagination"
+)
+_ID_NAMED = re.compile(rf"(?:(?:.+[-_])?(?:{_ID_NAMES})|(?:{_ID_NAMES})[-_](?:{_PARTS}))\Z", re.I)
+_ID_IN_MAIN = re.compile(rf"(?:{_ID_NAMES})\Z", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A section that begins with a heading like "3 responses" or "Leave a comment".
+_COMMENT_FORM = re.compile(
+    r"\s*(?:<(?:div|header)\b[^>]*>\s*)?<h[1-6]\b[^>]*>\s*(?:<[^>]+>\s*)*"
+    r"(?:(?:\d+|no|one|leave an?|post an?|add an?|write an?)\s+(?:readers?'?\s+)?(?:comments?|repl(?:y|ies)|responses?)\b"
+    r"|(?:readers?'?\s+)?comments?\s*(?:\(\d+\))?\s*<)", re.I,
+)
+_FORM_TAGS = frozenset("section div aside".split())
 _HEADER_NAMED = re.compile(r"(?:.+[-_])?(?:headers?|masthead)(?:[-_].+)?\Z", re.I)
-_COMMENT_NAMED = re.compile(r"(?:comments?|commentlist|repl(?:y|ies)|respond|disqus|discussion)(?:[-_].+)?\Z", re.I)
+_COMMENT_NAMED = re.compile(
+    r"(?:comments?|commentlist|repl(?:y|ies)|respond|disqus|discussion|teasers?)(?:[-_].+)?\Z|.+[-_]teasers?\Z", re.I
+)
+#: Whole short lines of a site, not of its text.
+_LABEL = re.compile(
+    r"(?:home|start|about(?: us)?|contacts?(?: us)?(?:\s*:.*)?|log ?(?:in|out)|sign ?(?:in|up|out)|register|menu|search|"
+    r"privacy(?: policy)?|terms(?: of (?:use|service))?|imprint|site ?map|faq|help|subscribe|share(?: this)?|next|previous|"
+    r"back(?: to top)?|(?:read|show|load) more|skip to (?:main )?content|follow us|print|e-?mail)\W*\Z", re.I,
+)
+_SITE_LINE = re.compile(r"(?:©|\(c\)|copyright)\s|all rights reserved|\b(?:uses?|accept|our) cookies\b|\bcookie (?:policy|settings)\b", re.I)
+_SITE_LINE_CHARS = 160
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -83,11 +116,21 @@ def _is_dropped(tag: str, given: dict[str, str], in_main: bool) -> bool:
 
 
 def _boilerplate_names(tag: str, given: dict[str, str], in_main: bool) -> list[str]:
-    """The id and class names that speak for boilerplate."""
+    """The class names, and with less trust the id, that speak for boilerplate."""
     if not given or tag in ("html", "body", "main", "header"):
         return []
-    names = f"{given.get('class', '')} {given.get('id', '')}".split()
-    return [name for name in names if _NAMED.match(name) and not (in_main and _HEADER_NAMED.match(name))]
+    names = [name for name in given.get("class", "").split() if _NAMED.match(name)]
+    if tag not in _HEADINGS:
+        pattern = _ID_IN_MAIN if in_main else _ID_NAMED
+        names += [name for name in given.get("id", "").split() if pattern.match(name)]
+    return [name for name in names if not (in_main and _HEADER_NAMED.match(name))]
+
+
+def _is_label(text: str) -> bool:
+    """Whether a line reads like a part of the site around the text."""
+    if _LABEL.match(text):
+        return True
+    return len(text) <= _SITE_LINE_CHARS and bool(_SITE_LINE.search(text))
 
 
 class _Named:
@@ -150,8 +193,17 @@ def _holds_the_text(texts: list[str], lines: list[_Open]) -> bool:
     return inside > 0 and (inside >= outside.sum() or _sums(outside).max() < THRESHOLD)
 
 
-def strip_markup(page: str) -> tuple[list[str], list[bool], list[bool]]:
-    """Lines of a page, one per block, and for each whether it may be main text, and is a heading or paragraph.
+class Line(NamedTuple):
+    """A line of a page: it may be main text, has weight in the sums, and is kept wherever it stands."""
+
+    text: str
+    possible: bool
+    weighs: bool
+    always: bool
+
+
+def strip_markup(page: str) -> list[Line]:
+    """Lines of a page, one per block.
 
     Boilerplate inside an article leaves no line. Inline boilerplate never does.
     """
@@ -208,7 +260,10 @@ def strip_markup(page: str) -> tuple[list[str], list[bool], list[bool]]:
             if tag not in _VOID:
                 given = _attributes(attributes) if attributes.strip() else {}
                 drop = here.dropped or _is_dropped(tag, given, here.in_main)
-                place = place_of(_boilerplate_names(tag, given, here.in_main), here.named, tag)
+                names = _boilerplate_names(tag, given, here.in_main)
+                if tag in _FORM_TAGS and _COMMENT_FORM.match(page, at):
+                    names.append("comments")
+                place = place_of(names, here.named, tag)
                 if tag in _MAIN and not drop:
                     mains.append(place)
                     if place == here.named:
@@ -226,18 +281,21 @@ def strip_markup(page: str) -> tuple[list[str], list[bool], list[bool]]:
     text_until(len(page))
     flush()
     _judge(named)
-    lines, texts, prose = [], [], []
+    lines, texts, prose, linked = [], [], [], []
     for block, found in blocks:
         found = [part for part in found if not named[part[1]].hidden]
         text = " ".join("".join(part[0] for part in found).split())
         if text:
             texts.append(text)
             lines.append(block._replace(dropped=block.dropped or any(named[part[1]].dropped for part in found)))
-            prose.append(block.block in _PROSE or block.block in _CONTAINERS and any(part[2] for part in found))
+            linked.append(not any(part[2] for part in found))
+            prose.append(block.block in _PROSE or block.block in _CONTAINERS and not linked[-1])
     if all(named[place].dropped for place in mains) or not _holds_the_text(texts, lines):
-        return texts, [not line.dropped for line in lines], prose
-    shown = [i for i, line in enumerate(lines) if not (line.in_main and line.dropped)]
-    return [texts[i] for i in shown], [lines[i].in_main for i in shown], [prose[i] for i in shown]
+        weak = [_is_label(text) or link and not p for text, link, p in zip(texts, linked, prose)]
+        return [Line(text, not line.dropped, not line.dropped and not w, p and not w)
+                for text, line, p, w in zip(texts, lines, prose, weak)]
+    return [Line(text, line.in_main, line.in_main, line.in_main)
+            for text, line in zip(texts, lines) if not (line.in_main and line.dropped)]
 
 
 def _sums(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -262,12 +320,12 @@ def surges(lengths: np.ndarray, window: int = WINDOW, threshold: int = THRESHOLD
 
 def main_text(page: str | None) -> str:
     """The article's blocks, one per line; empty for an empty page or one without main text."""
-    texts, inside, prose = strip_markup(page or "")
-    lengths = np.array([len(t) if kept else 0 for t, kept in zip(texts, inside)], np.int64)
-    shown = np.array(prose, bool)
+    lines = strip_markup(page or "")
+    lengths = np.array([len(line.text) if line.weighs else 0 for line in lines], np.int64)
+    shown = np.array([line.always for line in lines], bool)
     for first, end in surges(lengths):
         shown[first:end] = True
-    return "\n".join(texts[i] for i in np.flatnonzero(shown & (lengths > 0)))
+    return "\n".join(line.text for line, show in zip(lines, shown) if show and line.possible)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
