@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from utilscope.llm.decontaminate import Budget, Index, _scan, align, drop_leaks, find_leaks, normal_rows
+from utilscope.llm import decontaminate
+from utilscope.llm.decontaminate import Budget, Index, _scan, align, drop_leaks, find_leaks, gram_hashes, normal_rows
 from utilscope.llm.shingles import utf8
 
 
@@ -96,3 +100,57 @@ def test_every_verbatim_item_of_the_test_tables_is_found(spark):
 def test_an_item_at_the_end_of_a_buffer():
     index = Index([(1, "abcdefghijkl mnop")], Budget())
     assert list(index.matches(np.frombuffer(b"zz abcdefghijkl mnop", np.uint8), np.array([0, 20]))) == [(0, 1, 0, 3, 20)]
+
+
+def plain_regions(index, data, starts):
+    """Every place of every q-gram against every place of it in an item."""
+    grams = gram_hashes(data, index.budget.q).tolist()
+    counts = {}
+    for row in range(len(starts) - 1):
+        for at in range(starts[row], starts[row + 1] - index.budget.q + 1):
+            for n in np.flatnonzero(index.hashes == grams[at]):
+                item = int(index.owners[n])
+                band = int((at - starts[row] - index.places[n]) // index.bands[item])
+                for b in (band, band - 1):
+                    counts[row, item, b] = counts.get((row, item, b), 0) + 1
+    return sorted(key for key, n in counts.items() if n >= index.needed[key[1]])
+
+
+@pytest.mark.parametrize("slice_size", [7, 64, 1 << 18])
+def test_regions_are_those_of_all_places_whatever_the_slices(monkeypatch, slice_size):
+    monkeypatch.setattr(decontaminate, "SLICE", slice_size)
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", slice_size + 30)
+    rng = random.Random(6)
+    for budget in (Budget(q=3, percent=10), Budget(q=4, percent=0)):
+        items = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(4, 40)))) for i in range(6)] + [(9, "0" * 30), (10, "ha " * 9)]
+        index = Index(items, budget)
+        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        texts += ["0" * 90, "", "ha " * 30, "x" + "0" * 31 + "y" + items[0][1]]
+        offsets, raw = utf8(pa.array(texts))
+        data, starts = normal_rows(raw, offsets)
+        assert index.regions(data, starts) == plain_regions(index, data, starts)
+
+
+def test_a_repeating_text_takes_bounded_memory():
+    """A long text of zeros against an item of zeros, in a process of its own."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from utilscope.llm.decontaminate import Budget, Index, _scan
+index, column = Index([(1, "0" * 200), (2, "0 " * 60)], Budget()), pa.array(["0" * 1_000_000, "0 " * 200_000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = sorted(_scan(column, index))
+assert [f[:4] for f in found] == [(0, 1, 0, 0), (1, 2, 0, 0)], found
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=decontaminate.__file__.rsplit("/utilscope", 1)[0])
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 300
+
+
+def test_an_item_repeated_many_times_is_indexed_once(spark, documents):
+    text = "Some passage of a benchmark with enough words to be told from others"
+    items = spark.range(100_000).selectExpr("id as item_id", f"'{text}' as text")
+    assert len(list(decontaminate.item_blocks(decontaminate.folded_items(items)[0], Budget(block_bytes=100)))) <= 2
+    found = find_leaks(documents([(1, f"x {text} y"), (2, "clean")]), items)
+    assert found.selectExpr("count(distinct item_id)", "count(*)", "min(doc_id)", "max(doc_id)").first()[:] == (100_000, 100_000, 1, 1)
+    assert [r["doc_id"] for r in drop_leaks(documents([(1, f"x {text} y"), (2, "clean")]).withColumnRenamed("key", "lower"), items).collect()] == [2]

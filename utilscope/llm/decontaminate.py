@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utilscope.llm.shingles import _power_tables, mix, utf8
+from utilscope.llm.storage import materialize, splittable
 
 CHUNK_BYTES = 1 << 18
 SLOTS = 22
+#: Shared q-grams that are taken at once.
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -88,6 +91,26 @@ def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     return hashes * np.uint64(0x9E3779B97F4A7C15)
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, ascending, and how often each occurs; by a plain array where they lie close."""
+    low, high = int(keys.min()), int(keys.max())
+    if high - low > 4 * len(keys):
+        return np.unique(keys, return_counts=True)
+    counts = np.bincount(keys - low)
+    met = np.flatnonzero(counts)
+    return met + low, counts[met]
+
+
+def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of ascending numbers and counts as one."""
+    if not len(keys):
+        return more, often
+    both, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
+    total = np.zeros(len(both), np.int64)
+    np.add.at(total, place.ravel(), np.concatenate([counts, often]))
+    return both, total
+
+
 class Index:
     """q-grams of a block of items."""
 
@@ -116,36 +139,58 @@ class Index:
         self.owners, self.places = join(owners, np.int64)[order], join(places, np.int64)[order]
         self.known = np.zeros(1 << SLOTS, bool)
         self.known[self.hashes >> np.uint64(64 - SLOTS)] = True
-        sizes = np.array([len(t) for t in self.texts], np.int64)
-        self.bands = np.array([budget.edits(m) + 1 for m in sizes], np.int64)
-        self.needed = np.array([budget.shared(m) for m in sizes], np.int64)
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.bands = np.array([budget.edits(m) + 1 for m in self.sizes], np.int64)
+        self.needed = np.array([budget.shared(m) for m in self.sizes], np.int64)
 
     def regions(self, data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row, item, band) that hold as many shared q-grams as the lemma asks for."""
-        hashes = gram_hashes(data, self.budget.q)
-        at = np.flatnonzero(self.known[hashes >> np.uint64(64 - SLOTS)])
-        if not len(at) or not len(self.hashes):
+        """(row, item, band) that hold as many shared q-grams as the lemma asks for.
+
+        Shared q-grams are taken in slices of bounded size and added up by band. Places ascend, so a
+        band that lies behind the slice is done: it is held against its bound and forgotten. What is
+        held at once is a slice and the bands that an item's length spans, however often a text repeats.
+        """
+        if not len(self.hashes):
             return []
+        # A key is a (row, item, band) as one number; bands may be as low as minus an item's length.
+        below = int(self.sizes.max()) + 2
+        span = int(np.diff(starts).max()) + 2 * below
+        good, keys, counts = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for part in range(0, len(data), CHUNK_BYTES):
+            for key, row, here in self._shared(data, starts, part, span, below):
+                keys, counts = _added(keys, counts, *_counted(np.concatenate([key, key - 1])))
+                if len(keys) > SLICE:
+                    of_row, of_item, band = self._parts(keys, span, below)
+                    done = (of_row < row) | ((band + 2) * self.bands[of_item] + self.sizes[of_item] < here)
+                    good.append(keys[done & (counts >= self.needed[of_item])])
+                    keys, counts = keys[~done], counts[~done]
+        good.append(keys[counts >= self.needed[self._parts(keys, span, below)[1]]])
+        return list(zip(*(part.tolist() for part in self._parts(np.sort(np.concatenate(good)), span, below))))
+
+    def _shared(self, data: np.ndarray, starts: np.ndarray, begin: int, span: int, below: int):
+        """Keys of the q-grams shared from the bytes of one stretch on, by slices; row and place that each ends with."""
+        hashes = gram_hashes(data[begin:begin + CHUNK_BYTES + self.budget.q - 1], self.budget.q)
+        at = np.flatnonzero(self.known[hashes >> np.uint64(64 - SLOTS)])
         first = np.searchsorted(self.hashes, hashes[at])
-        end = np.searchsorted(self.hashes, hashes[at], side="right")
+        many = np.searchsorted(self.hashes, hashes[at], side="right") - first
+        at += begin
         row = np.searchsorted(starts, at, side="right") - 1
-        found = (end > first) & (at + self.budget.q <= starts[row + 1])
-        at, first, row, many = at[found], first[found], row[found], (end - first)[found]
-        if not len(at):
-            return []
-        posting = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item = self.owners[posting]
-        diagonal = np.repeat(at - starts[row], many) - self.places[posting]
-        band = diagonal // self.bands[item]
-        rows = np.repeat(row, many)
-        key = np.stack([np.tile(rows, 2), np.tile(item, 2), np.concatenate([band, band - 1])], axis=1)
-        order = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
-        key = key[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])
-        at_new = np.flatnonzero(new)
-        counts = np.diff(np.append(at_new, len(key)))
-        good = counts >= self.needed[key[at_new, 1]]
-        return [tuple(x) for x in key[at_new[good]].tolist()]
+        found = (many > 0) & (at + self.budget.q <= starts[row + 1])
+        at, first, row, many = at[found], first[found], row[found], many[found]
+        upto = np.cumsum(many)
+        for low in range(0, int(upto[-1]) if len(upto) else 0, SLICE):
+            place = np.arange(low, min(low + SLICE, int(upto[-1])))
+            gram = np.searchsorted(upto, place, side="right")
+            posting = first[gram] + place - (upto[gram] - many[gram])
+            item = self.owners[posting]
+            diagonal = at[gram] - starts[row[gram]] - self.places[posting]
+            key = (row[gram] * len(self.texts) + item) * span + diagonal // self.bands[item] + below
+            yield key, row[gram[-1]], at[gram[-1]] - starts[row[gram[-1]]]
+
+    def _parts(self, keys: np.ndarray, span: int, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and band of keys."""
+        pair, band = np.divmod(keys, span)
+        return *np.divmod(pair, len(self.texts)), band - below
 
     def matches(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item id, edits, start, end): the best place of each item in each row."""
@@ -231,17 +276,27 @@ def _scan(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int,
         row = last
 
 
-def item_blocks(benchmark: DataFrame, budget: Budget, item: str = "item_id", text: str = "text") -> Iterator[Broadcast]:
-    """Broadcast indexes of the items, block by block; NULL and empty texts are no items."""
+def folded_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(`key`, `text`) of each distinct text, and (`key`, `item`) of each row; NULL and empty texts are no items."""
     rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.length("text") > 0)
-    total = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    blocks = max(1, -(-total // budget.block_bytes))
+    texts = materialize(rows.select("text").distinct().withColumn("key", F.monotonically_increasing_id()))
+    return texts.select("key", "text"), rows.join(texts, "text").select("key", "item")
+
+
+def item_blocks(items: DataFrame, budget: Budget) -> Iterator[Broadcast]:
+    """Broadcast indexes of the items, block by block.
+
+    `items` are those of `folded_items`, no two of them equal, so their hashes deal them evenly: blocks
+    are of half the size asked for on average. A block holds one item at least, whatever its length.
+    """
+    total = items.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    blocks = max(1, -(-2 * total // budget.block_bytes))
     for block in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        items = [(r["item"], r["text"]) for r in own.collect()]
-        if items:
-            yield benchmark.sparkSession.sparkContext.broadcast(Index(items, budget))
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        items_of = [(r["key"], r["text"]) for r in own.collect()]
+        if items_of:
+            yield items.sparkSession.sparkContext.broadcast(Index(items_of, budget))
 
 
 def find_leaks(
@@ -251,11 +306,13 @@ def find_leaks(
 
     Places are bytes of the document's normal form. Items whose normal form is shorter than q
     must stand as whole words, without edits; empty and NULL items and documents match nothing.
-    Repeated documents (also of one id) and repeated items have rows of their own. Other
-    columns are not read. Whole texts are scanned, and nothing is shuffled.
+    Repeated documents (also of one id) and repeated items have rows of their own: equal items are
+    searched for once, and the places found get the ids of all of them by a join. Other columns are not
+    read. Whole texts are scanned; only what was found is shuffled.
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text"))
-    schema = "id long, item_id long, edits int, start long, end long"
+    schema = "id long, key long, edits int, start long, end long"
+    items, known = folded_items(benchmark)
 
     def leaks(batches: Iterator[pa.RecordBatch], index: Broadcast) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,20 +322,25 @@ def find_leaks(
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), pa.array(list(item), pa.int64()),
                      pa.array(edits.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))],
-                    ["id", "item_id", "edits", "start", "end"],
+                    ["id", "key", "edits", "start", "end"],
                 )
 
     out = None
-    for block in item_blocks(benchmark, budget):
+    for block in item_blocks(items, budget):
         part = rows.mapInArrow(lambda batches, block=block: leaks(batches, block), schema)
         out = part if out is None else out.unionAll(part)
     if out is None:
-        out = rows.limit(0).selectExpr("id", "0L item_id", "0 edits", "0L start", "0L end")
-    return out.withColumnRenamed("id", id)
+        out = rows.limit(0).selectExpr("id", "0L key", "0 edits", "0L start", "0L end")
+    named = out.join(splittable(known), "key")
+    return named.select(F.col("id").alias(id), F.col("item").alias("item_id"), "edits", "start", "end")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(), text: str = "text") -> DataFrame:
-    """The rows of `docs`, all their columns, whose text holds no item. Nothing is shuffled."""
+    """The rows of `docs`, all their columns, whose text holds no item. Nothing of `docs` is shuffled.
+
+    Each row stays or goes for itself, repeated ones too. NULL and empty texts hold no item, NULL and
+    empty items are held by no text; an empty table stays empty. Columns keep their names, whatever they are.
+    """
     def clean(batches: Iterator[pa.RecordBatch], index: Broadcast) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
@@ -286,7 +348,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(),
             kept = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
-    for block in item_blocks(benchmark, budget):
-        lowered = docs.select("*", F.lower(F.col(text).cast("string")).alias("_lower"))
+    lower = "lower"
+    while lower in docs.columns:
+        lower += "_"
+    for block in item_blocks(folded_items(benchmark)[0], budget):
+        lowered = docs.select("*", F.lower(F.col(text).cast("string")).alias(lower))
         docs = lowered.mapInArrow(lambda batches, block=block: clean(batches, block), docs.schema)
     return docs
