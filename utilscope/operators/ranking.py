@@ -128,18 +128,19 @@ class RankedValues:
 
     Values are ranked descending with NULLs last. `bins` has a row for each group and distinct value:
     `rows` with it, rows `before` it, `group_rows` and `group_values` (not NULL) of the group. What is
-    shuffled for the bins is their number, whatever the number of rows.
+    shuffled for the bins is their number, whatever the number of rows. A table that is read off a
+    written one and ranked once (`once`) is not written again, nor are its bins.
     """
 
     def __init__(
         self, workspace: Workspace, name: str, df: DataFrame, by: list[str], value: str,
-        tie_break: list[str] = (),
+        tie_break: list[str] = (), once: bool = False,
     ):
         self.by, self.value = by, value
         self._workspace, self._name, self._tie_break = workspace, name, list(tie_break)
-        self.rows = workspace.table(f"{name}/values", lambda: df)
+        self.rows = df if once else workspace.table(f"{name}/values", lambda: df)
         self._sorted = workspace.table(f"{name}/sorted", self._sorted_bins)
-        self.bins = workspace.table(f"{name}/bins", self._placed_bins)
+        self.bins = self._placed_bins() if once else workspace.table(f"{name}/bins", self._placed_bins)
 
     def _sorted_bins(self) -> DataFrame:
         counts = self.rows.groupBy(*self.by, self.value).agg(F.count(F.lit(1)).alias("rows"))
@@ -266,7 +267,7 @@ def _with_ranks(workspace, df, names, rank_of) -> DataFrame:
     )
     values = [F.struct(F.lit(out).alias("_rank"), F.col(c).cast("double").alias("_value")) for c, out in names.items()]
     order = RankedValues(
-        workspace, f"order-{uuid4().hex}", rows.select("_row", F.inline(F.array(*values))), ["_rank"], "_value"
+        workspace, f"order-{uuid4().hex}", rows.select("_row", F.inline(F.array(*values))), ["_rank"], "_value", once=True
     )
     ranked = rank_of(order, "_place").groupBy("_row").agg(*[
         F.max(F.when(F.col("_rank") == out, F.col("_place"))).alias(out) for out in names.values()
@@ -284,7 +285,7 @@ def quantiles(workspace: Workspace, df: DataFrame, value: str, shares: list[floa
     The values next to each quantile are found by the counts of the distinct values.
     """
     order = RankedValues(
-        workspace, f"order-{uuid4().hex}", df.select(F.col(value).cast("double").alias("_value")), [], "_value"
+        workspace, f"order-{uuid4().hex}", df.select(F.col(value).cast("double").alias("_value")), [], "_value", once=True
     )
     known = order.bins.where(F.col("_value").isNotNull())
     # Descending row numbers before + 1 .. before + rows of v values are ascending places from here on.
