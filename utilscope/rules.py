@@ -54,8 +54,8 @@ class ScoreWeights:
 
 COMPONENTS = ("scale", "growth", "class_gap", "completeness")
 
-# The ingredient map (term, class, priority), exclusion lists, score
-# weights and state codes.  Results depend on these exact words and numbers.
+# The ingredient map (term, class, priority), combinations, selected classes,
+# exclusion lists, score weights and state codes.  Results depend on these exact words and numbers.
 INGREDIENT_CLASSES = """
 tirzepatide,GLP-1 receptor agonists,10
 semaglutide,GLP-1 receptor agonists,10
@@ -88,6 +88,11 @@ acarbose,Other diabetes therapies,80
 miglitol,Other diabetes therapies,80
 pramlintide,Other diabetes therapies,80
 """
+COMBINATIONS = (
+    Combination(("Insulin", "GLP-1 receptor agonists"), "Fixed-ratio insulin/GLP-1"),
+    Combination(("SGLT2 inhibitors", "DPP-4 inhibitors"), "SGLT2/DPP-4 combination"),
+)
+SELECTED_CLASSES = ("GLP-1 receptor agonists", "Fixed-ratio insulin/GLP-1")
 EXCLUDED_BRANDS = ("wegovy", "saxenda", "zepbound")
 EXCLUDED_GENERIC_PATTERNS = (
     "insulin pump", "insulin device", "syringe", "pen reusable",
@@ -117,11 +122,8 @@ def parse_terms(text: str) -> tuple[Term, ...]:
 
 DIABETES_RULES = ScopeRules(
     terms=parse_terms(INGREDIENT_CLASSES),
-    combinations=(
-        Combination(("Insulin", "GLP-1 receptor agonists"), "Fixed-ratio insulin/GLP-1"),
-        Combination(("SGLT2 inhibitors", "DPP-4 inhibitors"), "SGLT2/DPP-4 combination"),
-    ),
+    combinations=COMBINATIONS,
     excluded_patterns=EXCLUDED_GENERIC_PATTERNS,
     excluded_brands=EXCLUDED_BRANDS,
-    selected_classes=("GLP-1 receptor agonists", "Fixed-ratio insulin/GLP-1"),
+    selected_classes=SELECTED_CLASSES,
 )
