@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from utilscope.llm.language_id import (
-    Settings, document_evidence, identify_languages, keep_identified, page_evidence,
+    Settings, TooManyLanguages, document_evidence, identify_languages, keep_identified, language_code, page_evidence,
 )
 
 SCHEMA = "key long, text string, declared string, suffix string, host string, domain string"
@@ -81,3 +86,112 @@ def test_a_text_unlike_all_languages_is_rejected(spark):
     extra = [(k, v, "en", "com", "a.x.com", "x.com") for k, v in strange.items()]
     got = identify_languages(rows(spark, more + extra)).collect()
     assert {r["key"] for r in got if r["rejected"]} == set(strange)
+
+
+def test_codes_have_one_form(spark):
+    tags = ["en", "EN", "en-US", " de_AT", "english", "", None, "x-klingon", "fil", "1a"]
+    got = spark.createDataFrame([(t,) for t in tags], "tag string").select(language_code(F.col("tag"))).collect()
+    assert [r[0] for r in got] == ["en", "en", "en", "de", None, None, None, None, "fil", None]
+
+
+def test_languages_beyond_the_model_size_stop_the_job(spark):
+    with pytest.raises(TooManyLanguages):
+        identify_languages(rows(spark, []), Settings(most_model_bytes=1 << 17))
+
+
+def plain_grams(text: str) -> list[int]:
+    """The trigram buckets of a text."""
+    mapped = [b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in text.encode()]
+    threes = zip(mapped, mapped[1:], mapped[2:])
+    return [
+        (((a << 16) | (b << 8) | c) * 2654435761) % 2 ** 32 >> 18
+        for a, b, c in threes if not (a == b == 32 or b == c == 32)
+    ]
+
+
+def plain_languages(data, settings):
+    """The scores of every row in plain Python, for tables small enough to be the sample as a whole."""
+    told = [declared for _, text, declared, *_ in data if declared and text]
+    languages = sorted(d for d in set(told) if told.count(d) >= settings.least_rows)
+    size = range(len(languages))
+    counts = [[0.5] * 16384 for _ in languages]
+    for _, text, declared, *_ in data:
+        if text and declared in languages:
+            for gram in plain_grams(text):
+                counts[languages.index(declared)][gram] += 1
+    sums = [sum(c) for c in counts]
+    text_logs, own = [], []
+    for _, text, *_ in data:
+        grams = plain_grams(f" {text or ''} ")
+        weight = min(len(grams), settings.evidence_grams) / max(len(grams), 1)
+        text_logs.append([weight * sum(math.log(counts[i][g] / sums[i]) for g in grams) for i in size])
+        odds = [math.exp(x - max(text_logs[-1])) for x in text_logs[-1]]
+        own.append([x / sum(odds) if grams else 0.0 for x in odds])
+
+    def summed(column, value, without=None):
+        members = [r for r in range(len(data)) if data[r][column] == value and r != without]
+        return [sum(own[r][i] for r in members) for i in size]
+
+    # A declaration, suffix, host or domain counts only with a text that has letters.
+    known = [{row[c] for r, row in enumerate(data) if row[c] is not None and any(own[r])} for c in range(6)]
+    whole = [sum(o[i] for o in own) for i in size]
+    overall = [(w + 1) / (sum(whole) + len(languages)) for w in whole]
+    result = []
+    for r, row in enumerate(data):
+        scores = list(text_logs[r])
+        for column in (2, 3):
+            if row[column] in known[column]:
+                mine = summed(column, row[column])
+                for i in size:
+                    scores[i] += math.log((mine[i] + settings.pseudo) / (whole[i] + settings.pseudo * len(known[column])))
+        prior = overall
+        for column in (5, 4):
+            others = summed(column, row[column], r) if row[column] is not None else [0.0] * len(languages)
+            prior = [(o + settings.strength * p) / (sum(others) + settings.strength) for o, p in zip(others, prior)]
+        scores = [round(s + math.log(p), 6) for s, p in zip(scores, prior)]
+        best = scores.index(max(scores))
+        grams = len(plain_grams(f" {row[1] or ''} "))
+        background = math.log(settings.background) - min(grams, settings.evidence_grams) * math.log(16384)
+        unlike = math.exp(min(background - text_logs[r][best], 500))
+        probability = 1 / (sum(math.exp(s - scores[best]) for s in scores) + unlike)
+        by_text = languages[text_logs[r].index(max(text_logs[r]))] if grams else None
+        result.append((row[0], languages[best], probability, by_text, grams == 0 or probability < settings.least_probability))
+    return result
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equals_the_plain_computation(spark, seed):
+    """All evidence, alone and together, NULLs, texts without letters and repeated rows, over five languages."""
+    draw = random.Random(seed)
+    words = {n: ["".join(draw.choices("abcdefghijklmnopqrsé"[i * 3:i * 3 + 8], k=draw.randint(2, 7))) for _ in range(30)]
+             for i, n in enumerate(["aa", "bb", "cc", "dd", "ee"])}
+    data = []
+    for key in range(180):
+        name = draw.choice(list(words))
+        text = draw.choice([None, "", "12 -", "é"] + [" ".join(draw.choices(words[name], k=draw.randint(1, 9)))] * 9)
+        told = draw.choice([None, name, name, draw.choice(list(words)), "zz" if key % 60 == 0 else name])
+        domain = draw.choice([None, f"{name}.net", "mixed.org"])
+        host = domain and draw.choice([f"{part}.{domain}" for part in "ab"])
+        data.append((key, text, told, draw.choice([None, name, "org"]), host, domain))
+    data += [(1000 + i, *data[0][1:]) for i in range(3)]
+    got = {r["key"]: tuple(r) for r in identify_languages(spark.createDataFrame(data, SCHEMA)).collect()}
+    expected = plain_languages(data, Settings())
+    assert len(got) == len(expected)
+    for key, language, probability, by_text, rejected in expected:
+        row = got[key]
+        assert (row[2], row[4], row[5]) == (language, by_text, rejected), (key, row)
+        assert math.isclose(row[3], probability, abs_tol=2e-5)
+
+
+def test_the_plan_does_not_grow_with_the_square_of_the_languages(spark):
+    """Two hundred languages: a frame of some four seconds, whose plan holds no sum over all of them for each."""
+    codes = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghij"]
+    data = [(i * 10 + j, f"{code} {code * 3} {j}", code, None, None, None) for i, code in enumerate(codes) for j in range(5)]
+    started = time.monotonic()
+    found = identify_languages(spark.createDataFrame(data, SCHEMA))
+    built = time.monotonic() - started
+    plan = len(found._jdf.queryExecution().optimizedPlan().toString())
+    few = identify_languages(spark.createDataFrame(data[:20], SCHEMA))
+    assert plan < 60 * len(few._jdf.queryExecution().optimizedPlan().toString())
+    assert built < 60
+    assert len({r["language"] for r in found.collect()}) > 190

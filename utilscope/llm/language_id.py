@@ -49,6 +49,8 @@ class Settings:
     least_probability: float = 0.5
     #: Prior probability of a text unlike all languages.
     background: float = 0.001
+    #: Size that the text model, which every worker gets, must not exceed: 2,048 languages at 128 KB each.
+    most_model_bytes: int = 1 << 28
 
 
 def _letters() -> np.ndarray:
@@ -90,6 +92,10 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         row = last
 
 
+class TooManyLanguages(ValueError):
+    """The text model of the declared languages would be larger than the settings allow."""
+
+
 class TextModel:
     """Log-probabilities of the trigram buckets under every language."""
 
@@ -111,18 +117,23 @@ def fit_text_model(rows: DataFrame, settings: Settings) -> TextModel:
     """The text model, on rows with a declared language whose hash falls below its language's share.
 
     One row per language that `least_rows` rows declare reaches the driver; without any, one of
-    the sample's.
+    the sample's. More languages than a model of `most_model_bytes` holds stop the job
+    (`TooManyLanguages`): none is left out for size.
     """
     labelled = rows.where(F.col("declared").isNotNull() & (F.length("text") > 0))
     counts = materialize(labelled.groupBy("declared").count())
-    frequent = {r["declared"]: r["count"] for r in counts.where(F.col("count") >= settings.least_rows).collect()}
+    enough = counts.where(F.col("count") >= settings.least_rows)
+    most = settings.most_model_bytes // (BUCKETS * 8)
+    frequent = {r["declared"]: r["count"] for r in enough.limit(most + 1).collect()}
+    if len(frequent) > most:
+        raise TooManyLanguages(f"more than {most} languages are declared by {settings.least_rows} rows: raise least_rows or most_model_bytes")
     million = 1_000_000
     below = F.pmod(F.xxhash64("key", "text", F.lit(17)), F.lit(million))
     if frequent:
         each = max(settings.sample_rows // len(frequent), settings.least_rows)
         # The sample of a language holds fewer rows than `each` by chance, but hardly none.
         each = max(each, LEAST_SAMPLE)
-        shares = counts.where(F.col("count") >= settings.least_rows).select(
+        shares = enough.select(
             F.col("declared").alias("_of"), F.ceil(F.least(F.lit(1.0), each / F.col("count")) * million).alias("_below")
         )
         sample = labelled.join(F.broadcast(shares), F.col("declared") == F.col("_of")).where(below < F.col("_below"))
@@ -229,27 +240,37 @@ def identify_languages(rows: DataFrame, settings: Settings = Settings()) -> Data
     for by, sums in (("declared", declared), ("suffix", suffix), ("host", host), ("domain", domain)):
         joined = _joined(joined, sums, by)
 
-    def likelihood(sums: str, i: int, groups: int) -> Column:
-        """log P(group | language i), 0 without a group."""
-        whole = all_sums[i] + settings.pseudo * max(groups, 1)
-        return F.when(F.col(sums).isNotNull(), F.log((F.col(sums)[i] + settings.pseudo) / whole)).otherwise(0.0)
-
-    mine = lambda i: F.when(F.col("grams") > 0, F.col("own")[i]).otherwise(0.0)
-    rest = lambda sums, i: F.greatest(F.coalesce(F.col(sums)[i], F.lit(0.0)) - mine(i), F.lit(0.0))
-    many = lambda sums: sum((rest(sums, i) for i in range(size)), F.lit(0.0))
-    k = settings.strength
-    of_domain = lambda i: (rest("domain_sums", i) + k * overall[i]) / (many("domain_sums") + k)
-    of_host = lambda i: (rest("host_sums", i) + k * of_domain(i)) / (many("host_sums") + k)
+    # Scores are made of whole arrays, one place a language, so the plan is the same for any number of them.
+    # What is the same for all languages enters a lambda as an array too: it is taken once a row.
+    zeros = F.array_repeat(F.lit(0.0), size)
+    repeated = lambda x: F.array_repeat(x, size)
+    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    plus = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
+    total_of = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+    def likelihood(sums: str, groups: int) -> Column:
+        """log P(group | language), 0 without a group."""
+        whole = numbers(x + settings.pseudo * max(groups, 1) for x in all_sums)
+        return F.when(
+            F.col(sums).isNotNull(), F.zip_with(sums, whole, lambda a, b: F.log((a + settings.pseudo) / b))
+        ).otherwise(zeros)
+
+    mine = F.when(F.col("grams") > 0, F.col("own")).otherwise(zeros)
+
+    def prior(sums: str, above: Column) -> Column:
+        """The group's share of each language without the row itself, smoothed towards the level above."""
+        rest = F.zip_with(F.coalesce(sums, zeros), mine, lambda a, b: F.greatest(a - b, F.lit(0.0)))
+        smoothed = F.zip_with(rest, above, lambda a, b: a + settings.strength * b)
+        return F.zip_with(smoothed, repeated(total_of(rest) + settings.strength), lambda a, b: a / b)
+
+    of_host = prior("host_sums", prior("domain_sums", numbers(overall)))
+    evidence = plus(plus("logs", likelihood("declared_sums", n_declared)), likelihood("suffix_sums", n_suffix))
     # The last places hold sums that differ with the order of the rows.
-    scores = F.array(*[
-        F.round(F.col("logs")[i] + likelihood("declared_sums", i, n_declared)
-                + likelihood("suffix_sums", i, n_suffix) + F.log(of_host(i)), 6)
-        for i in range(size)
-    ])
+    scores = F.zip_with(evidence, of_host, lambda a, b: F.round(a + F.log(b), 6))
     names = F.array(*[F.lit(n) for n in languages])
     scored = joined.select("key", "text_hash", "grams", "logs", scores.alias("scores"))
     best = F.array_max("scores")
-    spread = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(F.col("scores"))))
+    spread = total_of(F.zip_with("scores", repeated(best), lambda a, b: F.exp(a - b)))
     # The background is as likely as the best language but for the text.
     grams = F.least("grams", F.lit(settings.evidence_grams))
     text_of_best = F.get("logs", (F.array_position("scores", best) - 1).cast("int"))
@@ -266,12 +287,21 @@ def identify_languages(rows: DataFrame, settings: Settings = Settings()) -> Data
 _TAGS = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>"
 
 
+def language_code(declared: Column) -> Column:
+    """The language of a declared tag in lower case: "EN", "en-US" and "en_GB" are "en".
+
+    NULL where the tag begins with no code of two or three letters.
+    """
+    code = F.lower(F.regexp_extract(declared, r"^\s*([a-zA-Z]{2,3})(?![a-zA-Z0-9])", 1))
+    return F.when(code != "", code)
+
+
 def page_evidence(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The rows that `identify_languages` takes, from web pages: tags stripped, `lang`, and the parts of the address."""
     page, address = F.coalesce(F.col(html).cast("string"), F.lit("")), F.lower(F.col(url).cast("string"))
     blank = lambda x: F.when(x != "", x)
     host = blank(F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1))
-    declared = blank(F.lower(F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)))
+    declared = language_code(F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z0-9_-]+)", 1))
     return pages.select(
         F.col(id).cast("long").alias("key"), F.regexp_replace(page, _TAGS, " ").alias("text"),
         declared.alias("declared"), blank(F.substring_index(host, ".", -1)).alias("suffix"),
@@ -282,7 +312,7 @@ def page_evidence(pages: DataFrame, id: str = "page_id", url: str = "url", html:
 def document_evidence(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows that `identify_languages` takes, from documents: the source stands for the host."""
     return docs.select(
-        F.col(id).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).alias("declared"),
+        F.col(id).cast("long").alias("key"), F.col(text).cast("string").alias("text"), language_code(F.col(lang).cast("string")).alias("declared"),
         F.lit(None).cast("string").alias("suffix"), F.col(source).alias("host"), F.lit(None).cast("string").alias("domain"),
     )
 
