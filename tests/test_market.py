@@ -73,6 +73,8 @@ def test_profile_and_manifest(spark, built, landing):
     kept = published(spark, built, "profile_rows").filter("year = 2024").first()
     assert row.filtered_row_count == kept.row_count < row.source_rows_scanned
     assert kept.column_count == 22
+    by_file = published(spark, built, "manifest_files").filter("year = 2024")
+    assert by_file.agg({"candidate_rows": "sum"}).first()[0] == row.filtered_row_count
     blanks = published(spark, built, "profile_blanks").filter(
         "year = 2024 AND column_name = 'GE65_Tot_Benes'").first()
     assert blanks.blank_count == kept.row_count

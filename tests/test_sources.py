@@ -120,6 +120,57 @@ def test_manifest(spark, tmp_path):
     assert size.source_bytes_scanned == (tmp_path / "in/year=2024/extract.csv").stat().st_size
 
 
+def scanned(spark, landing, out):
+    raw = files.read_strict_csv(spark, str(landing))
+    counts = manifest.extract(raw, DIABETES_RULES, [2023, 2024], str(out))
+    return counts, manifest.file_counts(spark, str(out), str(landing))
+
+
+def test_file_counts_add_up_and_name_a_damaged_file(spark, tmp_path):
+    landing = tmp_path / "in"
+    write_year(landing, 2023, [raw_row(), raw_row(Gnrc_Name="Aspirin"), raw_row(Prscrbr_NPI="9")])
+    folder = landing / "year=2024"
+    folder.mkdir()
+    for name, rows in {"a": [raw_row()] * 3, "b": [raw_row(), raw_row(Gnrc_Name="Aspirin")], "bare": [], "c d": [raw_row(Prscrbr_NPI="8")]}.items():
+        (folder / f"{name}.csv").write_text(csv_text(rows))
+    counts, by_file = scanned(spark, landing, tmp_path / "one")
+    rows = {r.file.split("/")[-1].replace("%20", " "): r for r in by_file.collect()}
+    assert {n: (r.source_rows_scanned, r.candidate_rows) for n, r in rows.items()} == {
+        "extract.csv": (3, 2), "a.csv": (3, 3), "b.csv": (2, 1), "bare.csv": (0, 0), "c d.csv": (1, 1)}
+    assert rows["bare.csv"].bytes > 0 and rows["bare.csv"].fingerprint is None
+    by_year = {r.year: r for r in counts.collect()}
+    assert (by_year[2024].source_rows_scanned, by_year[2024].candidate_rows) == (6, 5)
+    assert int(by_year[2024].fingerprint) == sum(int(r.fingerprint or 0) for r in rows.values() if r.year == 2024)
+
+    (folder / "a.csv").write_text(csv_text([raw_row()] * 2))
+    (folder / "b.csv").write_text(csv_text([raw_row(Tot_Clms="99"), raw_row(Gnrc_Name="Aspirin")]))
+    (folder / "new.csv").write_text(csv_text([raw_row()]))
+    (folder / "c d.csv").unlink()
+    _, now = scanned(spark, landing, tmp_path / "two")
+    wrong = manifest.differing_files(by_file, now).collect()
+    assert sorted((r.file.split("/")[-1].replace("%20", " "), r.difference, r.rows_expected, r.rows_found) for r in wrong) == [
+        ("a.csv", "short", 3, 2), ("b.csv", "changed", 2, 2), ("c d.csv", "missing", 1, None), ("new.csv", "extra", None, 1)]
+
+
+def test_an_extract_without_candidates_or_files_of_a_year(spark, tmp_path):
+    write_year(tmp_path / "in", 2024, [raw_row(Gnrc_Name="Aspirin")])
+    counts, by_file = scanned(spark, tmp_path / "in", tmp_path / "out")
+    assert {tuple(r) for r in counts.collect()} == {(2023, 0, 0, 0, None), (2024, 1, 0, 0, None)}
+    raw = files.read_strict_csv(spark, str(tmp_path / "in"))
+    assert manifest.read_extract(raw, str(tmp_path / "out")).count() == 0
+
+
+def test_the_extract_reads_the_raw_text_once(spark, tmp_path):
+    """Counters and rows in scope come from one scan; reading the rows in scope opens no other folder."""
+    write_year(tmp_path / "in", 2024, [raw_row(), raw_row(Gnrc_Name="Aspirin")])
+    raw = files.read_strict_csv(spark, str(tmp_path / "in"))
+    counts = manifest.extract(raw, DIABETES_RULES, [2024], str(tmp_path / "out"))
+    kept = manifest.read_extract(raw, str(tmp_path / "out"))
+    assert "csv" not in counts._jdf.queryExecution().executedPlan().toString().lower()
+    assert [f for f in kept.inputFiles() if "_kept=false" not in f] and "PartitionFilters: [isnotnull(_kept" in (
+        kept._jdf.queryExecution().executedPlan().toString())
+
+
 def test_fact_roundtrip_is_partitioned(spark, tmp_path):
     write_year(tmp_path / "in", 2023, [raw_row()])
     write_year(tmp_path / "in", 2024, [raw_row(), raw_row(Prscrbr_NPI="8")])

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utilscope.functions.numbers import ratio
+from utilscope.operators.heavy import heavy_rows
 from utilscope.workspace import Workspace
 
 _POSITION_BITS = 33  # monotonically_increasing_id: slice number above, position below
@@ -353,9 +354,13 @@ def top_percentile(
 def collapse_rare(
     df: DataFrame, totals: DataFrame, label: str, measure: str, k: int, other: str
 ) -> DataFrame:
-    """Labels outside the `k` largest (by `totals`) become `other`."""
+    """Labels outside the `k` largest (by `totals`) become `other`.
+
+    Only labels that a sketch of fixed size leaves in the running are grouped.
+    """
+    running = heavy_rows(totals.select(label, measure), label, measure, k)
     kept = leaders(
-        totals.groupBy(label).agg(F.sum(measure).alias("_total")), "_total", [label], k
+        running.groupBy(label).agg(F.sum(measure).alias("_total")), "_total", [label], k
     ).select(F.col(label).alias("_kept"))
     joined = df.join(F.broadcast(kept), F.col(label) == F.col("_kept"), "left")  # at most k rows
     return joined.withColumn(label, F.coalesce("_kept", F.lit(other))).drop("_kept")

@@ -37,7 +37,7 @@ class BatchPaths:
 
 
 def extract(spark: SparkSession, paths: BatchPaths, settings: MarketSettings) -> tuple[DataFrame, DataFrame]:
-    """One pass over the raw CSV: the candidate rows, stored, and their counts by year.
+    """One pass over the raw CSV: the candidate rows, stored, and their counts by year (published by file too).
 
     All later steps read the candidates, a small part of the source.
     """
@@ -47,6 +47,9 @@ def extract(spark: SparkSession, paths: BatchPaths, settings: MarketSettings) ->
     files.write_json_records(
         extracted.join(files.file_sizes(spark, paths.landing), "year"), paths.under("manifest")
     )
+    files.write_json_records(
+        manifest.file_counts(spark, paths.under("candidates"), paths.landing), paths.under("manifest_files")
+    )
     return manifest.read_extract(raw, paths.under("candidates")), counts
 
 
