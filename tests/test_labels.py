@@ -99,6 +99,17 @@ def test_contained_terms_are_those_of_all_pairs(spark, q):
     assert contained_terms(spark.createDataFrame([("a",)], "x string"), "x", none, "y").collect() == []
 
 
+def test_exploded_grams_are_never_broadcast(spark):
+    """Long and short terms; Spark takes exploded rows for as small as the table that they come from."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("01") for _ in range(24)) for _ in range(80)]
+    terms = sorted({t[i:i + n] for t in texts for i, n in [(rng.randint(0, 9), rng.randint(1, 15))]} | {"2", "0123456789"})
+    found = contained_terms(spark.createDataFrame([(t,) for t in texts], "x string"), "x",
+                            spark.createDataFrame([(t,) for t in terms], "y string"), "y")
+    assert "Broadcast" not in plan_of(found) and "NestedLoop" not in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == sorted({(x, y) for x in texts for y in terms if y in x})
+
+
 def test_five_thousand_terms_are_met_by_an_equi_join(spark):
     rng = random.Random(5)
     terms = sorted({"".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 9))) for _ in range(5000)})

@@ -18,22 +18,33 @@ def q_grams(text: Column, size: Column) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substr(text, i, size))))
 
 
-def contained_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, q: int = 3) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on `gram` by a shuffle: Spark's size estimate doesn't see that exploding multiplied the rows."""
+    return left.hint("merge").join(right.hint("merge"), "gram", how)
+
+
+def contained_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, q: int = 8) -> DataFrame:
     """(`text`, `term`) for each distinct text and each distinct term that it contains.
 
-    NULL and empty terms are in no text. A term of fewer than `q` characters is its own q-gram.
+    NULL and empty terms are in no text. A term of at most `q` characters is its own q-gram, so it meets
+    only texts that hold it. Fewer characters make less of the text's q-grams, but more false meetings.
     """
     texts = texts.select(F.col(text).alias("_text")).where("_text != ''").distinct()
     terms = terms.select(F.col(term).alias("_term")).where("_term != ''").distinct()
-    size = F.least(F.length("_term"), F.lit(q))
-    sizes = sorted(r[0] for r in terms.select(size).distinct().collect())  # at most q numbers
-    if not sizes:
+    length = F.least(F.length("_term"), F.lit(q + 1)).alias("length")
+    lengths = sorted(r[0] for r in terms.select(length).distinct().collect())  # at most q + 1 numbers
+    if not lengths:
         return texts.select(F.col("_text").alias(text), F.lit(None).cast("string").alias(term)).limit(0)
-    held = F.concat(*[F.coalesce(q_grams(F.col("_text"), F.lit(n)), F.array().cast("array<string>")) for n in sizes])
-    postings = texts.select("_text", F.explode(held).alias("gram"))
-    frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    rated = terms.select("_term", F.explode(q_grams(F.col("_term"), size)).alias("gram")).join(frequency, "gram", "left")
-    rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("rarest")
-    index = rated.groupBy("_term").agg(rarest).select("_term", F.col("rarest.gram").alias("gram"))
-    met = postings.join(index, "gram").where(F.contains("_text", "_term"))
+
+    def postings(sizes: list[int]) -> DataFrame:
+        held = [F.coalesce(q_grams(F.col("_text"), F.lit(n)), F.array().cast("array<string>")) for n in sizes]
+        return texts.select("_text", F.explode(F.concat(*held)).alias("gram"))
+
+    index = terms.where(F.length("_term") <= q).select("_term", F.col("_term").alias("gram"))
+    if lengths[-1] > q:
+        longer = terms.where(F.length("_term") > q).select("_term", F.explode(q_grams(F.col("_term"), F.lit(q))).alias("gram"))
+        rated = _joined(longer, postings([q]).groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "left")
+        rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("rarest")
+        index = index.unionAll(rated.groupBy("_term").agg(rarest).select("_term", F.col("rarest.gram").alias("gram")))
+    met = _joined(postings(sorted({min(n, q) for n in lengths})), index).where(F.contains("_text", "_term"))
     return met.select(F.col("_text").alias(text), F.col("_term").alias(term))
