@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from utilscope.functions.numbers import finite
 from utilscope.schema import RAW_SCHEMA
+from utilscope.workspace import spread
 
 CSV_OPTIONS = {
     "header": True,
@@ -36,13 +37,18 @@ def stamp_year(df: DataFrame, pattern: str = r"(\d{4})[^/\d]*\.csv[^/]*$") -> Da
     return df.withColumn("year", found.try_cast("int"))
 
 
-def write_raw_csv(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Raw rows as CSV with one directory per year, white space kept as it is."""
-    (
-        raw.write.mode(mode).partitionBy("year").option("header", True)
-        .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False).csv(path)
-    )
+def write_raw_csv(raw: DataFrame, path: str, mode: str = "overwrite", compression: str = "gzip") -> None:
+    """Raw rows as CSV with one directory per year, white space kept as it is.
+
+    Every task writes files of its own, so that compressed ones, which can't be split, stay small.
+    """
+    with spread(raw.sparkSession):
+        (
+            raw.write.mode(mode).partitionBy("year").option("header", True).option("compression", compression)
+            .option("zlib.compress.level", "BEST_SPEED")
+            .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(path)
+        )
 
 
 def write_fact(fact: DataFrame, path: str, balance: bool = False) -> None:
@@ -53,7 +59,8 @@ def write_fact(fact: DataFrame, path: str, balance: bool = False) -> None:
     """
     if balance:
         fact = fact.hint("rebalance", F.col("year"))
-    fact.write.mode("overwrite").partitionBy("year").option("compression", "zstd").parquet(path)
+    with spread(fact.sparkSession, small_tasks=not balance):
+        fact.write.mode("overwrite").partitionBy("year").option("compression", "zstd").parquet(path)
 
 
 def read_fact(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

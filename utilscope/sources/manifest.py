@@ -15,7 +15,7 @@ from utilscope.functions.text import contains_any, normalize_text
 from utilscope.operators.classify import in_scope
 from utilscope.rules import ScopeRules
 from utilscope.schema import RAW_COLUMNS
-from utilscope.workspace import literal_rows
+from utilscope.workspace import literal_rows, spread
 
 BRAND, GENERIC = "Brnd_Name", "Gnrc_Name"
 COUNTS = ["source_rows_scanned", "candidate_rows", "excluded_rows", "fingerprint"]
@@ -73,17 +73,18 @@ def extract(raw: DataFrame, rules: ScopeRules, years: list[int], path: str) -> D
     source = {"_file": F.col("_metadata.file_path"), "_bytes": F.col("_metadata.file_size")}
     marked = _flagged(raw.withColumns(source), rules)
     in_scope_only = lambda c: F.when(F.col("_kept"), c)
-    (
-        marked.select(
-            *[in_scope_only(F.col(c)).alias(c) for c in RAW_COLUMNS], "_file", "_bytes",
-            in_scope_only(F.col("_device")).alias("_device"), in_scope_only(_row_hash()).alias("_hash"), "_kept", "year",
+    with spread(raw.sparkSession):
+        (
+            marked.select(
+                *[in_scope_only(F.col(c)).alias(c) for c in RAW_COLUMNS], "_file", "_bytes",
+                in_scope_only(F.col("_device")).alias("_device"), in_scope_only(_row_hash()).alias("_hash"), "_kept", "year",
+            )
+            .write.mode("overwrite").partitionBy("_kept", "year").option("compression", "zstd").parquet(f"{path}/rows")
         )
-        .write.mode("overwrite").partitionBy("_kept", "year").option("compression", "zstd").parquet(f"{path}/rows")
-    )
-    by_file = _rows(raw, path).groupBy(F.col("_file").alias("file"), "year").agg(
-        F.max("_bytes").alias("bytes"), *_counters("_kept", "_device", F.col("_hash"))
-    )
-    by_file.write.mode("overwrite").parquet(f"{path}/files")
+        by_file = _rows(raw, path).groupBy(F.col("_file").alias("file"), "year").agg(
+            F.max("_bytes").alias("bytes"), *_counters("_kept", "_device", F.col("_hash"))
+        )
+        by_file.write.mode("overwrite").parquet(f"{path}/files")
     wanted = literal_rows(raw.sparkSession, [(y,) for y in years], T.StructType([COUNT_SCHEMA["year"]]))
     totals = _scanned(raw.sparkSession, path).groupBy("year").agg(
         *[F.sum(c).alias(c) for c in COUNTS[:-1]],

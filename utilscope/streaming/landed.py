@@ -16,6 +16,7 @@ from utilscope.operators.clean import standardize
 from utilscope.rules import ScopeRules
 from utilscope.sources.files import CSV_OPTIONS
 from utilscope.streaming.ingest import LANDING_SCHEMA, typed_fact
+from utilscope.workspace import spread
 
 LEDGER = "path string, length long, modified timestamp, file string"
 
@@ -93,7 +94,8 @@ class LandedFact:
         wanted = candidate_filter(named, self.rules, "Brnd_Name", "Gnrc_Name")
         fact = included(standardize(wanted, self.rules, ("file",)))
         writer = fact.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        writer.partitionBy("year", "file").parquet(self.sink)
+        with spread(self.spark):
+            writer.partitionBy("year", "file").parquet(self.sink)
 
     def fact(self) -> DataFrame:
         schema = typed_fact(self.spark.createDataFrame([], LANDING_SCHEMA), self.rules).schema
