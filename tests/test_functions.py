@@ -96,3 +96,16 @@ def test_a_fraction_beyond_the_decimal_scale_is_no_integer(spark):
     rows = df.select(numbers.to_bigint(F.col("t")).alias("n"), numbers.not_integral(F.col("t")).alias("bad")).collect()
     assert [r.n for r in rows] == [None, 12, 9007199254740993, 12, None]
     assert [r.bad for r in rows] == [True, False, False, False, True]
+
+
+def test_words_are_sought_in_one_search_and_mean_themselves(spark):
+    from utilscope.functions.text import contains_any
+
+    words = ["a.c", "(", "x|y", "\\E", "#13", "Käse", " "]
+    texts = ["abc", "a.c", "f(x", "x", "x|y", "\\E", "Brand#13", "Käse", "a b", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", contains_any(df.t, words).alias("hit"), contains_any(df.t, []).alias("none"))
+    assert {r.t: r.hit for r in found.collect()} == {t: None if t is None else any(w in t for w in words) for t in texts}
+    assert not any(r.none for r in found.collect())
+    plan = df.where(contains_any(F.lower("t"), words))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1

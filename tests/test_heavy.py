@@ -11,6 +11,13 @@ from utilscope.operators import heavy, ranking
 SCHEMA = "k string, x double"
 
 
+@pytest.fixture(autouse=True)
+def nothing_cached(spark):
+    """A table that one test has cached stands in the plans of the next."""
+    yield
+    spark.catalog.clearCache()
+
+
 def plain(df, k):
     return [tuple(r) for r in ranking.leaders(df.groupBy("k").agg(F.sum("x").alias("t")), "t", ["k"], k).collect()]
 

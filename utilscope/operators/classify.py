@@ -50,7 +50,7 @@ def _class_of(hits: Column, rules: ScopeRules) -> Column:
 
 
 def _matched_terms(hits: Column) -> Column:
-    return F.array_sort(F.array_distinct(hits["term"]))
+    return F.sort_array(F.array_distinct(hits["term"]))
 
 
 def classify(
