@@ -1,9 +1,9 @@
 """Which of very many terms a text contains: an index of each term's rarest q-gram.
 
 A text that contains a term contains all of its q-grams, so it is enough to meet the term at one of
-them. Each term is indexed by the q-gram that the fewest texts hold; texts meet terms by an
-equi-join on q-grams, and only such pairs are compared. The work follows the texts and their
-matches, not texts x terms.
+them. A term of at most q characters is its own q-gram; a longer one is indexed by the q-gram that the
+fewest texts hold. Texts meet terms by an equi-join on q-grams, and only such pairs are compared. The
+work follows the texts and their matches, not texts x terms.
 """
 
 from __future__ import annotations
