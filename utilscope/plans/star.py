@@ -68,9 +68,11 @@ def _prescriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
     """One typed row per year, provider and product, for the products in `labels`.
 
-    Lines are collapsed to order x label before they meet the orders: map-side combining
-    shrinks an order with very many lines, distinct orders become a plain count, and label
-    filters cut lines ahead of the first shuffle.
+    Lines are collapsed to order x label before they meet the orders, so distinct orders become a plain
+    count, and label filters cut lines ahead of the first shuffle. Rows are shuffled twice: lines by order,
+    which serves the grouping and the join, then by year and provider. An order or provider with very many
+    rows is one task's work, but folds there to a row per label. As a provider's year is written by one
+    task, later groupings by provider combine it on the map side.
     """
     older = F.col("l_linestatus") == "F"  # stands in for the 65+ part of a cell
 
@@ -83,6 +85,7 @@ def cells(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_linestatus")
         .join(labels, "l_partkey")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey", "brand_name", "generic_name")
         .agg(
             F.count(F.lit(1)).alias("lines"), F.sum(units).alias("units"),
@@ -93,6 +96,7 @@ def cells(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
     sums = ["lines", "units", "cents", "old_lines", "old_units", "old_cents"]
     grouped = (
         per_order.join(_prescriptions(spark, sf_dir), "l_orderkey")
+        .repartition("year", "o_custkey")
         .groupBy("year", "o_custkey", "c_nationkey", "c_mktsegment", "brand_name", "generic_name")
         .agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("orders"))
     )
