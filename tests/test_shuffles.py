@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from utilscope.operators import aggregates
 from utilscope.plans import star
 
 SETTINGS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
@@ -95,3 +96,12 @@ def test_a_providers_year_is_written_by_one_task(spark, tables, no_broadcast):
         for r in rows.collect():
             tasks[r.year, r.npi].append(r.task)
         assert max(map(len, tasks.values())) > 3 and all(len(set(t)) == 1 for t in tasks.values())
+
+
+def test_provider_cells_meet_the_deciles_without_a_second_shuffle(spark, tables, no_broadcast):
+    fact = star.star_fact(spark, tables).localCheckpoint()
+    deciles = fact.select("year", "provider_npi").distinct().withColumn("volume_decile", F.lit(1)).localCheckpoint()
+    cube = aggregates.dashboard_cube(fact, deciles)
+    keys = re.findall(r"Exchange hashpartitioning\(year#\d+, provider_npi#\d+, (\w+)", plan_of(cube))
+    assert [k for k in keys if not k.isdigit()] == [] and len(keys) == 2  # the fact and the deciles
+    assert cube.agg(F.sum("total_claims")).first()[0] == fact.agg(F.sum("total_claims")).first()[0]
