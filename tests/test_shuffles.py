@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from utilscope.operators import aggregates
+from utilscope.operators import aggregates, prescribers
 from utilscope.plans import star
 
 SETTINGS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
@@ -105,3 +105,14 @@ def test_provider_cells_meet_the_deciles_without_a_second_shuffle(spark, tables,
     keys = re.findall(r"Exchange hashpartitioning\(year#\d+, provider_npi#\d+, (\w+)", plan_of(cube))
     assert [k for k in keys if not k.isdigit()] == [] and len(keys) == 2  # the fact and the deciles
     assert cube.agg(F.sum("total_claims")).first()[0] == fact.agg(F.sum("total_claims")).first()[0]
+
+
+def test_numbers_are_shuffled_not_partial_bitmaps(spark, tables, no_broadcast):
+    fact = star.star_fact(spark, tables).localCheckpoint()
+    deciles = fact.select("year", "provider_npi").distinct().withColumn("volume_decile", F.lit(1)).localCheckpoint()
+    numbers = deciles.select("provider_npi", F.col("provider_npi").cast("long").alias("provider_number")).distinct()
+    cube = prescribers.prescriber_cube(fact, deciles, numbers)
+    plan = plan_of(cube)
+    assert 0 < plan.rindex("partial_bitmap_construct_agg") < plan.index("Exchange")
+    found = prescribers.distinct_prescribers(cube, ["year"]).collect()
+    assert {r.year: r.prescribers for r in found} == {r.year: r["count"] for r in deciles.groupBy("year").count().collect()}
